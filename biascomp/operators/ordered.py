@@ -103,9 +103,13 @@ def fill_down_up(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     return run.done().withColumn(value, F.coalesce("__down", "__up")).drop("__down", "__up")
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str) -> OrderedRows:
-    """Distinct values per group in order, with ``__n`` rows each and ``__upto`` rows so far."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> OrderedRows:
+    """Distinct values per group in order, with ``__n`` rows each and ``__upto`` rows so far.
+
+    ``weight`` names a column that says how many rows each row stands for.
+    """
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("__n"))
     return OrderedRows(counts, by, [value]).running(F.col("__n"), "__upto")
 
 
@@ -116,9 +120,11 @@ def ecdf(df: DataFrame, by: Sequence[str], value: str, out: str = "ecdf") -> Dat
     return full.withColumn(out, ratio("__upto", "__all_n")).drop("__n", "__upto", "__all_n")
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+def average_ranks(
+    df: DataFrame, by: Sequence[str], value: str, out: str, weight: str | None = None
+) -> DataFrame:
     """Rank of each distinct value, ties sharing the mean of their positions."""
-    counts = value_counts(df, by, value).done()
+    counts = value_counts(df, by, value, weight).done()
     rank = F.col("__upto") - (F.col("__n") - 1) / 2
     return counts.withColumn(out, rank).drop("__n", "__upto")
 

@@ -27,17 +27,15 @@ def correlation_columns(r: Column, n: Column) -> dict[str, Column]:
 
 
 def cor_test(
-    df: DataFrame, by: Sequence[str], x: str, y: str, method: str = "pearson", weight: str | None = None
+    df: DataFrame, by: Sequence[str], x: str, y: str, method: str = "pearson"
 ) -> DataFrame:
     """Correlation per group with its t-test; NULL p below three pairs."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     if method == "spearman":
         pairs = pairs.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__w"))
         for v, name in ((x, "__rx"), (y, "__ry")):
-            ranks = ordered.average_ranks(
-                pairs.withColumn("__k", F.explode(F.array_repeat(F.lit(1), F.col("__w").cast("int")))), by, v, name
-            )
-            pairs = join_on(pairs, ranks, [*by, v], null_safe=True)
+            ranks = ordered.average_ranks(pairs, by, v, name, weight="__w")
+            pairs = join_on(pairs, ranks, [*by, v])
         w, a, b = F.col("__w"), F.col("__rx"), F.col("__ry")
         n, sx, sy = F.sum(w), F.sum(w * a), F.sum(w * b)
         cov = F.sum(w * a * b) - sx * sy / n

@@ -1,6 +1,8 @@
 """Queries over the driver tables, one per operator, each beside its SQL statement."""
 
 from biascomp.plans import registry
+from biascomp.plans import analysis as _analysis  # noqa: F401
+from biascomp.plans import imaging as _imaging  # noqa: F401
 from biascomp.plans import tables as _tables  # noqa: F401
 
 

@@ -10,7 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biascomp.operators.reshape import sample_design
+from biascomp.operators.groups import join_on, share
+from biascomp.operators.reshape import collapse_replicates, sample_design
 
 RANKS = ["class_rank", "order_rank", "family_rank", "genus_rank"]
 CALIBRATION_YEAR = 1995
@@ -130,6 +131,14 @@ class Tables:
             )
         )
 
+    @cached_property
+    def shares(self) -> DataFrame:
+        """Share of each taxon at each station and size class, with the station's axis score."""
+        field = collapse_replicates(self.obs, ["size_class"], "sample_name", "taxon", "n_reads", drop_like=None)
+        field = field.where(F.col("sample_id").startswith("C1"))
+        shares = share(field, ["size_class", "sample_id"], "n_reads")
+        return join_on(shares.withColumn("station", F.substring_index("sample_id", "_", 1)), self.meta, ["station"])
+
     @cached_property
     def particles(self) -> DataFrame:
         """One row per imaged object, pixel geometry included."""
@@ -255,6 +264,13 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
            case when s_acctbal<4500 then 'offshore' else 'onshore' end as zone, r_name as cycle
            from supplier join nation on s_nationkey=n_nationkey join region on n_regionkey=r_regionkey""",
     ),
+    "shares": (
+        "design meta",
+        """select d.*, n_reads/sum(n_reads) over (partition by size_class, sample_id) as share, pc1, zone, cycle
+           from (select size_class, sample_id, split_part(sample_id,'_',1) as station, taxon,
+                 cast(sum(n_reads) as bigint) as n_reads from design where sample_num<>'Calibration' group by all) d
+           left join meta m on d.station=m.station""",
+    ),
     "particles": (
         "",
         """select object_id, sample_id, category, case when k>=10 then 'validated' else 'predicted' end as status,
