@@ -73,13 +73,15 @@ class BiasModel:
         taxa = self.rows.groupBy(*g, "taxon").agg(F.lit(1).alias("one"))
         self.n_taxa = taxa.groupBy(*g).agg(F.count("one").alias("n_taxa"))
         per_obs = self.rows.groupBy(*g, "obs", "sample", "x", "r").agg(
-            F.sum("d").alias("d_sum"), F.sum("n_reads").alias("depth")
+            F.sum("d").alias("d_sum"), F.sum("n_reads").alias("depth"),
+            F.bool_or(F.col("sample") != CALIBRATION).alias("is_field"),
         )
         #: per observation: log-ratio shared by all categories without reads
         self.obs = join_on(per_obs, self.n_taxa, g).withColumn("b", -F.col("d_sum") / F.col("n_taxa"))
         #: per sample: number of observations and shared sums
         self.samples = self.obs.groupBy(*g, "sample").agg(
-            F.count(F.lit(1)).alias("k"), F.sum("x").alias("sx"), F.sum("r").alias("sr"), F.sum("b").alias("sb")
+            F.count(F.lit(1)).alias("k"), F.sum("x").alias("sx"), F.sum("r").alias("sr"), F.sum("b").alias("sb"),
+            F.bool_or("is_field").alias("is_field"),
         )
         with_b = join_on(self.rows, self.obs.select(*g, "obs", "b"), [*g, "obs"])
         x, r, d, b = (F.col(c) for c in "xrdb")
@@ -196,10 +198,9 @@ class BiasModel:
     def _sample_rows(self, gamma: float, field_only: bool) -> DataFrame:
         """One row per sample: sums, own sums by category as a map, fitted categories of its group."""
         g = self.group
-        cells, samples = self.cells, self.samples
-        if field_only:
-            cells, samples = (x.where(F.col("sample") != CALIBRATION) for x in (cells, samples))
-        own = cells.groupBy(*g, "sample").agg(
+        # an aggregated flag, as a filter on the name would reach the scan and forbid sharing it
+        samples = self.samples.where("is_field") if field_only else self.samples
+        own = self.cells.groupBy(*g, "sample").agg(
             F.map_from_entries(F.collect_list(F.struct("taxon", "sd"))).alias("own")
         )
         rows = join_on(join_on(samples, own, [*g, "sample"]), self._taxa(gamma), g)
@@ -263,9 +264,8 @@ class BiasModel:
             *self.group, "sample", "taxon", F.lit(0).alias("cycle_num"), "share", "share_low", "share_high",
             F.concat(F.lit("predicted "), "sample").alias("replicate"),
         )
-        seen = self.rows.where(F.col("sample") != CALIBRATION)
-        depth = self.obs.select(*self.group, "obs", "depth")
-        observed = join_on(seen, depth, [*self.group, "obs"]).select(
+        depth = self.obs.select(*self.group, "obs", "depth", "is_field")
+        observed = join_on(self.rows, depth, [*self.group, "obs"]).where("is_field").select(
             *self.group, "sample", "taxon", F.lit(observed_cycle).alias("cycle_num"),
             (F.col("n_reads") / F.col("depth")).alias("share"), F.col("obs").alias("replicate"),
         )
@@ -313,7 +313,7 @@ class BiasModel:
         own = self.rows.groupBy(*g, "obs").agg(
             F.map_from_entries(F.collect_list(F.struct("taxon", F.struct("d", "n_reads")))).alias("seen")
         )
-        obs = join_on(self.obs.drop("n_taxa"), own, [*g, "obs"])
+        obs = join_on(self.obs.drop("n_taxa", "is_field"), own, [*g, "obs"])
         return join_on(obs, self._sample_rows(gamma, field_only=False), [*g, "sample"])
 
     def residual_covariance(self, gamma: float = GAMMA) -> DataFrame:

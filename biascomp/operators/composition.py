@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from biascomp.functions.numeric import is_finite, log2_ratio, ratio, round_half_even
 from biascomp.operators import ordered
 from biascomp.operators.groups import add_group_aggs, join_on, share
+from biascomp.session import checkpoint
 
 #: Added to a proportion before its logarithm is taken.
 PSEUDO_COUNT = 1e-5
@@ -22,7 +23,7 @@ def closure(df: DataFrame, sample: Sequence[str], value: str, out: str = "share"
 
 def clr(
     df: DataFrame, part: Sequence[str], value: str, out: str = "clr", eps: float = PSEUDO_COUNT,
-    size: Column | None = None,
+    size: Column | None = None, bounded: bool = False,
 ) -> DataFrame:
     """Centred log-ratio per part of the table (the whole table for an empty ``part``).
 
@@ -36,7 +37,7 @@ def clr(
     if size is not None:
         absent = F.max(size) - F.count("__log")
         aggs["__mean"] = (F.coalesce(F.sum("__log"), F.lit(0.0)) + absent * F.ln(F.lit(eps))) / F.max(size)
-    df = add_group_aggs(df, part, aggs)
+    df = add_group_aggs(df, part, aggs, bounded)
     return df.withColumn(
         out, F.when(F.col("__log").isNotNull(), F.col("__log") - F.col("__mean")).otherwise(F.col("__low"))
     ).drop("__log", "__mean", "__low")
@@ -51,7 +52,7 @@ def normalise_to_median_depth(
     df: DataFrame, by: Sequence[str], sample: Sequence[str], value: str, out: str = "normalised"
 ) -> DataFrame:
     """Scale every sample to the median depth of its group, rounded half to even."""
-    depths = depth(df, [*by, *sample], value, "__depth")
+    depths = checkpoint(depth(df, [*by, *sample], value, "__depth"))  # read twice below
     mid = ordered.median(depths, by, "__depth", "__median")
     depths = join_on(depths, mid, by) if by else depths.join(F.broadcast(mid))
     scaled = ratio(F.col("__median") * F.col(value), "__depth")
@@ -83,7 +84,7 @@ def mean_share(
     sums = per_sample.groupBy(*by, category).agg(F.sum("__share").alias(out))
     if how == "sum":
         return sums
-    n = df.groupBy(*by, sample).agg(F.lit(1).alias("__one")).groupBy(*by).agg(F.count("__one").alias("__n"))
+    n = depth(df, [*by, sample], value, "__d").groupBy(*by).agg(F.count("__d").alias("__n"))
     return join_on(sums, n, by).withColumn(out, ratio(out, "__n")).drop("__n")
 
 

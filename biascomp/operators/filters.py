@@ -13,33 +13,53 @@ from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import ratio
 from biascomp.operators import ordered
-from biascomp.operators.groups import join_on
+from biascomp.operators.groups import join_on, rows_without
+from biascomp.session import checkpoint
 
 REST = "other"
 
 
-def n_samples(df: DataFrame, by: Sequence[str], sample: str, out: str = "n_samples") -> DataFrame:
-    """Distinct samples per group: combined per sample first, then counted."""
-    return df.select(*by, sample).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(out))
+def n_samples(
+    df: DataFrame, by: Sequence[str], sample: str, value: str, out: str = "n_samples", where: Column | None = None
+) -> DataFrame:
+    """Samples per group that have a depth: reads are added per sample, then samples are counted.
+
+    Asking for the depth keeps the same columns as the per-category branch, so both read one shuffle.
+    """
+    reads = F.col(value) if where is None else F.when(where, F.col(value))
+    per_sample = df.groupBy(*by, sample).agg(F.sum(reads).alias("__depth"))
+    return per_sample.groupBy(*by).agg(F.count("__depth").alias(out))
 
 
 def presence(
-    df: DataFrame, by: Sequence[str], sample: str, category: str, value: str, aggs: dict[str, Column]
+    df: DataFrame, by: Sequence[str], sample: str, category: str, value: str,
+    aggs: dict[str, Column], where: Column | None = None,
 ) -> DataFrame:
     """Per category: samples with reads, samples of the group, and further aggregates.
 
-    ``df`` holds one row per (group, sample, category).
+    ``df`` holds one row per (group, sample, category). ``where`` says which rows count, as a
+    condition inside the aggregates, so that several subsets are read in one pass.
     """
-    seen = F.count(F.when(F.col(value) > 0, F.lit(1)))
+    hit = F.col(value) > 0
+    seen = F.count(F.when(hit if where is None else where & hit, F.lit(1)))
     per = df.groupBy(*by, category).agg(seen.alias("n_seen"), *[c.alias(n) for n, c in aggs.items()])
-    return join_on(per, n_samples(df, by, sample), by)
+    return join_on(per, n_samples(df, by, sample, value, where=where), by)
+
+
+def _times_above(value: str, least: int, where: Column | None = None) -> Column:
+    """Rows above ``least``, among those that count."""
+    hit = F.col(value) > least
+    return F.count(F.when(hit if where is None else where & hit, F.lit(1)))
 
 
 def zero_tolerance(
     df: DataFrame, calib: Column, by: Sequence[str], sample: str, category: str, value: str, max_zero: int = 2
 ) -> DataFrame:
-    """Categories with at most ``max_zero`` zeros among the calibration samples."""
-    p = presence(df.where(calib), by, sample, category, value, {})
+    """Categories with at most ``max_zero`` zeros among the calibration samples.
+
+    A category never seen in calibration has only zeros there.
+    """
+    p = presence(df, by, sample, category, value, {}, calib)
     zeros = F.col("n_samples") - F.col("n_seen")
     return p.withColumn("n_zero", zeros).where(F.col("n_zero") <= max_zero).select(*by, category, "n_zero")
 
@@ -47,12 +67,12 @@ def zero_tolerance(
 def experiment_shares(
     df: DataFrame, experiment: str, by: Sequence[str], category: str, value: str
 ) -> DataFrame:
-    """Share of each category in the reads of each experiment."""
-    cells = df.where(F.col(experiment).isNotNull()).groupBy(*by, experiment, category).agg(
-        F.sum(value).alias("__v")
-    )
+    """Share of each category in the reads of each experiment; NULL outside the experiments."""
+    cells = df.groupBy(*by, experiment, category).agg(F.sum(value).alias("__v"))
     totals = cells.groupBy(*by, experiment).agg(F.sum("__v").alias("__t"))
-    return join_on(cells, totals, [*by, experiment]).withColumn("share", ratio("__v", "__t")).drop("__v", "__t")
+    return join_on(cells, totals, [*by, experiment]).withColumn(
+        "share", F.when(F.col(experiment).isNotNull(), ratio("__v", "__t"))
+    ).drop("__v", "__t")
 
 
 def percent_of_experiment(
@@ -69,36 +89,32 @@ def in_all_treatments(
 ) -> DataFrame:
     """Categories with reads in every treatment cell of the group."""
     cells = df.groupBy(*by, *cell, category).agg(F.sum(value).alias("__v"))
-    n_cells = cells.select(*by, *cell).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells"))
-    hit = cells.where(F.col("__v") > 0).groupBy(*by, category).agg(F.count(F.lit(1)).alias("n_hit"))
+    depths = cells.groupBy(*by, *cell).agg(F.sum("__v").alias("__d"))
+    n_cells = depths.groupBy(*by).agg(F.count("__d").alias("n_cells"))
+    hit = cells.groupBy(*by, category).agg(F.count(F.when(F.col("__v") > 0, F.lit(1))).alias("n_hit"))
     return join_on(hit, n_cells, by).where(F.col("n_hit") == F.col("n_cells"))
 
 
 def above_quantile(
     df: DataFrame, calib: Column, by: Sequence[str], sample: str, category: str, value: str, q: float = 0.9
 ) -> DataFrame:
-    """Categories whose total exceeds the q quantile of totals and that no calibration sample lacks."""
-    totals = df.groupBy(*by, category).agg(F.sum(value).alias("total"))
+    """Categories whose total exceeds the q quantile of totals and that no calibration sample lacks.
+
+    The table of totals is written once: the cut-off is computed from it and compared with it.
+    """
+    totals = checkpoint(presence(df, by, sample, category, value, {"total": F.sum(value)}, calib))
     cut = ordered.quantiles(totals, by, "total", {"cutoff": q})
-    complete = presence(df.where(calib), by, sample, category, value, {}).where(
-        F.col("n_seen") == F.col("n_samples")
-    )
-    return (
-        join_on(totals, cut, by)
-        .where(F.col("total") > F.col("cutoff"))
-        .join(complete.select(*by, category), [*by, category], "left_semi")
-    )
+    kept = join_on(totals, cut, by).where(F.col("total") > F.col("cutoff"))
+    return kept.where(F.col("n_seen") == F.col("n_samples")).select(*by, category, "total", "cutoff")
 
 
 def prevalence(
     df: DataFrame, by: Sequence[str], sample: str, category: str, value: str, min_n: int = 1, share: float = 0.3
 ) -> DataFrame:
     """Categories counted more than ``min_n`` times in at least ``share`` of the samples."""
-    often = F.count(F.when(F.col(value) > min_n, F.lit(1)))
-    p = presence(df, by, sample, category, value, {"n_often": often})
-    return p.withColumn("prevalence", ratio("n_often", "n_samples")).where(F.col("prevalence") >= share).select(
-        *by, category, "prevalence"
-    )
+    p = presence(df, by, sample, category, value, {"n_often": _times_above(value, min_n)})
+    p = p.withColumn("prevalence", ratio("n_often", "n_samples"))
+    return p.where(F.col("prevalence") >= share).select(*by, category, "prevalence")
 
 
 def calibration_complete(
@@ -107,15 +123,17 @@ def calibration_complete(
 ) -> DataFrame:
     """Categories with some count above one and no zero in calibration; optionally the same
     presence in field samples with at most ``max_field_zero`` zeros."""
-    some = {"n_often": F.count(F.when(F.col(value) > 1, F.lit(1)))}
-    c = presence(df.where(calib), by, sample, category, value, some)
-    kept = c.where((F.col("n_often") > 0) & (F.col("n_seen") == F.col("n_samples"))).select(*by, category)
-    if max_field_zero is None:
-        return kept
-    f = presence(df.where(~calib), by, sample, category, value, some)
-    zeros = ratio(F.col("n_samples") - F.col("n_seen"), "n_samples")
-    ok = f.where((F.col("n_often") > 0) & (zeros <= max_field_zero)).select(*by, category)
-    return kept.join(ok, [*by, category], "left_semi")
+    extra = {"often": _times_above(value, 1, calib)}
+    if max_field_zero is not None:
+        extra["field_often"] = _times_above(value, 1, ~calib)
+        extra["field_seen"] = _times_above(value, 0, ~calib)
+    p = presence(df, by, sample, category, value, extra, calib)
+    kept = (F.col("often") > 0) & (F.col("n_seen") == F.col("n_samples"))
+    if max_field_zero is not None:
+        p = join_on(p, n_samples(df, by, sample, value, "field_samples", ~calib), by)
+        zeros = ratio(F.col("field_samples") - F.col("field_seen"), "field_samples")
+        kept = kept & (F.col("field_often") > 0) & (zeros <= max_field_zero)
+    return p.where(kept).select(*by, category)
 
 
 def lump(
@@ -161,7 +179,7 @@ def drop_high_rest(
 ) -> DataFrame:
     """Counts without the samples in which the rest exceeds ``share``."""
     bad = high_rest_samples(df, sample, category, value, share, label)
-    return df.join(bad.select(*sample), list(sample), "left_anti")
+    return rows_without(df, bad, sample)
 
 
 def threshold_scan(

@@ -3,6 +3,9 @@
 A summary is aggregated first (with map-side combine) and joined back, so that a group holding a
 third of all rows is never gathered in one task: a small summary is broadcast by Spark's own size
 check, a large one goes through a sort-merge join whose skewed partitions are split.
+
+Joins between tables that come from the same source are null-safe: NULL keys form a group like any
+other, and as no NOT NULL filter is pushed into one side only, both sides share one shuffle.
 """
 
 from __future__ import annotations
@@ -10,14 +13,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import ratio
 
 
 def join_on(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = False
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = True
 ) -> DataFrame:
     """Equi-join keeping the left keys; ``null_safe`` lets NULL keys meet."""
     if not null_safe:
@@ -27,24 +30,33 @@ def join_on(
     return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
 
 
+def rows_without(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key the other table does not list (NULL keys compare like any value)."""
+    return join_on(left, right.select(*keys), keys, "left_anti")
+
+
 def add_group_aggs(
-    df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column], null_safe: bool = False
+    df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column], bounded: bool = False
 ) -> DataFrame:
-    """Every row with the summaries of its group; an empty ``by`` means the whole table."""
+    """Every row with the summaries of its group; an empty ``by`` means the whole table.
+
+    ``bounded`` is for already aggregated tables whose groups have a fixed size limit, such as the
+    categories of a fixed list within one sample: a window then needs one shuffle and no join.
+    """
+    if bounded and by:
+        return df.withColumns({n: c.over(Window.partitionBy(*by)) for n, c in aggs.items()})
     cols = [c.alias(n) for n, c in aggs.items()]
     if not by:
         # one row by construction, hence the safe broadcast
         return df.join(F.broadcast(df.agg(*cols)), how="left", on=F.lit(True))
-    return join_on(df, df.groupBy(*by).agg(*cols), by, "left", null_safe)
+    return join_on(df, df.groupBy(*by).agg(*cols), by)
 
 
-def share(
-    df: DataFrame, by: Sequence[str], value: str, out: str = "share", null_safe: bool = False
-) -> DataFrame:
+def share(df: DataFrame, by: Sequence[str], value: str, out: str = "share") -> DataFrame:
     """``value`` over its group total; NULL for a group that sums to zero."""
     total = F.sum(value)
     return (
-        add_group_aggs(df, by, {"__total": total}, null_safe)
+        add_group_aggs(df, by, {"__total": total})
         .withColumn(out, ratio(value, "__total"))
         .drop("__total")
     )

@@ -64,7 +64,7 @@ class OrderedRows:
             .alias("__c"),
         )
         here = over(F.col("__v")).over(self._within.rowsBetween(*edge))
-        joined = join_on(rows.withColumn("__h", here), carried, [*self.by, SLICE], null_safe=True)
+        joined = join_on(rows.withColumn("__h", here), carried, [*self.by, SLICE])
         merged = {
             "sum": F.coalesce("__h", F.lit(0)) + F.coalesce("__c", F.lit(0)),
             "min": F.least("__h", "__c"),
@@ -90,7 +90,7 @@ def row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str
 def group_middle(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The middle row of each ordered group (the upper one of two)."""
     numbered = add_group_aggs(
-        row_number(df, by, order, "__rank"), by, {"__n": F.count(F.lit(1))}, null_safe=True
+        row_number(df, by, order, "__rank"), by, {"__n": F.count(F.lit(1))}
     )
     middle = F.floor(F.col("__n") / 2) + 1
     return numbered.where(F.col("__rank") == middle).drop("__rank", "__n")
@@ -116,7 +116,7 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | Non
 def ecdf(df: DataFrame, by: Sequence[str], value: str, out: str = "ecdf") -> DataFrame:
     """Share of the group's rows at or below each distinct value."""
     counts = value_counts(df, by, value).done()
-    full = add_group_aggs(counts, by, {"__all_n": F.sum("__n")}, null_safe=True)
+    full = add_group_aggs(counts, by, {"__all_n": F.sum("__n")})
     return full.withColumn(out, ratio("__upto", "__all_n")).drop("__n", "__upto", "__all_n")
 
 
@@ -138,7 +138,7 @@ def quantiles(
     values of a whole group.
     """
     counts = value_counts(df, by, value).done()
-    located = add_group_aggs(counts, by, {"__all_n": F.sum("__n")}, null_safe=True)
+    located = add_group_aggs(counts, by, {"__all_n": F.sum("__n")})
     aggs: list[Column] = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("__all_n") - 1)

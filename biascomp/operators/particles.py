@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import ratio, valid_or_null
 from biascomp.operators import composition
-from biascomp.operators.groups import add_group_aggs, join_on, share
+from biascomp.operators.groups import add_group_aggs, share
 
 # Scanner resolution and categories left out of the benchmark.
 PIXEL_MM = 0.0106
@@ -184,8 +184,9 @@ def biomass(
         (F.coalesce(F.sum(carbon), F.lit(0.0)) / 1000).alias("carbon_mg"),
         F.avg("sample_conc").alias("sample_conc"),
     )
+    # one row per category of the fixed list: groups are small whatever the number of objects
     cells = add_group_aggs(
-        cells, [sample, "size_fraction"], {"total": F.sum("n"), "carbon_mg_sample": F.sum("carbon_mg")}
+        cells, [sample, "size_fraction"], {"total": F.sum("n"), "carbon_mg_sample": F.sum("carbon_mg")}, bounded=True
     )
     cells = cells.withColumns(
         {
@@ -198,7 +199,7 @@ def biomass(
         }
     )
     cells = cells.withColumn("biomass_share", ratio("carbon_mg_m2", "carbon_mg_m2_sample"))
-    return composition.clr(cells, [sample] if clr_part is None else clr_part, "carbon_mg_m2", "biomass_clr")
+    return composition.clr(cells, [sample] if clr_part is None else clr_part, "carbon_mg_m2", "biomass_clr", bounded=True)
 
 
 def relative_abundance(df: DataFrame, sample: Sequence[str], cell: Sequence[str]) -> DataFrame:
@@ -216,7 +217,7 @@ def biomass_areal(
     The weighed split is scaled up, negative weights become NULL, missing depths the default.
     ``depth`` chooses between the fixed tow depth and the depth column.
     """
-    joined = join_on(join_on(weights, volumes, [key]), depths, [key])
+    joined = weights.join(volumes, key, "left").join(depths, key, "left")
     scaled = F.col(weight) * SPLIT_FACTOR
     clean = joined.withColumns(
         {weight: valid_or_null(scaled, scaled >= 0), "depth_m": F.coalesce("depth_m", F.lit(depth_m))}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biascomp.functions import text
+from biascomp.operators.groups import add_group_aggs
 
 # The calibration design and its name parts.
 CALIBRATION = "Calibration"
@@ -55,8 +56,8 @@ def select_like(df: DataFrame, name: str, pattern: str) -> DataFrame:
 
 def drop_zero_categories(df: DataFrame, by: Sequence[str], category: str, value: str) -> DataFrame:
     """Rows of categories with any reads in the group."""
-    live = df.groupBy(*by, category).agg(F.sum(value).alias("__t")).where(F.col("__t") != 0).drop("__t")
-    return df.join(live, [*by, category], "left_semi")
+    total = add_group_aggs(df, [*by, category], {"__t": F.sum(value)})
+    return total.where(F.col("__t") != 0).drop("__t")
 
 
 def collapse_replicates(

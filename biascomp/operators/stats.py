@@ -11,6 +11,7 @@ from biascomp.functions.numeric import ratio, t_two_sided_p
 from biascomp.operators import ordered
 from biascomp.operators.groups import add_group_aggs, join_on
 from biascomp.operators.ordered import OrderedRows
+from biascomp.session import checkpoint
 
 #: Posterior summary columns and their probabilities.
 SUMMARY_PROBS = {"p2_5": 0.025, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p97_5": 0.975}
@@ -26,13 +27,26 @@ def correlation_columns(r: Column, n: Column) -> dict[str, Column]:
     return {"t": t, "df": df, "p": F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(t_two_sided_p(t, df))}
 
 
+def _both_known(x: str, y: str) -> Column:
+    return F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+
+
+def _pairs(x: str, y: str) -> tuple[Column, Column, Column]:
+    """Both values where both are known, and their number.
+
+    Masking instead of filtering keeps the filter from changing shared scans below.
+    """
+    known = _both_known(x, y)
+    return F.when(known, F.col(x)), F.when(known, F.col(y)), F.count(F.when(known, F.lit(1)))
+
+
 def cor_test(
     df: DataFrame, by: Sequence[str], x: str, y: str, method: str = "pearson"
 ) -> DataFrame:
     """Correlation per group with its t-test; NULL p below three pairs."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     if method == "spearman":
-        pairs = pairs.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__w"))
+        # counted pairs, written once: both rankings and the sums read them
+        pairs = checkpoint(df.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__w"))).where(_both_known(x, y))
         for v, name in ((x, "__rx"), (y, "__ry")):
             ranks = ordered.average_ranks(pairs, by, v, name, weight="__w")
             pairs = join_on(pairs, ranks, [*by, v])
@@ -42,19 +56,20 @@ def cor_test(
         r = ratio(cov, F.sqrt((F.sum(w * a * a) - sx * sx / n) * (F.sum(w * b * b) - sy * sy / n)))
         out = pairs.groupBy(*by).agg(r.alias("r"), n.alias("n"))
     else:
-        out = pairs.groupBy(*by).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+        a, b, n = _pairs(x, y)
+        out = df.groupBy(*by).agg(F.corr(a, b).alias("r"), n.alias("n")).where(F.col("n") > 0)
     return out.withColumns(correlation_columns(F.col("r"), F.col("n")))
 
 
 def ols(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Least-squares line per group: slope, intercept, R² and p of the slope."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    fit = pairs.groupBy(*by).agg(
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.corr(x, y).alias("__r"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    a, b, n = _pairs(x, y)
+    fit = df.groupBy(*by).agg(
+        F.regr_slope(b, a).alias("slope"),
+        F.regr_intercept(b, a).alias("intercept"),
+        F.corr(a, b).alias("__r"),
+        n.alias("n"),
+    ).where(F.col("n") > 0)
     p = correlation_columns(F.col("__r"), F.col("n"))["p"]
     return fit.withColumn("r2", F.col("__r") * F.col("__r")).withColumn("p", p).drop("__r")
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biascomp.operators.groups import join_on, share
+from biascomp.operators.groups import join_on, rows_without, share
 
 REST = "other"
 
@@ -129,7 +129,7 @@ def rest_composition(
 def unknown_keys(counts: DataFrame, taxonomy: DataFrame, key: str, sample: Sequence[str], value: str) -> DataFrame:
     """Reads per sample of keys that the taxonomy does not list."""
     return (
-        counts.join(taxonomy.select(key), key, "left_anti").groupBy(*sample).agg(F.sum(value).alias(value))
+        rows_without(counts, taxonomy, [key]).groupBy(*sample).agg(F.sum(value).alias(value))
     )
 
 
@@ -138,9 +138,9 @@ def assemble_long(
 ) -> DataFrame:
     """Taxonomy ⋈ non-zero counts ⋈ sample metadata; entries never seen stay with NULL counts."""
     seen = counts.where(F.col(value).isNotNull() & (F.col(value) != 0))
-    return join_on(taxonomy.join(seen, key, "left"), meta, [sample])
+    return join_on(taxonomy.join(seen, key, "left"), meta, [sample], null_safe=False)
 
 
 def attach_label(df: DataFrame, labels: DataFrame, key: str, label: str, missing: str = REST) -> DataFrame:
     """Label of each key, ``missing`` where the label table has none."""
-    return join_on(df, labels.select(key, label), [key]).na.fill(missing, [label])
+    return join_on(df, labels.select(key, label), [key], null_safe=False).na.fill(missing, [label])

@@ -268,7 +268,8 @@ def spearman(t):
           round({sql_t_p('r*sqrt(df/(1-r*r))', 'df')},6) as p from f""",
 )
 def ols_by_group(t):
-    one = t.shares.where(F.col("taxon") == "Brand#3").withColumn("y", num.log2_ratio("share", F.lit(1.0)))
+    y = F.when(F.col("taxon") == "Brand#3", num.log2_ratio("share", F.lit(1.0)))
+    one = t.shares.withColumn("y", y)
     out = stats.ols(one, [SC], "pc1", "y").withColumn("slope", F.col("slope") * 1000)
     return out.withColumns({c: r(c) for c in ["slope", "intercept", "r2", "p"]})
 
@@ -407,7 +408,7 @@ _KEPT_HASH = f"""{_EXP.format('hashed')}, kept as (select size_class, hash from
 
 
 def kept_hashes(t):
-    h = t.reads.withColumn("experiment", reshape.experiment_of(F.col("sample_name")))
+    h = t.hashed.withColumn("experiment", reshape.experiment_of(F.col("sample_name")))
     return filters.percent_of_experiment(h, "experiment", [SC], "hash", "n_reads", 0.0012)
 
 
@@ -420,7 +421,7 @@ def kept_hashes(t):
         select *, round(n_reads/sum(n_reads) over (partition by size_class, sample_name),6) as share from q""",
 )
 def rest_composition(t):
-    rejected = t.reads.join(kept_hashes(t), [SC, "hash"], "left_anti")
+    rejected = groups.rows_without(t.hashed, kept_hashes(t), [SC, "hash"])
     out = taxonomy.rest_composition(rejected, t.taxonomy, "hash", SAMPLE, "order_rank", "n_reads")
     return out.withColumn("share", r("share"))
 
@@ -565,7 +566,7 @@ def lump_named(t):
         left join kept k on h.size_class=k.size_class and h.hash=k.hash group by all""",
 )
 def lump_other_split(t):
-    h = t.reads.join(t.taxonomy.select("hash", "order_rank"), "hash", "left")
+    h = t.hashed.join(t.taxonomy.select("hash", "order_rank"), "hash", "left")
     h = h.withColumn("category", F.col("hash").cast("string"))
     return filters.lump(h, kept_hashes(t), [SC, "hash"], "category", SAMPLE, "n_reads", split_by="order_rank")
 

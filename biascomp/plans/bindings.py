@@ -137,7 +137,7 @@ class Tables:
         field = collapse_replicates(self.obs, ["size_class"], "sample_name", "taxon", "n_reads", drop_like=None)
         field = field.where(F.col("sample_id").startswith("C1"))
         shares = share(field, ["size_class", "sample_id"], "n_reads")
-        return join_on(shares.withColumn("station", F.substring_index("sample_id", "_", 1)), self.meta, ["station"])
+        return join_on(shares.withColumn("station", F.substring_index("sample_id", "_", 1)), self.meta, ["station"], null_safe=False)
 
     @cached_property
     def particles(self) -> DataFrame:

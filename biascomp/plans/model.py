@@ -252,8 +252,7 @@ RAW = """rawf as (select size_class, sample_num as sample, taxon, sum(n_reads) a
 
 def raw_and_corrected(t):
     """Observed and corrected share of every category in every field sample."""
-    field = t.design.where(F.col("sample_num") != reshape.CALIBRATION)
-    counts = field.groupBy(SC, F.col("sample_num").alias("sample"), "taxon").agg(F.sum("n_reads").alias("n_reads"))
+    counts = t.design.groupBy(SC, F.col("sample_num").alias("sample"), "taxon").agg(F.sum("n_reads").alias("n_reads"))
     raw = composition.closure(counts, [SC, "sample"], "n_reads", "raw").drop("n_reads")
     pred = model(t).predict().withColumnRenamed("share", "corrected")
     return groups.join_on(pred, raw, [SC, "sample", "taxon"])
@@ -274,7 +273,7 @@ def bias_log2(t):
     both = raw_and_corrected(t).withColumn("station", F.substring_index("sample", "_", 1))
     bias = composition.log2_bias(both, "raw", "corrected", "share_low", "share_high")
     cols = ["log2_bias", "log2_low", "log2_high"]
-    mean = groups.join_on(bias, t.meta, ["station"]).groupBy(SC, "taxon", "zone").agg(*[F.avg(c).alias(c) for c in cols])
+    mean = groups.join_on(bias, t.meta, ["station"], null_safe=False).groupBy(SC, "taxon", "zone").agg(*[F.avg(c).alias(c) for c in cols])
     order = ordered.order_by_mean(mean, [], "taxon", "log2_bias", "taxon_order").drop("mean_value")
     return groups.join_on(mean, order, ["taxon"]).withColumns({c: r(c) for c in cols})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from biascomp.functions import numeric as num
@@ -9,7 +11,8 @@ from biascomp.functions import text
 from biascomp.operators import composition, groups, ordered, reshape, taxonomy
 from biascomp.plans.bindings import RANKS
 from biascomp.plans.registry import query, r
-from biascomp.sources import snapshots
+from biascomp.session import shared_folder
+from biascomp.sources import files, snapshots
 
 SIZES = ["S1", "S2", "S3"]
 SC = "size_class"
@@ -58,6 +61,29 @@ def snapshot_state(t):
     return snapshots.snapshot_state(snapshots.name_parts(t.snapshots), ["primer", "suffix", "variant"])
 
 
+@query(
+    "sink_roundtrip",
+    "snapshots",
+    f"""with {_NAMED} select primer, strftime(snapshot_date,'%Y-%m-%d') as snapshot_date, suffix,
+        count(*) as n_rows, round(sum(value),2) as total from named group by all""",
+)
+def sink_roundtrip(t):
+    """Dated parquet snapshots and a CSV of their summary, both written and read back."""
+    root = f"{shared_folder(t.spark)}/sink-{uuid.uuid4().hex}"
+    named = snapshots.name_parts(t.snapshots)
+    files.write_stamped(named.drop("snapshot_date"), f"{root}/dated", text.snapshot_date("file_name"), ["primer"])
+    schema = "file_name string, value double, suffix string, snapshot_date string, primer string"
+    back = t.spark.read.schema(schema).parquet(f"{root}/dated")
+    sums = back.groupBy("primer", "snapshot_date", "suffix").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("total")
+    )
+    files.write_delimited(sums, f"{root}/summary", ["primer"])
+    out = files.read_delimited(
+        t.spark, f"{root}/summary", "snapshot_date string, suffix string, n_rows bigint, total double, primer string"
+    )
+    return out.withColumn("total", r("total", 2))
+
+
 # ------------------------------------------------------------------ projections and predicates
 
 
@@ -160,7 +186,7 @@ def fill_missing(t):
 )
 def join_left_meta(t):
     d = t.design.withColumn("station", F.substring_index("sample_id", "_", 1))
-    return groups.join_on(d, t.meta, ["station"]).select(
+    return groups.join_on(d, t.meta, ["station"], null_safe=False).select(
         SC, "sample_name", "taxon", "n_reads", "pc1", "zone", "cycle"
     )
 
@@ -213,7 +239,7 @@ def kept_taxa(t):
     f"""with {_KEPT} select o.* from obs o anti join kept k on o.size_class=k.size_class and o.taxon=k.taxon""",
 )
 def anti_rest(t):
-    return t.obs.join(kept_taxa(t), [SC, "taxon"], "left_anti")
+    return groups.rows_without(t.obs, kept_taxa(t), [SC, "taxon"])
 
 
 @query(

@@ -22,13 +22,12 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "biascomp")
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder so that it is never recomputed.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder; on a cluster the setting is required.
+    Only a local session without that setting gets a temporary folder; on a cluster the setting
+    is required.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,4 +36,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="biascomp-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder so that it is never recomputed."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

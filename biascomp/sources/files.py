@@ -65,5 +65,7 @@ def write_stamped(
 ) -> None:
     """Append a dated snapshot: the stamp is a partition column, so older ones stay readable."""
     day = F.date_format(stamp if stamp is not None else F.current_date(), "yyyy-MM-dd")
-    out = df.withColumn("snapshot_date", day)
-    out.write.mode("append").option("header", True).partitionBy("snapshot_date", *partition_by).format(fmt).save(path)
+    keys = ["snapshot_date", *partition_by]
+    # rows of one folder meet before the write, and AQE splits folders that are too large for one file
+    out = df.withColumn("snapshot_date", day).hint("rebalance", *keys)
+    out.write.mode("append").option("header", True).partitionBy(*keys).format(fmt).save(path)
