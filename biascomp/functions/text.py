@@ -21,12 +21,16 @@ POOL_RANKS = {"All": 1, "A1": 2, "B3": 3, "C5": 4, "AllandSub": 5}
 
 
 def extract(c: Column | str, pattern: str) -> Column:
-    """First capture group, NULL where the pattern does not match."""
-    c = col(c)
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1))
+    """First capture group, NULL where the pattern does not match.
+
+    The argument is used once: filters on the result are pushed down to the scan with the whole
+    expression behind the argument, and must not multiply it.
+    """
+    return F.nullif(F.regexp_extract(col(c), pattern, 1), F.lit(""))
 
 
 def drop_last_token(c: Column | str) -> Column:
+    """Everything before the last dot; NULL without a dot or with nothing around it."""
     return extract(c, LAST_DOT_TOKEN)
 
 
@@ -61,7 +65,8 @@ def normal_id(c: Column | str) -> Column:
 
 def leading_number(c: Column | str, width: int, default: int) -> Column:
     """Number in the first ``width`` characters, ``default`` where there is none."""
-    return F.coalesce(F.substring(col(c), 1, width).try_cast("int"), F.lit(default))
+    head = F.substring(col(c), 1, width)
+    return F.when(head.rlike(r"^\d+$"), head.cast("int")).otherwise(F.lit(default))
 
 
 def code(c: Column | str, codes: dict[str, object]) -> Column:

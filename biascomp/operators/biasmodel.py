@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import t_quantile
-from biascomp.operators.groups import join_on
+from biascomp.operators.groups import join_on, spread
 from biascomp.operators.reshape import CALIBRATION
 
 # Prior degrees of freedom, prior scale and the gammas of the scan.
@@ -70,85 +70,97 @@ class BiasModel:
             F.col(cols.value).alias("n_reads"),
             F.ln(1 + F.col(cols.value) / F.lit(pseudo)).alias("d"),
         )
-        taxa = self.rows.groupBy(*g, "taxon").agg(F.lit(1).alias("one"))
-        self.n_taxa = taxa.groupBy(*g).agg(F.count("one").alias("n_taxa"))
-        per_obs = self.rows.groupBy(*g, "obs", "sample", "x", "r").agg(
-            F.sum("d").alias("d_sum"), F.sum("n_reads").alias("depth"),
+        x, r, d, s = (F.col(c) for c in ("x", "r", "d", "s"))
+        #: per observation: log counts of all categories added up; over the number of categories it
+        #: is the centre of the observation
+        self.obs = self.rows.groupBy(*g, "obs", "sample", "x", "r").agg(
+            F.sum(d).alias("s"), F.sum("n_reads").alias("depth"),
             F.bool_or(F.col("sample") != CALIBRATION).alias("is_field"),
         )
-        #: per observation: log-ratio shared by all categories without reads
-        self.obs = join_on(per_obs, self.n_taxa, g).withColumn("b", -F.col("d_sum") / F.col("n_taxa"))
-        #: per sample: number of observations and shared sums
+        #: per sample: number of observations and sums shared by all categories
         self.samples = self.obs.groupBy(*g, "sample").agg(
-            F.count(F.lit(1)).alias("k"), F.sum("x").alias("sx"), F.sum("r").alias("sr"), F.sum("b").alias("sb"),
+            F.count(F.lit(1)).alias("k"), F.sum(x).alias("sx"), F.sum(r).alias("sr"), F.sum(s).alias("ss"),
+            F.sum(x * x).alias("xx0"), F.sum(x * r).alias("xr0"), F.sum(r * r).alias("rr0"),
+            F.sum(x * s).alias("xs0"), F.sum(r * s).alias("rs0"), F.sum(s * s).alias("s20"),
             F.bool_or("is_field").alias("is_field"),
         )
-        with_b = join_on(self.rows, self.obs.select(*g, "obs", "b"), [*g, "obs"])
-        x, r, d, b = (F.col(c) for c in "xrdb")
+        with_s = join_on(self.rows, self.obs.select(*g, "obs", "s"), [*g, "obs"])
         #: per sample and category with reads: own sums
-        self.cells = with_b.groupBy(*g, "sample", "taxon").agg(
-            F.sum(d).alias("sd"),
-            F.sum(x * d).alias("xd"),
-            F.sum(r * d).alias("rd"),
-            F.sum(2 * b * d + d * d).alias("dd"),
+        self.cells = with_s.groupBy(*g, "sample", "taxon").agg(
+            F.sum(d).alias("sd"), F.sum(x * d).alias("xd0"), F.sum(r * d).alias("rd0"),
+            F.sum(s * d).alias("sd0"), F.sum(d * d).alias("d20"),
         )
 
-    def _totals(self) -> DataFrame:
-        """Per group: sums over all observations."""
-        x, r, b = F.col("x"), F.col("r"), F.col("b")
-        return self.obs.groupBy(*self.group).agg(
-            F.count(F.lit(1)).alias("n_obs"),
-            F.max("n_taxa").alias("n_taxa"),
-            F.sum(x * x).alias("xx"), F.sum(x * r).alias("xr"), F.sum(r * r).alias("rr"),
-            F.sum(x * b).alias("xb"), F.sum(r * b).alias("rb"), F.sum(b * b).alias("bb"),
+    def n_taxa(self) -> DataFrame:
+        """Categories with reads per group."""
+        taxa = self.rows.groupBy(*self.group, "taxon").agg(F.sum("n_reads").alias("reads"))
+        return taxa.groupBy(*self.group).agg(F.count("reads").alias("n_taxa"))
+
+    def _over_m(
+        self, df: DataFrame, keys: list[str], gammas: Sequence[float], over: dict[str, Column], plain: list[str],
+        per_k: dict[str, Column] | None = None,
+    ) -> DataFrame:
+        """Sums per key and gamma: ``over`` divided by ``k + 1/gamma``, ``plain`` as they are.
+
+        One gamma takes one aggregation. Several are evaluated on sums kept per distinct k, so that
+        the scan multiplies a small table and never the data.
+        """
+        per_k = per_k or {}
+        if len(gammas) == 1:
+            df, first = df.withColumn("gamma", F.lit(float(gammas[0]))), over
+        else:
+            sums = [F.sum(c).alias(n) for n, c in over.items()] + [F.sum(c).alias(c) for c in plain]
+            df = df.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("__s"), *sums)
+            df = df.withColumn("gamma", F.explode(F.array(*[F.lit(float(v)) for v in gammas])))
+            first = {n: F.col(n) for n in over}
+        m = F.col("k") + 1 / F.col("gamma")
+        weight = F.lit(1) if len(gammas) == 1 else F.col("__s")
+        return df.groupBy(*keys, "gamma").agg(
+            *[F.sum(c / m).alias(f"{n}_m") for n, c in first.items()],
+            *[F.sum(c).alias(c) for c in plain],
+            *[F.sum(weight * c).alias(n) for n, c in per_k.items()],
         )
 
     def fit(self, gammas: Sequence[float] = (GAMMA,)) -> DataFrame:
         """Slope, variance factors, scale and log marginal likelihood per category and gamma."""
         g = self.group
-        grid = F.explode(F.array(*[F.lit(float(v)) for v in gammas])).alias("gamma")
-        m = F.col("k") + 1 / F.col("gamma")
-        sx, sr, sb, sd = (F.col(c) for c in ("sx", "sr", "sb", "sd"))
-
-        by_k = self.samples.groupBy(*g, "k").agg(
-            F.count(F.lit(1)).alias("s"),
-            F.sum(sx * sx).alias("xx_k"), F.sum(sx * sr).alias("xr_k"), F.sum(sr * sr).alias("rr_k"),
-            F.sum(sx * sb).alias("xb_k"), F.sum(sr * sb).alias("rb_k"), F.sum(sb * sb).alias("bb_k"),
-        )
-        shared = by_k.select("*", grid).groupBy(*g, "gamma").agg(
-            F.sum("s").alias("n_samples"),
-            F.sum(F.col("s") * F.ln(m)).alias("ln_m"),
-            *[F.sum(F.col(f"{c}_k") / m).alias(f"{c}_m") for c in ("xx", "xr", "rr", "xb", "rb", "bb")],
+        sx, sr, ss, sd = (F.col(c) for c in ("sx", "sr", "ss", "sd"))
+        shared = self._over_m(
+            self.samples, g, gammas,
+            {"xx": sx * sx, "xr": sx * sr, "rr": sr * sr, "xs": sx * ss, "rs": sr * ss, "ss": ss * ss},
+            ["xx0", "xr0", "rr0", "xs0", "rs0", "s20"],
+            {"n_samples": F.lit(1), "n_obs": F.col("k"), "ln_m": F.ln(F.col("k") + 1 / F.col("gamma"))},
         )
-        own_k = join_on(self.cells, self.samples, [*g, "sample"]).groupBy(*g, "taxon", "k").agg(
-            F.sum(sx * sd).alias("xd_k"), F.sum(sr * sd).alias("rd_k"),
-            F.sum(2 * sb * sd + sd * sd).alias("dd_k"),
-            F.sum("xd").alias("xd"), F.sum("rd").alias("rd"), F.sum("dd").alias("dd"),
+        own = self._over_m(
+            join_on(self.cells, self.samples.select(*g, "sample", "k", "sx", "sr", "ss"), [*g, "sample"]),
+            [*g, "taxon"], gammas,
+            {"xd": sx * sd, "rd": sr * sd, "sd": ss * sd, "dd": sd * sd}, ["xd0", "rd0", "sd0", "d20"],
         )
-        own = own_k.select("*", grid).groupBy(*g, "taxon", "gamma").agg(
-            *[F.sum(F.col(f"{c}_k") / m).alias(f"{c}_m") for c in ("xd", "rd", "dd")],
-            *[F.sum(c).alias(c) for c in ("xd", "rd", "dd")],
-        )
-        t = join_on(join_on(own, shared, [*g, "gamma"]), self._totals(), g)
-        inv = 1 / F.col("gamma")
-        a11 = F.col("xx") + inv - F.col("xx_m")
-        a12 = F.col("xr") - F.col("xr_m")
-        a22 = F.col("rr") + inv - F.col("rr_m")
+        n_taxa = own.groupBy(*g, "gamma").agg(F.count("xd_m").alias("n_taxa"))
+        t = join_on(own, join_on(shared, n_taxa, [*g, "gamma"]), [*g, "gamma"])
+        inv, n = 1 / F.col("gamma"), F.col("n_taxa")
+        c = {name: F.col(name) for name in t.columns}
         det = F.col("a11") * F.col("a22") - F.col("a12") * F.col("a12")
-        xy, ry = F.col("xb") + F.col("xd"), F.col("rb") + F.col("rd")
-        c1 = xy - F.col("xb_m") - F.col("xd_m")
-        c2 = ry - F.col("rb_m") - F.col("rd_m")
-        t = t.withColumns({"a11": a11, "a12": a12, "a22": a22}).withColumn("det", det)
         t = t.withColumns(
             {
-                "beta": (c1 * F.col("a22") - c2 * F.col("a12")) / F.col("det"),
-                "beta_run": (c2 * F.col("a11") - c1 * F.col("a12")) / F.col("det"),
+                "a11": c["xx0"] + inv - c["xx_m"],
+                "a12": c["xr0"] - c["xr_m"],
+                "a22": c["rr0"] + inv - c["rr_m"],
+                "c1": (c["xs_m"] - c["xs0"]) / n + c["xd0"] - c["xd_m"],
+                "c2": (c["rs_m"] - c["rs0"]) / n + c["rd0"] - c["rd_m"],
+                "yy": (c["s20"] - c["ss_m"]) / (n * n) - (c["sd0"] - c["sd_m"]) * 2 / n + c["d20"] - c["dd_m"],
+            }
+        ).withColumn("det", det)
+        t = t.withColumns(
+            {
+                "beta": (F.col("c1") * F.col("a22") - F.col("c2") * F.col("a12")) / F.col("det"),
+                "beta_run": (F.col("c2") * F.col("a11") - F.col("c1") * F.col("a12")) / F.col("det"),
             }
         )
         # residual plus penalty: what the coefficients leave of the sum of squares
-        yy = F.col("bb") + F.col("dd") - F.col("bb_m") - F.col("dd_m")
-        q = F.greatest(yy - F.col("beta") * c1 - F.col("beta_run") * c2, F.lit(0.0))
-        prior = PRIOR_SCALE * (1 - 1 / F.col("n_taxa"))
+        left = F.col("yy") - F.col("beta") * F.col("c1") - F.col("beta_run") * F.col("c2")
+        q = F.greatest(left, F.lit(0.0))
+        prior = PRIOR_SCALE * (1 - 1 / n)
         df = F.col("n_obs") + PRIOR_DF
         log_det = F.col("ln_m") + F.ln("det") + (F.col("n_samples") + 2) * F.ln("gamma")
         return t.select(
@@ -178,22 +190,18 @@ class BiasModel:
 
     def field_share(self, gamma: float = GAMMA) -> DataFrame:
         """How much of the slope's information comes from samples that never vary in cycle."""
-        m = F.col("k") + F.lit(1 / gamma)
-        own = self.obs.groupBy(*self.group, "sample").agg(
-            F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum("x").alias("sx"), F.count(F.lit(1)).alias("k")
-        )
-        info = F.col("xx") - F.col("sx") * F.col("sx") / m
-        is_field = F.col("sample") != CALIBRATION
-        return own.groupBy(*self.group).agg(
-            (F.sum(F.when(is_field, info).otherwise(0.0)) / (F.sum(info) + F.lit(1 / gamma))).alias("field_share")
-        )
+        info = F.col("xx0") - F.col("sx") * F.col("sx") / (F.col("k") + F.lit(1 / gamma))
+        own = F.sum(F.when(F.col("is_field"), info).otherwise(0.0))
+        return self.samples.groupBy(*self.group).agg((own / (F.sum(info) + F.lit(1 / gamma))).alias("field_share"))
 
     # ------------------------------------------------------------------ predictions
 
     def _taxa(self, gamma: float) -> DataFrame:
         """One row per group with the fitted categories as an array (model dimension, not data)."""
         one = F.struct("taxon", "beta", "beta_run", "scale2", "v11", "v12", "v22", F.col("df").cast("double").alias("df"))
-        return self.fit([gamma]).groupBy(*self.group).agg(F.array_sort(F.collect_list(one)).alias("taxa"))
+        return self.fit([gamma]).groupBy(*self.group).agg(
+            F.array_sort(F.collect_list(one)).alias("taxa"), F.max("n_taxa").alias("n_taxa")
+        )
 
     def _sample_rows(self, gamma: float, field_only: bool) -> DataFrame:
         """One row per sample: sums, own sums by category as a map, fitted categories of its group."""
@@ -211,7 +219,7 @@ class BiasModel:
         """Posterior mean and variance factor of a category's log-ratio in a sample row."""
         sd = F.coalesce(F.try_element_at(F.col("own"), t["taxon"]), F.lit(0.0))
         dx, dr = x0 - F.col("sx") / F.col("m"), r0 - F.col("sr") / F.col("m")
-        mean = (F.col("sb") + sd) / F.col("m") + t["beta"] * dx + t["beta_run"] * dr
+        mean = (sd - F.col("ss") / F.col("n_taxa")) / F.col("m") + t["beta"] * dx + t["beta_run"] * dr
         var = 1 / F.col("m") + dx * dx * t["v11"] + 2 * dx * dr * t["v12"] + dr * dr * t["v22"]
         return mean, var
 
@@ -294,16 +302,13 @@ class BiasModel:
 
         def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
+                stats = []
                 for row in batch.itertuples(index=False):
                     shares = _share_draws(row.key, row.eta, row.sd, row.df, n)
-                    out = pd.DataFrame(np.quantile(shares, list(SUMMARY.values()), axis=0).T, columns=list(SUMMARY))
-                    out.insert(0, "mean_value", shares.mean(axis=0))
-                    out.insert(0, "taxon", row.taxon)
-                    for k in reversed(keys):
-                        out.insert(0, k, getattr(row, k))
-                    yield out
+                    stats.append(np.vstack([shares.mean(axis=0), np.quantile(shares, list(SUMMARY.values()), axis=0)]))
+                yield _long_batch(batch, keys, ["taxon"], stats, ["mean_value", *SUMMARY])
 
-        return flat.mapInPandas(summarise, schema)
+        return spread(flat, keys).mapInPandas(summarise, schema)
 
     # ------------------------------------------------------------------ checks of the fit
 
@@ -313,7 +318,7 @@ class BiasModel:
         own = self.rows.groupBy(*g, "obs").agg(
             F.map_from_entries(F.collect_list(F.struct("taxon", F.struct("d", "n_reads")))).alias("seen")
         )
-        obs = join_on(self.obs.drop("n_taxa", "is_field"), own, [*g, "obs"])
+        obs = join_on(self.obs.drop("is_field"), own, [*g, "obs"])
         return join_on(obs, self._sample_rows(gamma, field_only=False), [*g, "sample"])
 
     def residual_covariance(self, gamma: float = GAMMA) -> DataFrame:
@@ -324,7 +329,7 @@ class BiasModel:
         """
         def residual(t: Column) -> Column:
             d = F.coalesce(F.try_element_at(F.col("seen"), t["taxon"])["d"], F.lit(0.0))
-            return F.col("b") + d - self._line(t, F.col("x"), F.col("r"))[0]
+            return d - F.col("s") / F.col("n_taxa") - self._line(t, F.col("x"), F.col("r"))[0]
 
         g = self.group
         rows = self._obs_rows(gamma).select(
@@ -388,17 +393,13 @@ class BiasModel:
 
         def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
+                stats = []
                 for row in batch.itertuples(index=False):
                     counts = _share_draws(row.key, row.eta, row.sd, row.df, n) * row.depth
-                    low, mid, high = np.quantile(counts, [0.025, 0.5, 0.975], axis=0)
-                    out = pd.DataFrame(
-                        {"taxon": row.taxon, "observed": row.observed, "p2_5": low, "p50": mid, "p97_5": high}
-                    )
-                    for k in reversed(keys):
-                        out.insert(0, k, getattr(row, k))
-                    yield out
-
-        out = flat.mapInPandas(predict, schema)
+                    stats.append(np.quantile(counts, [0.025, 0.5, 0.975], axis=0))
+                yield _long_batch(batch, keys, ["taxon", "observed"], stats, ["p2_5", "p50", "p97_5"])
+
+        out = spread(flat, keys).mapInPandas(predict, schema)
         return out.withColumn("covered", F.col("observed").between(F.col("p2_5"), F.col("p97_5")))
 
 
@@ -410,6 +411,19 @@ def _share_draws(key: int, eta: np.ndarray, sd: np.ndarray, df: float, n: int) -
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _long_batch(
+    batch: pd.DataFrame, keys: list[str], arrays: list[str], stats: list[np.ndarray], names: list[str]
+) -> pd.DataFrame:
+    """Rows of a batch, one per category: repeated keys, unpacked arrays, then the statistics."""
+    if not len(batch):
+        return pd.DataFrame(columns=[*keys, *arrays, *names])
+    sizes = [s.shape[1] for s in stats]
+    out = {k: np.repeat(batch[k].to_numpy(), sizes) for k in keys}
+    out |= {a: np.concatenate(batch[a].to_list()) for a in arrays}
+    values = np.hstack(stats)
+    return pd.DataFrame(out | {name: values[i] for i, name in enumerate(names)})
+
+
 def prior_scale(n_taxa: DataFrame, gamma: float = GAMMA) -> DataFrame:
     """Prior of a centred log-ratio coordinate per group: degrees of freedom, scale, slope range.
 

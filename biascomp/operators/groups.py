@@ -30,6 +30,16 @@ def join_on(
     return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of one key together, over all shuffle partitions.
+
+    Meant ahead of work that is heavy on the processor but small in bytes, which adaptive execution
+    would otherwise merge into few tasks. A grouping by the same keys needs no further shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def rows_without(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key the other table does not list (NULL keys compare like any value)."""
     return join_on(left, right.select(*keys), keys, "left_anti")

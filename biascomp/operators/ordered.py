@@ -41,29 +41,31 @@ class OrderedRows:
 
     def running(self, value: Column, out: str, how: str = "sum", backwards: bool = False) -> OrderedRows:
         """Add the running sum, min, max or last known value, in order or against it."""
-        edge = (0, Window.unboundedFollowing) if backwards else (Window.unboundedPreceding, 0)
-        other = (1, Window.unboundedFollowing) if backwards else (Window.unboundedPreceding, -1)
-        near = F.first if backwards else F.last
-        over, across = {
-            "sum": (F.sum, F.sum),
-            "min": (F.min, F.min),
-            "max": (F.max, F.max),
-            "known": (lambda c: near(c, ignorenulls=True),) * 2,
+        # against the order the sort is turned round: a frame that grows row by row costs one step
+        # per row, a frame open to the end is evaluated anew for every row
+        place, slices = self._within, F.col(SLICE).asc()
+        if backwards:
+            place, slices = Window.partitionBy(SLICE, *self.by).orderBy(F.desc(POS)), F.col(SLICE).desc()
+        agg = {
+            "sum": F.sum,
+            "min": F.min,
+            "max": F.max,
+            "known": lambda c: F.last(c, ignorenulls=True),
         }[how]
         rows = self.rows.withColumn("__v", value)
         if how == "known":
             pick = F.min_by if backwards else F.max_by
             per_slice = pick("__v", F.when(F.col("__v").isNotNull(), F.col(POS)))
         else:
-            per_slice = across(F.col("__v"))
+            per_slice = agg(F.col("__v"))
         carried = rows.groupBy(*self.by, SLICE).agg(per_slice.alias("__s")).select(
             *self.by,
             SLICE,
-            across(F.col("__s"))
-            .over(Window.partitionBy(*self.by).orderBy(SLICE).rowsBetween(*other))
+            agg(F.col("__s"))
+            .over(Window.partitionBy(*self.by).orderBy(slices).rowsBetween(Window.unboundedPreceding, -1))
             .alias("__c"),
         )
-        here = over(F.col("__v")).over(self._within.rowsBetween(*edge))
+        here = agg(F.col("__v")).over(place.rowsBetween(Window.unboundedPreceding, 0))
         joined = join_on(rows.withColumn("__h", here), carried, [*self.by, SLICE])
         merged = {
             "sum": F.coalesce("__h", F.lit(0)) + F.coalesce("__c", F.lit(0)),

@@ -79,7 +79,8 @@ def p_adjust(df: DataFrame, p: str, key: Sequence[str], by: Sequence[str] = ())
 
     ``key`` names the test inside its family and only breaks ties in the order.
     """
-    known = df.where(F.col(p).isNotNull())
+    # the tests are written once: their number, their ranks and the result all read them
+    known = checkpoint(df.where(F.col(p).isNotNull()))
     tests = add_group_aggs(known, by, {"__m": F.count(F.lit(1))})
     run = OrderedRows(tests, by, [p, *key]).running(F.lit(1).cast("long"), "__i")
     scaled = F.col(p) * F.col("__m") / F.col("__i")

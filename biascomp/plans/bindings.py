@@ -134,8 +134,8 @@ class Tables:
     @cached_property
     def shares(self) -> DataFrame:
         """Share of each taxon at each station and size class, with the station's axis score."""
-        field = collapse_replicates(self.obs, ["size_class"], "sample_name", "taxon", "n_reads", drop_like=None)
-        field = field.where(F.col("sample_id").startswith("C1"))
+        field = self.obs.where(F.col("sample_name").startswith("C1"))
+        field = collapse_replicates(field, ["size_class"], "sample_name", "taxon", "n_reads", drop_like=None)
         shares = share(field, ["size_class", "sample_id"], "n_reads")
         return join_on(shares.withColumn("station", F.substring_index("sample_id", "_", 1)), self.meta, ["station"], null_safe=False)
 

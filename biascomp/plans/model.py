@@ -9,6 +9,7 @@ from biascomp.operators.biasmodel import BiasModel, Columns
 from biascomp.plans.analysis import sql_t_p
 from biascomp.plans.registry import query, r
 from biascomp.plans.tables import SC
+from biascomp.session import checkpoint
 
 
 def model(t) -> BiasModel:
@@ -114,7 +115,7 @@ def bias_fit_run(t):
         from design where n_reads>0 group by size_class""",
 )
 def prior_scale(t):
-    out = biasmodel.prior_scale(model(t).n_taxa)
+    out = biasmodel.prior_scale(model(t).n_taxa())
     return out.withColumns({c: r(c) for c in ["prior_scale2", "slope_p2_5", "slope_p97_5"]})
 
 
@@ -273,7 +274,7 @@ def bias_log2(t):
     both = raw_and_corrected(t).withColumn("station", F.substring_index("sample", "_", 1))
     bias = composition.log2_bias(both, "raw", "corrected", "share_low", "share_high")
     cols = ["log2_bias", "log2_low", "log2_high"]
-    mean = groups.join_on(bias, t.meta, ["station"], null_safe=False).groupBy(SC, "taxon", "zone").agg(*[F.avg(c).alias(c) for c in cols])
+    mean = checkpoint(groups.join_on(bias, t.meta, ["station"], null_safe=False).groupBy(SC, "taxon", "zone").agg(*[F.avg(c).alias(c) for c in cols]))
     order = ordered.order_by_mean(mean, [], "taxon", "log2_bias", "taxon_order").drop("mean_value")
     return groups.join_on(mean, order, ["taxon"]).withColumns({c: r(c) for c in cols})
 

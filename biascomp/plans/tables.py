@@ -64,14 +64,14 @@ def snapshot_state(t):
 @query(
     "sink_roundtrip",
     "snapshots",
-    f"""with {_NAMED} select primer, strftime(snapshot_date,'%Y-%m-%d') as snapshot_date, suffix,
+    f"""with {_NAMED} select primer, strftime(snapshot_date,'%Y-01-01') as snapshot_date, suffix,
         count(*) as n_rows, round(sum(value),2) as total from named group by all""",
 )
 def sink_roundtrip(t):
     """Dated parquet snapshots and a CSV of their summary, both written and read back."""
     root = f"{shared_folder(t.spark)}/sink-{uuid.uuid4().hex}"
     named = snapshots.name_parts(t.snapshots)
-    files.write_stamped(named.drop("snapshot_date"), f"{root}/dated", text.snapshot_date("file_name"), ["primer"])
+    files.write_stamped(named.drop("snapshot_date"), f"{root}/dated", F.trunc(text.snapshot_date("file_name"), "year"), ["primer"])
     schema = "file_name string, value double, suffix string, snapshot_date string, primer string"
     back = t.spark.read.schema(schema).parquet(f"{root}/dated")
     sums = back.groupBy("primer", "snapshot_date", "suffix").agg(
