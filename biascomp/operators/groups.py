@@ -25,9 +25,9 @@ def join_on(
     """Equi-join keeping the left keys; ``null_safe`` lets NULL keys meet."""
     if not null_safe:
         return left.join(right, list(keys), how)
-    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
+    renamed = right.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"__key_{k}" for k in keys])
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
