@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import is_finite, log2_ratio, ratio, round_half_even
 from biascomp.operators import ordered
-from biascomp.operators.groups import add_group_aggs, join_on, share
+from biascomp.operators.groups import add_group_aggs, join_groups, join_on, share
 from biascomp.session import checkpoint
 
 #: Added to a proportion before its logarithm is taken.
@@ -54,7 +54,7 @@ def normalise_to_median_depth(
     """Scale every sample to the median depth of its group, rounded half to even."""
     depths = checkpoint(depth(df, [*by, *sample], value, "__depth"))  # read twice below
     mid = ordered.median(depths, by, "__depth", "__median")
-    depths = join_on(depths, mid, by) if by else depths.join(F.broadcast(mid))
+    depths = join_groups(depths, mid, by)
     scaled = ratio(F.col("__median") * F.col(value), "__depth")
     joined = join_on(df, depths, [*by, *sample])
     return joined.withColumn(out, F.coalesce(round_half_even(scaled), F.col(value).cast("double"))).drop(
@@ -70,7 +70,7 @@ def normalise_to_median_count(
     kept = df.where(F.col(category) != drop) if drop else df
     own = ordered.median(kept, [*by, *sample], value, "__own")
     all_ = ordered.median(kept, by, value, "__group")
-    joined = join_on(join_on(kept, own, [*by, *sample]), all_, by)
+    joined = join_groups(join_on(kept, own, [*by, *sample]), all_, by)
     scaled = round_half_even(ratio(F.col(value) * F.col("__group"), "__own"))
     return joined.withColumn(out, scaled).drop("__own", "__group")
 

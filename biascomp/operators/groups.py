@@ -40,6 +40,13 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join two tables of group summaries; without groups the other one's single row is read as values."""
+    if by:
+        return join_on(left, right, by)
+    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
+
+
 def rows_without(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key the other table does not list (NULL keys compare like any value)."""
     return join_on(left, right.select(*keys), keys, "left_anti")
@@ -55,10 +62,9 @@ def add_group_aggs(
     """
     if bounded and by:
         return df.withColumns({n: c.over(Window.partitionBy(*by)) for n, c in aggs.items()})
-    cols = [c.alias(n) for n, c in aggs.items()]
     if not by:
-        # one row by construction, hence the safe broadcast
-        return df.join(F.broadcast(df.agg(*cols)), how="left", on=F.lit(True))
+        return df.withColumns({n: df.agg(c).scalar() for n, c in aggs.items()})
+    cols = [c.alias(n) for n, c in aggs.items()]
     return join_on(df, df.groupBy(*by).agg(*cols), by)
 
 

@@ -39,6 +39,12 @@ def to_wide(
     return out if fill is None else out.na.fill(fill, list(values))
 
 
+def gather_array(df: DataFrame, ids: Sequence[str], array: str, index: str = "idx", value: str = "val") -> DataFrame:
+    """Array elements to rows with their position, counted from one."""
+    at = F.posexplode(array).alias("__pos", value)
+    return df.select(*ids, at).select(*ids, (F.col("__pos") + 1).alias(index), value)
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Stack tables by column name; columns missing from one are NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

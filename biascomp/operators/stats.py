@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import ratio, t_two_sided_p
 from biascomp.operators import ordered
-from biascomp.operators.groups import add_group_aggs, join_on
+from biascomp.operators.groups import add_group_aggs, join_groups, join_on
 from biascomp.operators.ordered import OrderedRows
 from biascomp.session import checkpoint
 
@@ -112,8 +112,7 @@ def bin_width_fd(df: DataFrame, by: Sequence[str], x: str, out: str = "bin_width
     width = F.when((F.col("__n") <= 1) | (iqr == 0), F.lit(FALLBACK_BIN_WIDTH)).otherwise(
         2 * iqr / F.pow(F.col("__n").cast("double"), F.lit(1.0 / 3))
     )
-    joined = join_on(q, n, by) if by else q.join(F.broadcast(n))
-    return joined.withColumn(out, width).drop("__q1", "__q3", "__n")
+    return join_groups(q, n, by).withColumn(out, width).drop("__q1", "__q3", "__n")
 
 
 def histogram(df: DataFrame, by: Sequence[str], x: str, bins: int = 6) -> DataFrame:

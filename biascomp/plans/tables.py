@@ -409,6 +409,17 @@ def pivot_longer(t):
     return reshape.to_long(wide, ["p_partkey"], "metric", "metric_value", drop_zero=True)
 
 
+@query(
+    "array_long",
+    "",
+    """select vec_id, cast(idx as integer) as idx, round(cast(embedding[idx] as double),6)+0.0 as val
+       from (select vec_id, embedding, unnest(range(1, len(embedding)+1)) as idx from embeddings)""",
+)
+def array_long(t):
+    long = reshape.gather_array(t.read("embeddings"), ["vec_id"], "embedding")
+    return long.withColumn("val", r("val"))
+
+
 @query(
     "pivot_wider",
     "obs",

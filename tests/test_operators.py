@@ -242,3 +242,27 @@ def test_too_few_pairs(frame):
 def test_null_keys_keep_their_group(frame):
     df = frame([(None, 1), (None, 3), ("a", 4)], "g string, n long")
     assert rows(groups.share(df, ["g"], "n").na.fill("-"), "g", "share") == [("-", 0.25), ("-", 0.75), ("a", 1.0)]
+
+
+def test_axis_score_key_joins_equal_scores(frame):
+    a = compare.by_axis_score(frame([(0.1 + 0.2, "x")], "pc1 double, a string"), "pc1")
+    b = compare.by_axis_score(frame([(0.3, "y")], "pc1 double, b string"), "pc1")
+    assert groups.join_on(a, b.drop("pc1"), ["pc1_key"]).collect()[0].b == "y"
+
+
+def test_whole_table_groups(frame):
+    df = frame([("a", 1.0), ("b", 3.0)], "k string, n double")
+    assert rows(groups.share(df, [], "n"), "k", "share") == [("a", 0.25), ("b", 0.75)]
+    assert sum(r.clr for r in composition.clr(df, [], "n").collect()) == pytest.approx(0)
+    assert [r.bin_width for r in stats.bin_width_fd(df, [], "n").collect()] == [pytest.approx(2 / 2 ** (1 / 3))]
+    depth = composition.normalise_to_median_depth(df, [], ["k"], "n")
+    assert rows(depth, "k", "normalised") == [("a", 2.0), ("b", 2.0)]
+
+
+def test_publication_table_order(frame):
+    grid = frame(
+        [("S2", "raw", "x", 0.1, 0.2, 0.3, 0.4), ("S1", "raw", "x", 0.1, 0.2, 0.3, 0.4)],
+        "size string, y_variable string, x_variable string, r double, p double, p_bonferroni double, p_bh double",
+    )
+    out = compare.publication_table(grid, "size", {"r": "Pearson R"})
+    assert "Pearson R" in out.columns and [x[0] for x in out.collect()] == ["S1", "S2"]
