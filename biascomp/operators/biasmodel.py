@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import t_quantile
-from biascomp.operators.groups import join_on, spread
+from biascomp.operators.groups import add_group_aggs, join_on, spread
 from biascomp.operators.reshape import CALIBRATION
+from biascomp.session import checkpoint
 
 # Prior degrees of freedom, prior scale and the gammas of the scan.
 PRIOR_DF = 5
@@ -51,7 +53,7 @@ class Columns:
 
 
 class BiasModel:
-    """Sums behind the fit. ``counts`` should be an aggregated table: its shuffle is read once."""
+    """Sums behind the fit. The counts are read once, when the first result is asked for."""
 
     def __init__(
         self, counts: DataFrame, cols: Columns = Columns(), pseudo: float = PSEUDO_COUNT, centre: float = 0.0
@@ -70,31 +72,46 @@ class BiasModel:
             F.col(cols.value).alias("n_reads"),
             F.ln(1 + F.col(cols.value) / F.lit(pseudo)).alias("d"),
         )
-        x, r, d, s = (F.col(c) for c in ("x", "r", "d", "s"))
         #: per observation: log counts of all categories added up; over the number of categories it
         #: is the centre of the observation
         self.obs = self.rows.groupBy(*g, "obs", "sample", "x", "r").agg(
-            F.sum(d).alias("s"), F.sum("n_reads").alias("depth"),
+            F.sum("d").alias("s"), F.sum("n_reads").alias("depth"), F.count("d").alias("n_seen"),
             F.bool_or(F.col("sample") != CALIBRATION).alias("is_field"),
         )
-        #: per sample: number of observations and sums shared by all categories
-        self.samples = self.obs.groupBy(*g, "sample").agg(
-            F.count(F.lit(1)).alias("k"), F.sum(x).alias("sx"), F.sum(r).alias("sr"), F.sum(s).alias("ss"),
-            F.sum(x * x).alias("xx0"), F.sum(x * r).alias("xr0"), F.sum(r * r).alias("rr0"),
-            F.sum(x * s).alias("xs0"), F.sum(r * s).alias("rs0"), F.sum(s * s).alias("s20"),
-            F.bool_or("is_field").alias("is_field"),
-        )
-        with_s = join_on(self.rows, self.obs.select(*g, "obs", "s"), [*g, "obs"])
-        #: per sample and category with reads: own sums
-        self.cells = with_s.groupBy(*g, "sample", "taxon").agg(
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Per sample and category with reads: own sums. Written once, read by every result.
+
+        Terms of an observation that do not depend on the category are spread evenly over the
+        categories seen in it (weight ``w``), so that adding up a sample's rows gives them back and
+        the counts are read a single time.
+        """
+        g = self.group
+        x, r, d, s, w = (F.col(c) for c in ("x", "r", "d", "s", "w"))
+        centre = self.obs.select(*g, "obs", "s", (1 / F.col("n_seen")).alias("w"))
+        cells = join_on(self.rows, centre, [*g, "obs"]).groupBy(*g, "sample", "taxon").agg(
             F.sum(d).alias("sd"), F.sum(x * d).alias("xd0"), F.sum(r * d).alias("rd0"),
             F.sum(s * d).alias("sd0"), F.sum(d * d).alias("d20"),
+            F.sum(w).alias("kw"), F.sum(x * w).alias("xw"), F.sum(r * w).alias("rw"),
+            F.sum(x * x * w).alias("xxw"), F.sum(x * r * w).alias("xrw"), F.sum(r * r * w).alias("rrw"),
+        )
+        return checkpoint(cells)
+
+    @property
+    def samples(self) -> DataFrame:
+        """Per sample: number of observations and sums shared by all categories."""
+        return self.cells.groupBy(*self.group, "sample").agg(
+            F.round(F.sum("kw")).cast("long").alias("k"),
+            F.sum("xw").alias("sx"), F.sum("rw").alias("sr"), F.sum("sd").alias("ss"),
+            F.sum("xxw").alias("xx0"), F.sum("xrw").alias("xr0"), F.sum("rrw").alias("rr0"),
+            F.sum("xd0").alias("xs0"), F.sum("rd0").alias("rs0"), F.sum("sd0").alias("s20"),
         )
 
     def n_taxa(self) -> DataFrame:
         """Categories with reads per group."""
-        taxa = self.rows.groupBy(*self.group, "taxon").agg(F.sum("n_reads").alias("reads"))
-        return taxa.groupBy(*self.group).agg(F.count("reads").alias("n_taxa"))
+        taxa = self.cells.select(*self.group, "taxon").distinct()
+        return taxa.groupBy(*self.group).agg(F.count("taxon").alias("n_taxa"))
 
     def _over_m(
         self, df: DataFrame, keys: list[str], gammas: Sequence[float], over: dict[str, Column], plain: list[str],
@@ -136,8 +153,9 @@ class BiasModel:
             [*g, "taxon"], gammas,
             {"xd": sx * sd, "rd": sr * sd, "sd": ss * sd, "dd": sd * sd}, ["xd0", "rd0", "sd0", "d20"],
         )
-        n_taxa = own.groupBy(*g, "gamma").agg(F.count("xd_m").alias("n_taxa"))
-        t = join_on(own, join_on(shared, n_taxa, [*g, "gamma"]), [*g, "gamma"])
+        # one row per category of the model: counting them in a window saves computing ``own`` twice
+        own = add_group_aggs(own, [*g, "gamma"], {"n_taxa": F.count("xd_m")}, bounded=True)
+        t = join_on(own, shared, [*g, "gamma"])
         inv, n = 1 / F.col("gamma"), F.col("n_taxa")
         c = {name: F.col(name) for name in t.columns}
         det = F.col("a11") * F.col("a22") - F.col("a12") * F.col("a12")
@@ -191,7 +209,7 @@ class BiasModel:
     def field_share(self, gamma: float = GAMMA) -> DataFrame:
         """How much of the slope's information comes from samples that never vary in cycle."""
         info = F.col("xx0") - F.col("sx") * F.col("sx") / (F.col("k") + F.lit(1 / gamma))
-        own = F.sum(F.when(F.col("is_field"), info).otherwise(0.0))
+        own = F.sum(F.when(F.col("sample") != CALIBRATION, info).otherwise(0.0))
         return self.samples.groupBy(*self.group).agg((own / (F.sum(info) + F.lit(1 / gamma))).alias("field_share"))
 
     # ------------------------------------------------------------------ predictions
@@ -206,8 +224,7 @@ class BiasModel:
     def _sample_rows(self, gamma: float, field_only: bool) -> DataFrame:
         """One row per sample: sums, own sums by category as a map, fitted categories of its group."""
         g = self.group
-        # an aggregated flag, as a filter on the name would reach the scan and forbid sharing it
-        samples = self.samples.where("is_field") if field_only else self.samples
+        samples = self.samples.where(F.col("sample") != CALIBRATION) if field_only else self.samples
         own = self.cells.groupBy(*g, "sample").agg(
             F.map_from_entries(F.collect_list(F.struct("taxon", "sd"))).alias("own")
         )
@@ -318,7 +335,7 @@ class BiasModel:
         own = self.rows.groupBy(*g, "obs").agg(
             F.map_from_entries(F.collect_list(F.struct("taxon", F.struct("d", "n_reads")))).alias("seen")
         )
-        obs = join_on(self.obs.drop("is_field"), own, [*g, "obs"])
+        obs = join_on(self.obs.drop("is_field", "n_seen"), own, [*g, "obs"])
         return join_on(obs, self._sample_rows(gamma, field_only=False), [*g, "sample"])
 
     def residual_covariance(self, gamma: float = GAMMA) -> DataFrame:
