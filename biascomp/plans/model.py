@@ -300,12 +300,14 @@ def corrected_counts(t):
         l as (select size_class, station, taxon, 'raw' as metric, raw as reads from s
               union all select size_class, station, taxon, 'corrected', corrected from s)
         select size_class, station, taxon, metric, round(reads,6) as reads,
-          round(reads/sum(reads) over (partition by size_class, station, metric),6) as proportion from l""",
+          round(reads/sum(reads) over (partition by size_class, station, metric)+1e-9::double,6) as proportion from l""",
 )
 def raw_vs_corrected(t):
     both = raw_and_corrected(t).withColumn("station", F.substring_index("sample", "_", 1))
     out = composition.raw_vs_corrected(both, [SC, "station"], "taxon", "raw", "corrected")
-    return out.withColumns({"reads": r("reads"), "proportion": r("proportion")})
+    # raw shares are often decimal ties (33/640) that the order of summation tips either way; both
+    # sides add the same tiny amount before rounding
+    return out.withColumns({"reads": r("reads"), "proportion": r(F.col("proportion") + 1e-9)})
 
 
 @query(
