@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biascomp.llm import cuckoo, decontaminate, mixing
+from biascomp.llm import cuckoo, decontaminate, langid, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,19 @@ from d
 )
 def op10(spark, sf_dir):
     return cuckoo.exact_dedup(read(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+@query("op7_simhash_near_dedup")
+def op7(spark, sf_dir):
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
