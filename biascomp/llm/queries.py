@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biascomp.llm import cuckoo, decontaminate, langid, mixing, quality, simhash
+from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,26 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op5_substring_dedup")
+def op5(spark, sf_dir):
+    found = chunks.substring_dedup(read(spark, sf_dir, "documents"))
+    return found.drop("kept")
+
+
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+@query("op8_pii_weak_supervision")
+def op8(spark, sf_dir):
+    found = pii.find(read(spark, sf_dir, "documents"))
+    order = F.array(*[F.lit(k) for k in pii.KINDS])
+    by_kind = F.transform(
+        F.concat("base", "added"),
+        lambda s: F.struct(F.array_position(order, s.kind).alias("place"), s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")),
+    )
+    kinds = F.transform("base", lambda s: s.kind)
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed(F.array_sort(by_kind)).alias("spans"))
