@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, pii, quality, simhash
+from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, pii, quality, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,8 @@ def op8(spark, sf_dir):
     kinds = F.transform("base", lambda s: s.kind)
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed(F.array_sort(by_kind)).alias("spans"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark, sf_dir):
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
