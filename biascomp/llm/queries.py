@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, pii, quality, simhash, suffixes
+from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, pii, quality, simhash, suffixes, tokenshards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,8 @@ def op8(spark, sf_dir):
 @query("op3_suffix_array_dedup")
 def op3(spark, sf_dir):
     return suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op1_token_shards")
+def op1(spark, sf_dir):
+    return tokenshards.sequences(read(spark, sf_dir, "documents"))
