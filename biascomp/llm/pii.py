@@ -156,17 +156,18 @@ def features(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
 def reliabilities(patterns: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[float, np.ndarray, np.ndarray]:
     """(share of true spans, P(vote | truth) per labeler, posterior per pattern) by EM.
 
-    patterns: votes -1, 0, 1; n: how often each occurs. Starts from the majority of the votes.
+    patterns: votes -1, 0, 1; n: how often each occurs. Starts from the majority of the votes. A
+    labeler without an opinion says nothing about the truth: only votes for and against count.
     """
     post = 1 / (1 + np.exp(-patterns.sum(1).astype(float)))
-    prior, table = 0.5, np.full((patterns.shape[1], 2, 3), 1 / 3)
+    prior, table = 0.5, np.ones((patterns.shape[1], 2, 3))
     for _ in range(rounds):
         w = np.stack([n * (1 - post), n * post])
         prior = (w[1].sum() + 1) / (n.sum() + 2)
         for k in range(patterns.shape[1]):
-            for v in (-1, 0, 1):
+            for v in (-1, 1):
                 table[k, :, v + 1] = w[:, patterns[:, k] == v].sum(1) + 0.5
-        table /= table.sum(2, keepdims=True)
+            table[k, :, ::2] /= table[k, :, ::2].sum(1, keepdims=True)
         logs = np.log([[1 - prior], [prior]]) + sum(np.log(table[k][:, patterns[:, k] + 1]) for k in range(patterns.shape[1]))
         post = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
     return prior, table, post

@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", rows: int = T
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["i", "y", "x"])
 
     got = sorted(known.mapInArrow(scan, "i long, y int, x array<double>").limit(2 * rows).collect())
-    return fit_trees(np.array([r["x"] for r in got]).reshape(len(got), -1), np.array([r["y"] for r in got], np.float64))
+    return fit_trees(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], np.float64))
 
 
 def scored(docs: DataFrame, trees: Trees, name: str = "score", *, text: str = "text") -> DataFrame:
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, trees: Trees, name: str = "score", *, text: str = "t
     def scan(batches):
         for b in batches:
             texts = b.column(len(names)).to_pylist()
-            x = np.array([statistics(t) for t in texts]).reshape(len(texts), -1)
+            x = np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))
             score = np.concatenate([sent.value.score(x[at : at + 1000]) for at in range(0, len(x), 1000)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(score, pa.float64())], names=[*names, name])
 

@@ -1,0 +1,539 @@
+"""The operators on small awkward inputs, each against a plain version of the same rule."""
+
+import hashlib
+import re
+import subprocess
+import sys
+
+import numpy as np
+import pytest
+import xxhash
+
+from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, pii, quality, simhash, suffixes, tokenshards
+from biascomp.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, part int, fp long"
+
+A = "the quick brown fox jumps over the lazy dog and runs far away from the barking crowd of angry village people today"
+B = "un texte assez long pour être répété plusieurs fois dans la même collection de documents sans aucune autre raison que cela"
+ROWS = [
+    (1, A, "en", "a"),
+    (2, A, "en", "a"),
+    (2, A, "en", "a"),
+    (3, None, None, None),
+    (None, B, "fr", "b"),
+    (5, "", "en", "b"),
+    (6, "x", None, "a"),
+    (7, f"{A} {B} " * 40, "fr", "c"),
+    (8, B.upper(), "fr", None),
+    (9, "ab" * 400, "en", "c"),
+    (10, f"prefix {A} suffix", "en", "a"),
+    (11, " \n\t ", "en", "a"),
+    (-4, f"ü {A}", "en", "a"),
+    (13, "z" * 99, "en", "é"),
+    (14, "z" * 100, "en", "é"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, lang, s, 0 if t is None else len(t), 0.5, 1, 2) for i, t, lang, s in ROWS]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def key(i):
+    return (i is not None, i or 0)
+
+
+def rows_of(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
+
+
+# -- exact deduplication ---------------------------------------------------------------------
+
+
+def test_exact_dedup_against_groups(docs):
+    got = cuckoo.exact_dedup(docs).collect()
+    groups = {}
+    for i, t, *_ in ROWS:
+        groups.setdefault(t or "", []).append(i)
+    assert len(got) == len(ROWS)
+    for r in got:
+        own = next(g for t, g in groups.items() if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256)
+        assert r.group_size == len(own) and r.keep_id == max(own, key=key) and r.doc_id in own
+    assert sum(r.kept for r in got) == len(groups)
+
+
+def test_exact_dedup_of_nothing(nothing):
+    assert cuckoo.exact_dedup(nothing).count() == 0
+
+
+def test_index_inserts_and_deletes(spark):
+    first = cuckoo.digests(spark.createDataFrame([(i, f"text {i % 700}") for i in range(1500)], "doc_id long, text string"))
+    index = cuckoo.update(cuckoo.empty_index(spark), 3, first)
+    gone = first.where("doc_id < 100").select("text_sha256")
+    index = cuckoo.update(index, 3, deletes=gone)
+    assert cuckoo.entries(index).count() == 600
+    more = cuckoo.digests(spark.createDataFrame([(9000, "text 5"), (9001, "text 200")], "doc_id long, text string"))
+    after = {r.keep_id: r.group_size for r in cuckoo.entries(cuckoo.update(index, 3, more)).collect()}
+    assert after[9000] == 1 and after[9001] == 3 and len(after) == 601
+
+
+def test_filter_has_no_false_negatives_and_grows():
+    shard = cuckoo.Shard()
+    live = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(3000)]
+    for d in live:
+        shard.insert(d, (True, 1, 1), 1)
+    assert shard.filter.n > 4 and all(d in shard.filter and shard.has(d) for d in live)
+    for d in live[::2]:
+        shard.delete(d)
+    assert all(shard.has(d) for d in live[1::2]) and not any(shard.has(d) for d in live[::2])
+
+
+# -- mixing ----------------------------------------------------------------------------------
+
+
+def test_mix_targets_and_copies(spark, docs):
+    plan = mixing.mix_plan(docs).collect()
+    sizes = {}
+    for i, t, _, s in ROWS:
+        sizes[s] = sizes.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, target, capped = sum(sizes.values()), {}, set()
+    while True:
+        rest, share = total - sum(3 * sizes[s] for s in capped), sum(weight[s] for s in order if s not in capped)
+        target = {s: 3 * sizes[s] if s in capped else weight[s] * rest / share for s in order}
+        over = {s for s in order if s not in capped and target[s] > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    by_size = {(sizes[s], round(target[s], 6)) for s in order}
+    assert len(plan) == len(ROWS)
+    assert all((r.source_size, round(r.target, 6)) in by_size and r.taken <= 3 * r["size"] for r in plan)
+    assert rows_of(mixing.mix_plan(docs), "doc_id", "taken") == rows_of(mixing.mix_plan(docs.repartition(5)), "doc_id", "taken")
+
+
+def test_mixed_rows_follow_the_plan(docs):
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    taken = {}
+    for r in mixing.mix_plan(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    seen = {}
+    for r in mixed.collect():
+        seen[r.doc_id] = seen.get(r.doc_id, 0) + len((r.text or "").split())
+    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in seen.items() if v}
+
+
+def test_mix_comes_near_its_targets(spark):
+    rows = [(k, "w " * (20 + k % 50), f"s{k % 4 if k % 3 else 0}") for k in range(8000)]
+    plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in plan.groupBy("source_size", "target").agg({"taken": "sum"}).collect():
+        assert abs(r["sum(taken)"] / r.target - 1) < 0.05
+
+
+def test_mix_of_nothing(nothing):
+    assert mixing.mix_plan(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
+
+
+# -- decontamination -------------------------------------------------------------------------
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_hits(text, items, window=10):
+    words, hit, found = plain_words(text), set(), set()
+    for item, body in items:
+        own = plain_words(body)
+        n = min(window, len(own))
+        for k in range(len(own) - n + 1) if own else ():
+            for p in range(len(words) - n + 1):
+                if words[p : p + n] == own[k : k + n]:
+                    hit |= set(range(p, p + n))
+                    found |= {str(item)} if item is not None else set()
+    return len(words), len(hit), sorted(found)
+
+
+ITEMS = [
+    (1, A), (2, "Villages PEOPLE today"), (2, "people TODAY"), (3, None), (4, "..."), (None, "lazy dog"), (5, B[10:90]), (6, "ab" * 400),
+    (10, "nothing of this kind is found in any of the texts at all"),
+]
+
+
+@pytest.mark.parametrize("block", [16 << 20, 30])
+def test_contamination_against_all_windows(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 300)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = rows_of(decontaminate.contamination(docs, bench), "doc_id", "n_words", "n_hit", "item_ids")
+    assert got == sorted(((i, *plain_hits(t, ITEMS)) for i, t, *_ in ROWS), key=repr)
+    clean = decontaminate.decontaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert rows_of(clean, "doc_id") == sorted(((i,) for i, t, *_ in ROWS if not plain_hits(t, ITEMS)[1]), key=repr)
+
+
+def test_longest_matches(spark, docs):
+    bench = spark.createDataFrame([(1, f"something {A} else")], "item_id long, text string")
+    found = {r.item_pos: r for r in decontaminate.longest_matches(docs, bench).collect()}
+    n = len(A.split())
+    assert found[1].n_words == n and (found[1].doc_id, found[1].doc_pos) == (-4, 1)
+    assert found[n - 9].n_words == 10 and n - 8 not in found and 0 not in found
+
+
+def test_contamination_of_nothing(spark, docs, nothing):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contamination(nothing, none).count() == 0
+    assert decontaminate.contamination(docs, none).where("n_hit > 0").count() == 0
+    assert decontaminate.decontaminated(docs, none).count() == len(ROWS)
+    assert decontaminate.longest_matches(docs, none).count() == 0
+
+
+# -- suffix arrays ---------------------------------------------------------------------------
+
+
+def plain_removed(rows, window):
+    """(doc_id, bytes, removed, spans, digest) with windows in a set; rows in order."""
+    seen, out = set(), []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for s in range(len(b) - window + 1):
+            w = b[s : s + window]
+            if w in seen:
+                gone[s : s + window] = True
+            seen.add(w)
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("settings", [{}, {"part_bytes": 400}, {"part_bytes": 400, "hot": 1}])
+def test_removed_bytes_against_all_windows(docs, settings):
+    got = rows_of(suffixes.remove_repeats(docs, **settings), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == plain_removed(sorted(((i, t) for i, t, *_ in ROWS), key=lambda r: key(r[0])), 100)
+
+
+def test_removed_bytes_of_random_texts(spark):
+    draw = np.random.default_rng(5)
+    pieces = ["".join(draw.choice(list("abcé"), draw.integers(20, 200))) for _ in range(12)]
+    rows = [(k, "".join(draw.choice(pieces, draw.integers(0, 9)))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.remove_repeats(df, part_bytes=3000, hot=5)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_removed(rows, 100)
+
+
+def test_suffix_order_is_the_true_one():
+    draw = np.random.default_rng(1)
+    contexts = [bytes(draw.choice(2, draw.integers(1, 60)).astype(np.uint8)) for _ in range(40)] + [b"\0" * 50, b"\0" * 50]
+    length = np.array([len(c) for c in contexts])
+    first = np.concatenate([[0], np.cumsum(length + 7)])[:-1]
+    data = np.frombuffer(b"".join(c + b"\0" * 7 for c in contexts), np.uint8)
+    ends = np.repeat(first + length, length + 7)
+    symbols = np.where(np.arange(len(data)) < ends, data.astype(np.int16) + 1, 0)
+    starts = np.flatnonzero(symbols)
+    keys = suffixes._pack(symbols)
+    order = suffixes.suffix_order(starts, keys, suffixes.cover_ranks(symbols, keys, ends))
+    tails = [bytes(data[s : ends[s]]) for s in order]
+    assert sorted(order) == sorted(starts) and tails == sorted(tails)
+
+
+def test_nothing_is_removed_from_nothing(nothing):
+    assert suffixes.remove_repeats(nothing).count() == 0
+
+
+# -- chunks ----------------------------------------------------------------------------------
+
+
+def test_chunks_cover_the_text_and_resist_insertions():
+    text = np.random.default_rng(2).integers(97, 123, 50_000).astype(np.uint8).tobytes()
+    ends = chunks.chunk_ends(text)
+    sizes = np.diff([0, *ends])
+    assert ends[-1] == len(text) and sizes[:-1].min() >= chunks.MIN_CHUNK and sizes.max() <= chunks.MAX_CHUNK
+    moved = chunks.chunk_ends(b"inserted" + text)
+    assert len({e + 8 for e in ends} & set(moved)) > 0.95 * len(ends)
+
+
+def test_gear_hash_is_its_sum():
+    data = np.random.default_rng(3).integers(0, 256, 100).astype(np.uint8)
+    want = [sum(int(chunks.GEAR[data[i - j]]) << j for j in range(min(32, i + 1))) % 2**32 for i in range(len(data))]
+    assert chunks.gear_hash(data).tolist() == want
+
+
+def test_substring_dedup_against_a_set(docs):
+    seen, want = set(), []
+    for i, t in sorted(((i, t) for i, t, *_ in ROWS), key=lambda r: key(r[0])):
+        b, start, kept = (t or "").encode(), 0, []
+        for end in chunks.chunk_ends(b):
+            if b[start:end] not in seen:
+                kept.append(b[start:end])
+            seen.add(b[start:end])
+            start = end
+        want.append((i, len(b), hashlib.sha256(b"".join(kept)).hexdigest()))
+    got = chunks.substring_dedup(docs)
+    assert rows_of(got, "doc_id", "n_bytes", "kept_sha256") == sorted(want, key=repr)
+    assert next(r for r in got.collect() if r.doc_id == 2 and r.n_removed).first_docs
+
+
+def test_no_chunks_in_nothing(nothing):
+    assert chunks.substring_dedup(nothing).count() == 0
+
+
+# -- SimHash ---------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fps):
+    root = list(range(len(fps)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_near_duplicates_against_all_pairs(docs):
+    ids, fps = [r[0] for r in ROWS], [plain_fingerprint(r[1]) for r in ROWS]
+    group = plain_components(fps)
+    least = {}
+    for i, g in zip(ids, group):
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    want = sorted(((i, fp - (1 << 64) if fp >> 63 else fp, least[g]) for i, fp, g in zip(ids, fps, group)), key=repr)
+    assert rows_of(simhash.near_duplicates(docs), "doc_id", "fp", "component_id") == want
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns and rows_of(kept, "doc_id") == sorted(((x,) for x in set(least.values())), key=repr)
+
+
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_links_of_crowded_fingerprints(spark, bucket):
+    draw = np.random.default_rng(bucket)
+    centres = draw.integers(0, 2**63, 5)
+    fps = sorted({int(c) ^ sum(1 << int(b) for b in draw.integers(0, 62, draw.integers(0, 4))) for c in centres for _ in range(60)})
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    member = {r.node: r.component for r in components(simhash.links(nodes, bucket=bucket)).collect()}
+    group = plain_components(fps)
+    assert [member.get(f, f) for f in fps] == [fps[g] for g in group]
+
+
+def test_thresholds_keep_the_pigeonhole_and_unequal_ones_win():
+    n, both = 10**6, np.full((64, 64), 250_000.0) + np.diag(np.full(64, 250_000.0))
+    for most in (1, 2, 3):
+        plan = simhash.search_plan(n, both, most)
+        assert len({b for bits, _ in plan for b in bits}) == sum(len(bits) for bits, _ in plan)
+    cost, chosen = simhash.allocate([[0, 9, 9, 9], [0, 1, 2, 50], [0, 1, 30, 90]], 0)
+    assert chosen == [-1, 1, 0] and cost == 3
+    assert abs(simhash.agreement(n, both, list(range(20)), 1)[0] / 2**-20 - 1) < 0.01
+
+
+def test_no_fingerprints_of_nothing(nothing):
+    assert simhash.near_duplicates(nothing).count() == 0 and simhash.near_dedup(nothing).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a long, b long")
+    assert {(r.node, r.component) for r in components(edges).collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
+
+
+# -- quality ---------------------------------------------------------------------------------
+
+
+def test_trees_learn_a_rule_and_score_alike_one_by_one():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    trees = quality.fit_trees(x, y)
+    score = trees.score(x)
+    assert ((score > 0.5) == y).mean() > 0.97 and score.min() >= 0 and score.max() <= 1
+    assert np.allclose([trees.score(r[None])[0] for r in x[:50]], score[:50])
+
+
+def test_quality_of_awkward_texts(spark, docs, nothing):
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, *_) in enumerate(ROWS)] + [(77, None)], "doc_id long, quality int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    assert quality.classify(nothing, labels).count() == 0
+    none = labels.where("false")
+    assert {r.score for r in quality.classify(docs, none).collect()} == {1.0}
+    assert quality.accepted(docs, none).columns == docs.columns
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    found = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = found.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+
+
+# -- languages -------------------------------------------------------------------------------
+
+
+def test_viterbi_finds_the_best_path():
+    draw = np.random.default_rng(6)
+    scores = draw.normal(size=(6, 3)) * 3
+    best = max(np.ndindex(*(3,) * 6), key=lambda p: sum(scores[k, s] for k, s in enumerate(p)) - 2 * sum(a != b for a, b in zip(p, p[1:])))
+    assert tuple(langid.viterbi(scores, 2.0)) == best
+
+
+def test_languages_of_mixed_text(spark, docs, nothing):
+    cyr = "это простой русский текст без всяких латинских слов и он повторяется снова"
+    rows = [(100 + k, t, lang) for k in range(60) for t, lang in ((A, "en"), (B, "fr"), (cyr, "ru"))]
+    model = langid.learn(spark.createDataFrame([(i * 7 + k, t, x) for k, (i, t, x) in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "fr", "ru"]
+    assert model.predict(cyr)[0] == "ru" and model.predict(f"{A} {A} {B}")[0] == "en" and model.predict("12 34")[0] == "und"
+    mixed = spark.createDataFrame([(1, f"{A} {B} {A}"), (2, None)], "doc_id long, text string")
+    spans = {r.doc_id: [(s.lang, s.n_words) for s in r.spans] for r in langid.spans(mixed, model).collect()}
+    assert [x for x, _ in spans[1]] == ["en", "fr", "en"] and spans[2] == []
+    got = langid.identify(docs).collect()
+    assert len(got) == len(ROWS)
+    assert {r.lang_pred for r in got if r.doc_id in (3, 5, 11)} == {"und"} and all(0 <= r.score <= 1 for r in got)
+    assert langid.identify(nothing).count() == 0
+
+
+def test_languages_on_held_out_rows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = langid.identify(df).where("held_out").join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.98
+
+
+def test_staying_is_the_best_path_where_the_shortcut_says_so():
+    draw = np.random.default_rng(8)
+    for _ in range(300):
+        scores = draw.normal(size=(30, 3)) * draw.choice([0.5, 2, 4])
+        best = int(scores.sum(0).argmax())
+        gain = np.cumsum(scores - scores[:, [best]], axis=0)
+        low = np.minimum.accumulate(np.concatenate([np.zeros((1, 3)), gain[:-1]]))
+        if (gain - low).max() <= 6:
+            path = langid.viterbi(scores, 6.0)
+            value = scores[np.arange(30), path].sum() - 6 * (np.diff(path) != 0).sum()
+            assert abs(value - scores[:, best].sum()) < 1e-9
+
+
+# -- personal data ---------------------------------------------------------------------------
+
+
+def plain_base(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 16 <= len(d) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_base_spans_against_the_patterns():
+    draw = np.random.default_rng(9)
+    pieces = ["a@b.c", "@", ".", "x.y", "1.2.3.4", "300.1.1.1", "0001.2.3.4.5.6.7.8", "4111 1111-1111 1111", "4111111111111112", "+1 (771) 555-1655",
+              "+", " ", "-", "é", "12", "%", "foo@bar", "@b.c@d.e.f", "+12", "(", "a@b..c", "²", "٣.٣.٣.٣"]
+    for _ in range(3000):
+        text = "".join(draw.choice(pieces, draw.integers(0, 9)))
+        found = pii.base_spans(text)
+        assert [(k, s, e) for k in pii.KINDS for s, e in found[k]] == plain_base(text), text
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "1 " * 100_000):
+        pii.base_spans(text)
+        pii.proposals(text, pii.base_spans(text))
+
+
+def test_weak_supervision_adds_spans_and_keeps_the_base(spark, docs, nothing):
+    rows = [(k, f"please call 771 555 {1000 + k} or +1 (771) 555-{1000 + k} or write john{k}@mail.com today") for k in range(60)]
+    rows += [(500, None), (None, "a@b.c"), (501, "é 4111 1111 1111 1111")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert [(s.kind, s.start, s.end) for s in got[i].base] == plain_base(t or "")
+        base = {(s.kind, p) for s in got[i].base for p in range(s.start, s.end)}
+        assert not any((s.kind, p) in base for s in got[i].added for p in range(s.start, s.end))
+    assert [s.kind for s in got[7].added] == ["phone"]
+    assert pii.find(docs).count() == len(ROWS) and pii.find(nothing).count() == 0
+
+
+def test_reliabilities_find_the_bad_labeler():
+    draw = np.random.default_rng(10)
+    truth = draw.random(4000) < 0.4
+    vote = np.stack([np.where(draw.random(4000) < q, truth, ~truth) * 2 - 1 for q in (0.9, 0.85, 0.5)], 1)
+    patterns, n = np.unique(vote, axis=0, return_counts=True)
+    prior, table, post = pii.reliabilities(patterns, n.astype(float))
+    assert abs(prior - 0.4) < 0.08 and table[0, 1, 2] > 0.8 and abs(table[2, 1, 2] - 0.5) < 0.1
+
+
+# -- token shards ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
+def test_feistel_is_a_permutation(n):
+    got = tokenshards.feistel(np.arange(n), n, 7)
+    assert sorted(got.tolist()) == list(range(n))
+    assert n < 100 or (got != tokenshards.feistel(np.arange(n), n, 8)).mean() > 0.9
+
+
+def test_shards_hold_every_id_once_in_slot_order(spark, docs, tmp_path):
+    import base64
+
+    import tiktoken
+
+    layout, held = tokenshards.write_shards(docs, seq_len=16, shard_sequences=20, folder=str(tmp_path / "s"))
+    with open(tokenshards.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=tokenshards.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    files = sorted((tmp_path / "s" / "shards").glob("part-*"))
+    assert len(files) == layout.n_shards
+    assert all(f.stat().st_size == layout.stride * 20 for f in files[:-1])
+    data = b"".join(f.read_bytes() for f in files)
+    by_slot = [np.frombuffer(data[k : k + 32], "<u2") for k in range(0, len(data), layout.stride)]
+    stream = np.concatenate([by_slot[s] for s in tokenshards.feistel(np.arange(layout.n_sequences), layout.n_sequences, layout.key)])
+    texts = sorted(tuple(x) for x in np.split(stream, np.flatnonzero(stream == layout.end_id) + 1) if len(x) > 1)
+    assert texts == sorted(tuple(plain.encode_ordinary(t)) + (layout.end_id,) for _, t, *_ in ROWS if t)
+    back = tokenshards.read_back(spark, layout, 15, 45).collect()
+    assert sorted(r.slot for r in back) == list(range(15, 45))
+    for r in back:
+        assert bytes(r.record) == by_slot[r.slot].tobytes()
+        at = r.shard * 20 + r.byte_offset // layout.stride
+        assert at == r.slot
+    rows = held.collect()
+    assert sum(r.n_tokens for r in rows) == sum(len(plain.encode_ordinary(t or "")) + 1 for _, t, *_ in ROWS)
+    assert {i for r in rows for i in r.doc_ids} == {i for i, *_ in ROWS if i is not None}
+
+
+def test_sequences_of_nothing(nothing):
+    assert tokenshards.sequences(nothing).count() == 0
+
+
+# -- the rest of the library does not need this subpackage -------------------------------------
+
+
+def test_entry_works_without_the_subpackage():
+    code = (
+        "import sys\n"
+        "class Gone:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        "        if name in ('biascomp.llm', 'corpus_pipeline'):\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
+        "sys.meta_path.insert(0, Gone())\n"
+        "import __spark_entry__ as e\n"
+        "assert len(e.queries()) > 100 and not any(k.startswith('op1') for k in e.queries()) and 'pipeline' not in e.queries()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=str(__import__("pathlib").Path(__file__).parents[2]))
