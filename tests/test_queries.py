@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from biascomp import plans
 from biascomp.plans import check
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return check.connect(SF)
 
 
-@pytest.mark.parametrize("key", sorted(entry_module.queries()))
+@pytest.mark.parametrize("key", sorted(plans.queries()))
 def test_query_matches_sql(spark, con, key):
     ok, note = check.compare(key, spark, con, SF, tol=1.5e-6)
     assert ok, note
@@ -26,4 +27,4 @@ def test_entry_has_rows(spark):
 
 def test_sql_keys_are_queries():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == {"predict_cycle0_draws", "ppc"}
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"predict_cycle0_draws", "ppc"}
