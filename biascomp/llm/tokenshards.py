@@ -23,12 +23,13 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from dataclasses import asdict, dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,26 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEQ_LEN, SHARD_SEQUENCES, KEY, ROUNDS = 1024, 8192, 2024, 6
 #: Words whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 200_000
+
+
+#: The same split for texts of ASCII and Latin letters only, and what such texts must not hold.
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]++| ?[0-9]++| ?[^\s{_LETTER}0-9]++|\s+(?!\S)|\s+")
+_NOT_LATIN = re.compile("[\x1c-\x1f²³¹¼½¾ɐ-\U0010ffff]")
+
+
+class _Known(dict):
+    """Packed ids of words; a new word is encoded when it is first asked for."""
+
+    def __init__(self, encode, pack):
+        self.encode, self.pack = encode, pack
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = ids = self.pack(self.encode(word))
+        return ids
 
 
 class Tokenizer:
@@ -53,21 +73,23 @@ class Tokenizer:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         self.end = max(ranks.values()) + 1
         self.type = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
-        self.split = regex.compile(pattern).findall
-        self._encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._known: dict[str, bytes] = {}
-        self.closing = np.array([self.end], self.type).tobytes()
-
-    def _new(self, word: str) -> bytes:
-        if len(self._known) >= MEMORY:
-            self._known.clear()
-        self._known[word] = ids = np.array(self._encode(word), self.type).tobytes()
-        return ids
+        self._latin = _LATIN.findall if pattern == PATTERN else None
+        encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._encode = encoding.encode_ordinary
+        self._known = _Known(encoding._encode_single_piece, self.pack)
+        self.closing = self.pack([self.end])
+
+    def pack(self, ids: list[int]) -> bytes:
+        ids = array("H" if self.type.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def document(self, text: str) -> bytes:
         """The ids of a text and the end token, packed."""
-        get, new = self._known.get, self._new
-        return b"".join([get(w) or new(w) for w in self.split(text)]) + self.closing
+        if self._latin and not _NOT_LATIN.search(text):
+            return b"".join(map(self._known.__getitem__, self._latin(text))) + self.closing
+        return self.pack(self._encode(text)) + self.closing
 
 
 @lru_cache(2)

@@ -518,6 +518,22 @@ def test_shards_hold_every_id_once_in_slot_order(spark, docs, tmp_path):
     assert {i for r in rows for i in r.doc_ids} == {i for i, *_ in ROWS if i is not None}
 
 
+def test_words_looked_up_give_the_ids_of_the_whole_text():
+    import base64
+
+    import tiktoken
+
+    with open(tokenshards.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=tokenshards.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = tokenshards.Tokenizer(tokenshards.VOCABULARY, tokenshards.PATTERN)
+    draw = np.random.default_rng(12)
+    pieces = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "a", "Zé", "ß", "×", "ª", "²", "½", "12", "'s", "'ll", "'", '"', "...", "_", "ɏ", "ɐ", "日本", "\u0301", "😀"]
+    for k in range(4000):
+        text = "".join(draw.choice(pieces[: 10 + k % 17], draw.integers(0, 12)))
+        assert np.frombuffer(own.document(text), own.type).tolist() == plain.encode_ordinary(text) + [own.end], repr(text)
+
+
 def test_sequences_of_nothing(nothing):
     assert tokenshards.sequences(nothing).count() == 0
 
