@@ -41,25 +41,25 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEQ_LEN, SHARD_SEQUENCES, KEY, ROUNDS = 1024, 8192, 2024, 6
 #: Words whose ids a worker remembers.
-MEMORY = 200_000
+MEMORY = 250_000
 
 
 #: The same split for texts of ASCII and Latin letters only, and what such texts must not hold.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]++| ?[0-9]++| ?[^\s{_LETTER}0-9]++|\s+(?!\S)|\s+")
+_LATIN = re.compile(rf" ?[{_LETTER}]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[^\s{_LETTER}0-9]++|\s+(?!\S)|\s+")
 _NOT_LATIN = re.compile("[\x1c-\x1f²³¹¼½¾ɐ-\U0010ffff]")
 
 
 class _Known(dict):
     """Packed ids of words; a new word is encoded when it is first asked for."""
 
-    def __init__(self, encode, pack):
-        self.encode, self.pack = encode, pack
+    def __init__(self, encode):
+        self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
-        self[word] = ids = self.pack(self.encode(word))
+        self[word] = ids = self.encode(word)
         return ids
 
 
@@ -76,7 +76,7 @@ class Tokenizer:
         self._latin = _LATIN.findall if pattern == PATTERN else None
         encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._encode = encoding.encode_ordinary
-        self._known = _Known(encoding._encode_single_piece, self.pack)
+        self._words = _Known(lambda word: self.pack(encoding._encode_single_piece(word)))
         self.closing = self.pack([self.end])
 
     def pack(self, ids: list[int]) -> bytes:
@@ -88,7 +88,7 @@ class Tokenizer:
     def document(self, text: str) -> bytes:
         """The ids of a text and the end token, packed."""
         if self._latin and not _NOT_LATIN.search(text):
-            return b"".join(map(self._known.__getitem__, self._latin(text))) + self.closing
+            return b"".join(map(self._words.__getitem__, self._latin(text))) + self.closing
         return self.pack(self._encode(text)) + self.closing
 
 

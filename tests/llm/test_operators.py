@@ -530,7 +530,7 @@ def test_words_looked_up_give_the_ids_of_the_whole_text():
     draw = np.random.default_rng(12)
     pieces = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "a", "Zé", "ß", "×", "ª", "²", "½", "12", "'s", "'ll", "'", '"', "...", "_", "ɏ", "ɐ", "日本", "\u0301", "😀"]
     for k in range(4000):
-        text = "".join(draw.choice(pieces[: 10 + k % 17], draw.integers(0, 12)))
+        text = "".join(draw.choice(pieces[: 10 + k % 17] if k % 2 else [" ", " ", "\n", "ab", "c", ".", "'s", "'", "7", "é"], draw.integers(0, 12)))
         assert np.frombuffer(own.document(text), own.type).tolist() == plain.encode_ordinary(text) + [own.end], repr(text)
 
 
