@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from biascomp.session import shared_folder
 
 #: Text bytes that one grouped Python task is meant to hold at a time.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 
 
 def new_folder(df: DataFrame, what: str) -> str:
