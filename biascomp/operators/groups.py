@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from biascomp.functions.numeric import ratio
 
@@ -103,8 +104,7 @@ def distinct_first(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Da
 
 def sum_all_numeric(df: DataFrame, by: Sequence[str], how: str = "sum") -> DataFrame:
     """Sum or mean of every numeric column per group."""
-    kinds = ("int", "bigint", "smallint", "tinyint", "float", "double")
-    numeric = [n for n, t in df.dtypes if t in kinds and n not in by]
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in by]
     fn = {"sum": F.sum, "mean": F.avg}[how]
     return df.groupBy(*by).agg(*[fn(n).alias(n) for n in numeric])
 
@@ -116,10 +116,17 @@ def closure_errors(df: DataFrame, by: Sequence[str], value: str, tol: float = 1e
 
 
 def conservation(before: DataFrame, after: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Group totals before and after a step, and what was lost."""
-    b = before.groupBy(*by).agg(F.sum(value).alias("before"))
-    a = after.groupBy(*by).agg(F.sum(value).alias("after"))
-    both = b.join(a, list(by), "full").na.fill(0, ["before", "after"])
+    """Group totals before and after a step, and what was lost; a NULL group is one group.
+
+    One sum over both tables at once: no join, so groups on one side only need no care.
+    """
+    sides = [
+        df.select(*by, F.col(value).alias("__v"), F.lit(here).alias("__before")) for df, here in ((before, True), (after, False))
+    ]
+    total = {
+        name: F.coalesce(F.sum(F.when(F.col("__before") == here, F.col("__v"))), F.lit(0)) for name, here in (("before", True), ("after", False))
+    }
+    both = sides[0].unionByName(sides[1]).groupBy(*by).agg(*[c.alias(n) for n, c in total.items()])
     return both.withColumn("lost", F.col("before") - F.col("after"))
 
 

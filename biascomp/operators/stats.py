@@ -77,7 +77,8 @@ def ols(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 def p_adjust(df: DataFrame, p: str, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Bonferroni and Benjamini–Hochberg corrections over the tests of each family.
 
-    ``key`` names the test inside its family and only breaks ties in the order.
+    ``key`` names the test inside its family and only breaks ties in the order. A test without a p
+    stays, without corrections, and does not count towards its family.
     """
     # the tests are written once: their number, their ranks and the result all read them
     known = checkpoint(df.where(F.col(p).isNotNull()))
@@ -85,12 +86,15 @@ def p_adjust(df: DataFrame, p: str, key: Sequence[str], by: Sequence[str] = ())
     run = OrderedRows(tests, by, [p, *key]).running(F.lit(1).cast("long"), "__i")
     scaled = F.col(p) * F.col("__m") / F.col("__i")
     done = run.running(scaled, "__bh", "min", backwards=True).done()
-    return done.withColumns(
+    corrected = done.withColumns(
         {
             "p_bonferroni": F.least(F.col(p) * F.col("__m"), F.lit(1.0)),
             "p_bh": F.least(F.col("__bh"), F.lit(1.0)),
         }
     ).drop("__m", "__i", "__bh")
+    none = F.lit(None).cast("double")
+    unknown = df.where(F.col(p).isNull()).withColumns({"p_bonferroni": none, "p_bh": none})
+    return corrected.unionByName(unknown)
 
 
 def shannon(df: DataFrame, by: Sequence[str], category: str, weight: str | None = None) -> DataFrame:

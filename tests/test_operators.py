@@ -1,6 +1,7 @@
 """Hand-made frames for the cases in which the obvious reading is wrong, and invariants."""
 
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,18 +23,49 @@ def test_t_tail_table_values(spark, t, df, p):
     assert got == pytest.approx(p, rel=2e-3)
 
 
-def test_t_tail_is_continuous_at_the_switch(spark):
-    a, b = (
-        spark.range(1).select(numeric.t_two_sided_p(F.lit(2.5), F.lit(d)).alias("p")).collect()[0].p
-        for d in (numeric.SERIES_MAX_DF, numeric.SERIES_MAX_DF + 1)
-    )
-    assert a == pytest.approx(b, rel=1e-4)
+@pytest.mark.parametrize(
+    "t,df,log10_p",
+    [
+        (12.0, 100, -20.357032453), (20.0, 3000, -82.909519101), (30.0, 1e9, -197.008091126), (1e6, 1, -6.196119877),
+        (3.0, 2000, -2.563337524), (3.0, 2001, -2.563340181), (0.0, 5, 0.0), (0.5, 1e6, -0.209661916),
+    ],
+)
+def test_t_tail_keeps_its_digits_far_out(spark, t, df, log10_p):
+    got = spark.range(1).select(numeric.t_two_sided_log10_p(F.lit(t), F.lit(df)).alias("p")).collect()[0].p
+    assert got == pytest.approx(log10_p, abs=2e-9)
+
 
+def test_t_tail_has_no_step(spark):
+    got = spark.range(1900, 2100).select(numeric.t_two_sided_p(F.lit(3.0), F.col("id")).alias("p"), "id").orderBy("id").collect()
+    steps = [b.p - a.p for a, b in zip(got, got[1:])]
+    assert max(steps) < 0 and min(steps) / max(steps) < 1.3
 
-@pytest.mark.parametrize("df,q", [(10, 2.228139), (30, 2.042272), (100, 1.983972)])
+
+@pytest.mark.parametrize(
+    "df,q",
+    [(1, 12.706204736), (5, 2.570581836), (8, 2.306004135), (30, 2.042272456), (100, 1.983971519), (2000, 1.961150826), (1e6, 1.959966357)],
+)
 def test_t_quantile(spark, df, q):
-    got = spark.range(1).select(numeric.t_quantile(0.975, F.lit(df)).alias("q")).collect()[0].q
-    assert got == pytest.approx(q, abs=2e-5)
+    got = spark.range(1).select(numeric.t_quantile(0.975, F.lit(df)).alias("q"), numeric.t_quantile(0.025, F.lit(df)).alias("n")).collect()[0]
+    assert got.q == pytest.approx(q, rel=1e-9) and got.n == -got.q
+
+
+def test_tests_without_p_stay(frame):
+    df = frame([("a", 0.01), ("b", 0.04), ("c", None)], "k string, p double")
+    got = {r.k: (r.p_bonferroni, r.p_bh) for r in stats.p_adjust(df, "p", ["k"]).collect()}
+    assert got == {"a": (0.02, 0.02), "b": (0.08, 0.04), "c": (None, None)}
+
+
+def test_decimals_are_summed(frame):
+    df = frame([("a", Decimal("1.5"), 2), ("a", Decimal("2.5"), 3)], "g string, d decimal(5,2), n int")
+    assert groups.sum_all_numeric(df, ["g"]).collect()[0].asDict() == {"g": "a", "d": Decimal("4.00"), "n": 5}
+
+
+def test_conservation_of_a_null_group(frame):
+    before = frame([(None, 5), ("a", 3), ("b", 1)], "g string, n int")
+    after = frame([(None, 5), ("a", 1), ("c", 2)], "g string, n int")
+    got = {r.g: (r.before, r.after, r.lost) for r in groups.conservation(before, after, ["g"], "n").collect()}
+    assert got == {None: (5, 5, 0), "a": (3, 1, 2), "b": (1, 0, 1), "c": (0, 2, -2)}
 
 
 def test_guards(frame):
