@@ -39,11 +39,12 @@ def metric_sums(
 
 
 def cor_grid(
-    df: DataFrame, by: str, x_metrics: Sequence[str], y_metrics: Sequence[str]
+    df: DataFrame, by: str, x_metrics: Sequence[str], y_metrics: Sequence[str], bounded: bool = False
 ) -> DataFrame:
     """Correlation of every pair of metrics per class, with both test corrections and a label.
 
     x goes through log10, y through the arcsine square root; pairs outside their domains leave.
+    ``bounded`` states that ``by`` has few classes, so that the family of tests fits one window.
     """
     base = [c for c in df.columns if c not in (*x_metrics, *y_metrics)]
     long = df.unpivot([*base, *y_metrics], list(x_metrics), "x_variable", "x_value")
@@ -52,7 +53,7 @@ def cor_grid(
     long = long.withColumns({"__x": F.log10("x_value"), "__y": asin_sqrt("y_value")})
     cells = [by, "y_variable", "x_variable"]
     tests = stats.cor_test(long, cells, "__x", "__y")
-    adjusted = stats.p_adjust(tests, "p", cells)
+    adjusted = stats.p_adjust(tests, "p", cells, bounded=bounded)
     label = F.concat(
         F.format_string("r = %.2f", "r"), F.lit("\nP (BH) = "), p_label("p_bh")
     )
@@ -104,8 +105,12 @@ def squared_errors(df: DataFrame, benchmark: str, raw: str, corrected: str) -> D
 
 def median_errors(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Median squared error of both methods per class."""
-    a = ordered.median(df, by, "se_corrected", "median_se_corrected")
-    return join_on(a, ordered.median(df, by, "se_raw", "median_se_raw"), by)
+    errors = ["se_corrected", "se_raw"]
+    long = df.unpivot(list(by), errors, "__error", "__value")
+    medians = ordered.median(long, [*by, "__error"], "__value", "__median")
+    return medians.groupBy(*by).agg(
+        *[F.max(F.when(F.col("__error") == e, F.col("__median"))).alias(f"median_{e}") for e in errors]
+    )
 
 
 def three_way_long(

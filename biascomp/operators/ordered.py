@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from biascomp.functions.numeric import ratio
 from biascomp.operators.groups import add_group_aggs, join_on
@@ -89,13 +90,10 @@ def row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str
     return OrderedRows(df, by, order).running(F.lit(1).cast("long"), out).done()
 
 
-def group_middle(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The middle row of each ordered group (the upper one of two)."""
-    numbered = add_group_aggs(
-        row_number(df, by, order, "__rank"), by, {"__n": F.count(F.lit(1))}
-    )
-    middle = F.floor(F.col("__n") / 2) + 1
-    return numbered.where(F.col("__rank") == middle).drop("__rank", "__n")
+def group_middle(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rank") -> DataFrame:
+    """The middle row of each ordered group (the upper one of two) and its position."""
+    numbered = add_group_aggs(row_number(df, by, order, out), by, {"__n": F.count(F.lit(1))})
+    return numbered.where(F.col(out) == F.floor(F.col("__n") / 2) + 1).drop("__n")
 
 
 def fill_down_up(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -105,13 +103,19 @@ def fill_down_up(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     return run.done().withColumn(value, F.coalesce("__down", "__up")).drop("__down", "__up")
 
 
+def is_known(df: DataFrame, value: str) -> Column:
+    """Neither NULL nor NaN: both are missing values."""
+    known = F.col(value).isNotNull()
+    return known & ~F.isnan(value) if isinstance(df.schema[value].dataType, (DoubleType, FloatType)) else known
+
+
 def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> OrderedRows:
     """Distinct values per group in order, with ``__n`` rows each and ``__upto`` rows so far.
 
     ``weight`` names a column that says how many rows each row stands for.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("__n"))
+    counts = df.where(is_known(df, value)).groupBy(*by, value).agg(n.alias("__n"))
     return OrderedRows(counts, by, [value]).running(F.col("__n"), "__upto")
 
 
@@ -132,9 +136,11 @@ def average_ranks(
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], mean: str | None = None
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], mean: str | None = None,
+    count: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per entry of ``probs``.
+    """Exact quantiles with linear interpolation, one column per entry of ``probs``, and on request
+    the mean and the number of known values.
 
     Values are counted first, then located by their running count, so no task ever holds the
     values of a whole group.
@@ -150,6 +156,8 @@ def quantiles(
         aggs.append((low + (high - low) * part).alias(name))
     if mean is not None:
         aggs.append((F.sum(F.col(value) * F.col("__n")) / F.sum("__n")).alias(mean))
+    if count is not None:
+        aggs.append(F.first("__all_n").alias(count))
     return located.groupBy(*by).agg(*aggs)
 
 
@@ -182,16 +190,19 @@ def top_page(df: DataFrame, key: str, value: str, skip: int, n: int, out: str =
 def lump_outside_top(
     df: DataFrame, key: str, values: Sequence[str], n: int, by: Sequence[str], label: str = "Other"
 ) -> DataFrame:
-    """Re-label categories outside the union of the top-n lists and add them up."""
-    lists = [top_n(df, key, v, n).select(key) for v in values]
-    kept = lists[0]
-    for other in lists[1:]:
-        kept = kept.union(other)
-    kept = F.broadcast(kept.distinct().withColumn("__kept", F.lit(True)))  # at most n per list
-    flagged = df.join(kept, key, "left").withColumn(
-        key, F.when(F.col("__kept"), F.col(key)).otherwise(F.lit(label))
-    )
-    return flagged.groupBy(*by, key).agg(*[F.sum(v).alias(v) for v in values])
+    """Re-label categories outside the union of the top-n lists and add them up.
+
+    The input is added up once per cell; the lists and the result both start from those sums. Spark
+    keeps n rows per list and task ahead of the shuffle that ranks them.
+    """
+    sums = [F.sum(v).alias(v) for v in values]
+    cells = df.groupBy(*by, key).agg(*sums)
+    totals = cells.groupBy(key).agg(*sums).unpivot([key], list(values), "__list", "__total")
+    place = F.row_number().over(Window.partitionBy("__list").orderBy(F.desc("__total"), key))
+    lists = totals.withColumn("__place", place).where(F.col("__place") <= n)
+    kept = lists.select(key).distinct().withColumn("__kept", F.lit(True))
+    flagged = join_on(cells, kept, [key]).withColumn(key, F.when(F.col("__kept"), F.col(key)).otherwise(F.lit(label)))
+    return flagged.groupBy(*by, key).agg(*sums)
 
 
 def first_values(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:

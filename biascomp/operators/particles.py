@@ -109,10 +109,14 @@ def drop_categories(df: DataFrame, category: str = "category", names: Sequence[s
     return df.where(~F.col(category).isin(list(names)))
 
 
-def geometry(df: DataFrame, pixel_mm: float = PIXEL_MM) -> DataFrame:
-    """Millimetre lengths and areas, three equivalent diameters and the sample concentration."""
-    length = {n: F.col(f"{n}_px") * pixel_mm for n in ("feret", "major", "minor")}
-    area = {n: F.col(f"{n}_px") * pixel_mm**2 for n in ("area", "area_exc")}
+def geometry(df: DataFrame, pixel_mm: float | str = PIXEL_MM) -> DataFrame:
+    """Millimetre lengths and areas, three equivalent diameters and the sample concentration.
+
+    ``pixel_mm`` is the pixel size of all objects, or the name of the column that holds each one's.
+    """
+    pixel = F.col(pixel_mm) if isinstance(pixel_mm, str) else F.lit(pixel_mm)
+    length = {n: F.col(f"{n}_px") * pixel for n in ("feret", "major", "minor")}
+    area = {n: F.col(f"{n}_px") * F.pow(pixel, F.lit(2.0)) for n in ("area", "area_exc")}
     ellipse = F.lit(math.pi) * length["major"] / 2 * length["minor"] / 2
 
     def diameter(a: Column) -> Column:
@@ -199,7 +203,8 @@ def biomass(
         }
     )
     cells = cells.withColumn("biomass_share", ratio("carbon_mg_m2", "carbon_mg_m2_sample"))
-    return composition.clr(cells, [sample] if clr_part is None else clr_part, "carbon_mg_m2", "biomass_clr", bounded=True)
+    part = [sample] if clr_part is None else clr_part
+    return composition.clr(cells, part, "carbon_mg_m2", "biomass_clr", bounded=clr_part is None)
 
 
 def relative_abundance(df: DataFrame, sample: Sequence[str], cell: Sequence[str]) -> DataFrame:

@@ -162,6 +162,16 @@ def design_matrix(df: DataFrame, obs: str, sample: str, levels: Sequence[str], c
     return df.groupBy(obs).agg(F.max(cycle).alias(cycle), *one)
 
 
+def design_long(df: DataFrame, obs: Sequence[str], sample: str, cycle: str) -> DataFrame:
+    """Entries of the design that are not zero, for any number of sample levels: one row per
+    observation for its sample level and one for its cycle number."""
+    entries = F.array(
+        F.struct(F.col(sample).alias("design_column"), F.lit(1.0).alias("design_value")),
+        F.struct(F.lit(cycle).alias("design_column"), F.col(cycle).cast("double").alias("design_value")),
+    )
+    return df.select(*obs, sample, cycle).distinct().select(*obs, F.inline(entries))
+
+
 def apply_corrections(df: DataFrame, column: str, fixes: Mapping[object, object]) -> DataFrame:
     """Replace listed wrong values, keep all others."""
     return df.replace(dict(fixes), subset=[column])

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import ratio, t_two_sided_p
 from biascomp.operators import ordered
-from biascomp.operators.groups import add_group_aggs, join_groups, join_on
+from biascomp.operators.groups import add_group_aggs, join_on
 from biascomp.operators.ordered import OrderedRows
 from biascomp.session import checkpoint
 
@@ -74,12 +74,29 @@ def ols(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return fit.withColumn("r2", F.col("__r") * F.col("__r")).withColumn("p", p).drop("__r")
 
 
-def p_adjust(df: DataFrame, p: str, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def p_adjust(
+    df: DataFrame, p: str, key: Sequence[str], by: Sequence[str] = (), bounded: bool = False
+) -> DataFrame:
     """Bonferroni and Benjamini–Hochberg corrections over the tests of each family.
 
     ``key`` names the test inside its family and only breaks ties in the order. A test without a p
-    stays, without corrections, and does not count towards its family.
+    stays, without corrections, and does not count towards its family. ``bounded`` is for families
+    whose size is fixed by parameters, such as pairs of named metrics: one window then does it all.
     """
+    if bounded:
+        family = Window.partitionBy(*by)
+        tests = F.count(p).over(family)
+        place = F.row_number().over(family.orderBy(F.col(p).asc_nulls_last(), *key))
+        back = family.orderBy(F.col(p).desc_nulls_first(), *[F.desc(k) for k in key])
+        stepped = df.withColumns({"__m": tests, "__i": place}).withColumn("__s", F.col(p) * F.col("__m") / F.col("__i"))
+        best = F.min("__s").over(back.rowsBetween(Window.unboundedPreceding, 0))
+        known = F.col(p).isNotNull()
+        return stepped.withColumns(
+            {
+                "p_bonferroni": F.when(known, F.least(F.col(p) * F.col("__m"), F.lit(1.0))),
+                "p_bh": F.when(known, F.least(best, F.lit(1.0))),
+            }
+        ).drop("__m", "__i", "__s")
     # the tests are written once: their number, their ranks and the result all read them
     known = checkpoint(df.where(F.col(p).isNotNull()))
     tests = add_group_aggs(known, by, {"__m": F.count(F.lit(1))})
@@ -110,19 +127,18 @@ def shannon(df: DataFrame, by: Sequence[str], category: str, weight: str | None
 
 def bin_width_fd(df: DataFrame, by: Sequence[str], x: str, out: str = "bin_width") -> DataFrame:
     """Freedman–Diaconis bin width, with a fallback for a single value or no spread."""
-    q = ordered.quantiles(df, by, x, {"__q1": 0.25, "__q3": 0.75})
-    n = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    q = ordered.quantiles(df, by, x, {"__q1": 0.25, "__q3": 0.75}, count="__n")
     iqr = F.col("__q3") - F.col("__q1")
     width = F.when((F.col("__n") <= 1) | (iqr == 0), F.lit(FALLBACK_BIN_WIDTH)).otherwise(
         2 * iqr / F.pow(F.col("__n").cast("double"), F.lit(1.0 / 3))
     )
-    return join_groups(q, n, by).withColumn(out, width).drop("__q1", "__q3", "__n")
+    return q.withColumn(out, width).drop("__q1", "__q3", "__n")
 
 
 def histogram(df: DataFrame, by: Sequence[str], x: str, bins: int = 6) -> DataFrame:
     """Counts in equal bins between the group's extremes; the top edge belongs to the last bin."""
     full = add_group_aggs(
-        df.where(F.col(x).isNotNull()), by, {"__lo": F.min(x).cast("double"), "__hi": F.max(x).cast("double")}
+        df.where(ordered.is_known(df, x)), by, {"__lo": F.min(x).cast("double"), "__hi": F.max(x).cast("double")}
     )
     width = (F.col("__hi") - F.col("__lo")) / bins
     index = F.coalesce(F.floor(ratio(F.col(x) - F.col("__lo"), width)), F.lit(0))

@@ -58,10 +58,8 @@ def _hash_order(t):
 def group_middle(t):
     means = t.reads.groupBy("hash").agg(F.avg("n_reads").alias("mean_reads"))
     labelled = taxonomy.attach_label(means, t.taxonomy, "hash", "family_rank")
-    middle = ordered.group_middle(labelled, ["family_rank"], ["mean_reads", "hash"])
-    size = labelled.groupBy("family_rank").agg(F.count(F.lit(1)).alias("n"))
-    place = (F.floor(F.col("n") / 2) + 1).alias("hash_order")
-    return groups.join_on(middle, size, ["family_rank"]).select("family_rank", "hash", place)
+    middle = ordered.group_middle(labelled, ["family_rank"], ["mean_reads", "hash"], "hash_order")
+    return middle.select("family_rank", "hash", "hash_order")
 
 
 @query(
@@ -278,17 +276,16 @@ def spearman(t):
 @query(
     "ols_by_group",
     "shares",
-    f"""with f as (select size_class, regr_slope(y,pc1) as slope, regr_intercept(y,pc1) as intercept, corr(y,pc1) as r,
+    f"""with f as (select size_class, taxon, regr_slope(y,pc1) as slope, regr_intercept(y,pc1) as intercept, corr(y,pc1) as r,
           count(*) as n, cast(count(*)-2 as double) as df
-          from (select size_class, pc1, log2(share) as y from shares where share>0 and pc1 is not null and taxon='Brand#3')
-          group by size_class)
-        select size_class, round(slope*1000,6)+0.0 as slope, round(intercept,6)+0.0 as intercept, n, round(r*r,6) as r2,
+          from (select size_class, taxon, pc1, log2(share) as y from shares where share>0 and pc1 is not null)
+          group by size_class, taxon)
+        select size_class, taxon, round(slope*1000,6)+0.0 as slope, round(intercept,6)+0.0 as intercept, n, round(r*r,6) as r2,
           round({sql_t_p('r*sqrt(df/(1-r*r))', 'df')},6) as p from f""",
 )
 def ols_by_group(t):
-    y = F.when(F.col("taxon") == "Brand#3", num.log2_ratio("share", F.lit(1.0)))
-    one = t.shares.withColumn("y", y)
-    out = stats.ols(one, [SC], "pc1", "y").withColumn("slope", F.col("slope") * 1000)
+    logs = t.shares.withColumn("y", num.log2_ratio("share", F.lit(1.0)))
+    out = stats.ols(logs, [SC, "taxon"], "pc1", "y").withColumn("slope", F.col("slope") * 1000)
     return out.withColumns({c: r(c) for c in ["slope", "intercept", "r2", "p"]})
 
 

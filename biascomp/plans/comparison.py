@@ -56,7 +56,7 @@ def join_benchmark(t):
     return rounded(benchmark(t), [*X_METRICS, *Y_METRICS])
 
 
-def _grid_sql() -> str:
+def grid_sql() -> str:
     from biascomp.plans.analysis import sql_t_p
 
     stacks = " union all ".join(
@@ -76,9 +76,9 @@ def _grid_sql() -> str:
           as label from q"""
 
 
-@query("cor_grid", "design particles", _grid_sql())
+@query("cor_grid", "design particles", grid_sql())
 def cor_grid(t):
-    grid = compare.cor_grid(benchmark(t), "size_fraction", X_METRICS, Y_METRICS)
+    grid = compare.cor_grid(benchmark(t), "size_fraction", X_METRICS, Y_METRICS, bounded=True)
     return rounded(grid, ["r", "p", "p_bonferroni", "p_bh"]).drop("t", "df")
 
 

@@ -286,7 +286,9 @@ def assemble_long(t):
     "select size_class, taxon, cast(sum(n_reads) as bigint) as n_reads from obs group by all",
 )
 def agg_sum(t):
-    return t.obs.groupBy(SC, "taxon").agg(F.sum("n_reads").alias("n_reads"))
+    # added up per hash first: only those sums meet the brands
+    sums = t.reads.groupBy(SC, "hash").agg(F.sum("n_reads").alias("n_reads"))
+    return sums.join(t.brands, "hash").groupBy(SC, "taxon").agg(F.sum("n_reads").alias("n_reads"))
 
 
 @query(

@@ -16,6 +16,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "biascomp")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
@@ -32,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="biascomp-checkpoint-")
         sc.setCheckpointDir(folder)

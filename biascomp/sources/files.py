@@ -31,16 +31,19 @@ def read_tsv_latin1(spark: SparkSession, path: str | list[str], schema: T.Struct
 
 def read_count_matrix(
     spark: SparkSession, path: str | list[str], key: str, sample: str = "sample_name", value: str = "n_reads",
-    index: Sequence[str] = ("_c0",), drop_zero: bool = True,
+    index: Sequence[str] = ("_c0",), drop_zero: bool = True, schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """Wide count matrix (category rows, sample columns) as long counts.
 
-    Sample columns keep their raw names. The key may stand in any column; index columns go.
+    Sample columns keep their raw names. The key may stand in any column; index columns go. Without
+    a schema every cell is read as text and the counts go through double, so that 1e3 is a count.
     """
-    wide = spark.read.option("header", True).option("nullValue", "NA").csv(path)
+    reader = spark.read.option("header", True).option("nullValue", "NA")
+    wide = (reader if schema is None else reader.schema(schema)).csv(path)
     wide = wide.drop(*[c for c in index if c in wide.columns and c != key])
     long = to_long(wide, [key], sample, value)
-    long = long.withColumn(value, F.col(value).cast("double").cast("long"))
+    if schema is None:
+        long = long.withColumn(value, F.col(value).cast("double").cast("long"))
     return long.where(F.col(value).isNotNull() & (F.col(value) != 0)) if drop_zero else long
 
 
@@ -54,18 +57,26 @@ def with_change_time(df: DataFrame, out: str = "changed_at") -> DataFrame:
     return df.withColumn(out, F.col("_metadata.file_modification_time"))
 
 
-def write_delimited(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
-    """CSV sink; one file per task, folders per partition column."""
-    writer = df.write.mode(mode).option("header", True).option("nullValue", "NA")
+def write_delimited(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists", sep: str = ",",
+    encoding: str = "UTF-8", compression: str = "none",
+) -> None:
+    """CSV or TSV sink; one file per task, folders per partition column."""
+    writer = df.write.mode(mode).option("header", True).option("nullValue", "NA").option("sep", sep)
+    writer = writer.option("encoding", encoding).option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
 def write_stamped(
     df: DataFrame, path: str, stamp: Column | None = None, partition_by: Sequence[str] = (), fmt: str = "parquet",
 ) -> None:
-    """Append a dated snapshot: the stamp is a partition column, so older ones stay readable."""
+    """Write a dated snapshot: the stamp is a partition column, so older ones stay readable.
+
+    Folders that this write fills are replaced, so a second run of the same day leaves no row twice.
+    """
     day = F.date_format(stamp if stamp is not None else F.current_date(), "yyyy-MM-dd")
     keys = ["snapshot_date", *partition_by]
     # rows of one folder meet before the write, and AQE splits folders that are too large for one file
     out = df.withColumn("snapshot_date", day).hint("rebalance", *keys)
-    out.write.mode("append").option("header", True).partitionBy(*keys).format(fmt).save(path)
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
+    writer.partitionBy(*keys).format(fmt).save(path)
