@@ -5,6 +5,7 @@ from biascomp.plans import analysis as _analysis  # noqa: F401
 from biascomp.plans import comparison as _comparison  # noqa: F401
 from biascomp.plans import imaging as _imaging  # noqa: F401
 from biascomp.plans import model as _model  # noqa: F401
+from biascomp.plans import reports as _reports  # noqa: F401
 from biascomp.plans import tables as _tables  # noqa: F401
 
 

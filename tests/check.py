@@ -1,4 +1,4 @@
-"""Run registered queries beside their SQL and compare rows: ``python -m biascomp.plans.check [key…]``."""
+"""Run registered queries beside their SQL and compare rows: ``python -m tests.check [key…]``."""
 
 from __future__ import annotations
 

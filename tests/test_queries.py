@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from biascomp import plans
-from biascomp.plans import check
+from tests import check
 
 SF = "/root/testdata/sf0.001"
 
