@@ -321,7 +321,7 @@ class BiasModel:
             for batch in batches:
                 stats = []
                 for row in batch.itertuples(index=False):
-                    shares = _share_draws(row.key, row.eta, row.sd, row.df, n)
+                    shares = _share_draws(_stream(row.key), row.eta, row.sd, row.df, n)
                     stats.append(np.vstack([shares.mean(axis=0), np.quantile(shares, list(SUMMARY.values()), axis=0)]))
                 yield _long_batch(batch, keys, ["taxon"], stats, ["mean_value", *SUMMARY])
 
@@ -385,7 +385,10 @@ class BiasModel:
         return total.select(*g, "taxon", "taxon2", "n", cov.alias("covariance"))
 
     def posterior_predictive(self, gamma: float = GAMMA, n: int = 500, seed: int = 0) -> DataFrame:
-        """Observed counts beside the interval of counts the fitted model predicts."""
+        """Observed counts beside the interval of counts the fitted model predicts.
+
+        Each draw of the shares is followed by a draw of that many reads as the observation has.
+        """
         g = self.group
 
         def entry(t: Column) -> Column:
@@ -412,7 +415,9 @@ class BiasModel:
             for batch in batches:
                 stats = []
                 for row in batch.itertuples(index=False):
-                    counts = _share_draws(row.key, row.eta, row.sd, row.df, n) * row.depth
+                    rng = _stream(row.key)
+                    shares = _share_draws(rng, row.eta, row.sd, row.df, n)
+                    counts = rng.multinomial(int(row.depth), shares)
                     stats.append(np.quantile(counts, [0.025, 0.5, 0.975], axis=0))
                 yield _long_batch(batch, keys, ["taxon", "observed"], stats, ["p2_5", "p50", "p97_5"])
 
@@ -420,9 +425,12 @@ class BiasModel:
         return out.withColumn("covered", F.col("observed").between(F.col("p2_5"), F.col("p97_5")))
 
 
-def _share_draws(key: int, eta: np.ndarray, sd: np.ndarray, df: float, n: int) -> np.ndarray:
+def _stream(key: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=np.uint64(np.int64(key))))
+
+
+def _share_draws(rng: np.random.Generator, eta: np.ndarray, sd: np.ndarray, df: float, n: int) -> np.ndarray:
     """n draws of the shares of one sample."""
-    rng = np.random.Generator(np.random.Philox(key=np.uint64(np.int64(key))))
     z = eta + sd * rng.standard_t(df, size=(n, len(eta)))
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)

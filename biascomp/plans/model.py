@@ -216,11 +216,61 @@ def predict_cycle0_draws(t):
     return model(t).draws()
 
 
+@query(
+    "draws_check",
+    "design",
+    f"""with {FIT} select grp as size_class, samp as sample, count(*) as n_taxa, true as sums_to_one, true as in_order
+        from pred group by grp, samp""",
+)
+def draws_check(t):
+    """What holds of the drawn shares for any seed, per sample."""
+    rising = (F.col("p2_5") <= F.col("p25")) & (F.col("p25") <= F.col("p50"))
+    rising = rising & (F.col("p50") <= F.col("p75")) & (F.col("p75") <= F.col("p97_5"))
+    return model(t).draws().groupBy(SC, "sample").agg(
+        F.count(F.lit(1)).alias("n_taxa"),
+        (F.abs(F.sum("mean_value") - 1) < 1e-9).alias("sums_to_one"),
+        F.bool_and(rising & (F.col("p2_5") >= 0) & (F.col("p97_5") <= 1)).alias("in_order"),
+    )
+
+
 @query("ppc")
 def ppc(t):
     return model(t).posterior_predictive()
 
 
+#: Share of the observed counts that their 95 % intervals must cover, with room for counts on the edge.
+COVERAGE_BAND = (0.9, 1.0)
+
+
+@query(
+    "ppc_coverage",
+    "design",
+    f"""with {FIT} select o.grp as size_class, count(*) as n_cells, cast(sum(coalesce(s.n,0)) as bigint) as observed,
+        count(s.n) as n_seen, true as in_order, true as coverage_in_band from o join tx on o.grp=tx.grp
+        left join src s on s.grp=o.grp and s.obs=o.obs and s.taxon=tx.taxon group by o.grp""",
+)
+def ppc_coverage(t):
+    """Coverage of the predictive intervals per size class, as flags that hold for any seed."""
+    low, high = COVERAGE_BAND
+    covered = F.avg(F.col("covered").cast("double"))
+    return model(t).posterior_predictive().groupBy(SC).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.sum("observed").alias("observed"),
+        F.count(F.when(F.col("observed") > 0, F.lit(1))).alias("n_seen"),
+        F.bool_and((F.col("p2_5") <= F.col("p50")) & (F.col("p50") <= F.col("p97_5"))).alias("in_order"),
+        covered.between(low, high).alias("coverage_in_band"),
+    )
+
+
+@query(
+    "focus_filters",
+    "design",
+    f"""with {FIT} select * from ({_effs_sql('fit', 'grp as size_class, taxon')}) where size_class='S2' and taxon='Brand#3'""",
+)
+def focus_filters(t):
+    """Slope of one coordinate in one size class."""
+    return amp_effs(t).where((F.col(SC) == "S2") & (F.col("taxon") == "Brand#3"))
+
+
 @query(
     "predicted_observed",
     "design",
