@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import t_quantile
-from biascomp.operators.groups import add_group_aggs, join_on, spread
+from biascomp.operators.groups import join_on, spread
 from biascomp.operators.reshape import CALIBRATION
 from biascomp.session import checkpoint
 
@@ -59,6 +59,7 @@ class BiasModel:
         self, counts: DataFrame, cols: Columns = Columns(), pseudo: float = PSEUDO_COUNT, centre: float = 0.0
     ):
         self.cols, self.centre, self.pseudo = cols, centre, pseudo
+        self._fits: dict[float, DataFrame] = {}
         g = list(cols.group)
         self.group = g
         run = F.col(cols.run).cast("double") if cols.run else F.lit(0.0)
@@ -153,9 +154,7 @@ class BiasModel:
             [*g, "taxon"], gammas,
             {"xd": sx * sd, "rd": sr * sd, "sd": ss * sd, "dd": sd * sd}, ["xd0", "rd0", "sd0", "d20"],
         )
-        # one row per category of the model: counting them in a window saves computing ``own`` twice
-        own = add_group_aggs(own, [*g, "gamma"], {"n_taxa": F.count("xd_m")}, bounded=True)
-        t = join_on(own, shared, [*g, "gamma"])
+        t = join_on(own, join_on(shared, self.n_taxa(), g), [*g, "gamma"])
         inv, n = 1 / F.col("gamma"), F.col("n_taxa")
         c = {name: F.col(name) for name in t.columns}
         det = F.col("a11") * F.col("a22") - F.col("a12") * F.col("a12")
@@ -199,9 +198,10 @@ class BiasModel:
 
     def amp_effs(self, gamma: float = GAMMA) -> DataFrame:
         """Amplification efficiency per category: cycle slope with its posterior quantiles."""
-        fit = self.fit([gamma])
+        steps = {n: p for n, p in SUMMARY.items() if p != 0.5}
+        fit = join_on(self.fitted(gamma), self._t_steps(gamma, {f"t_{n}": p for n, p in steps.items()}), self.group)
         sd = F.sqrt(F.col("scale2") * F.col("v11"))
-        quant = {n: F.col("beta") + (t_quantile(p, "df") if p != 0.5 else F.lit(0.0)) * sd for n, p in SUMMARY.items()}
+        quant = {n: F.col("beta") + F.col(f"t_{n}") * sd if n in steps else F.col("beta") for n in SUMMARY}
         return fit.select(
             *self.group, "taxon", *[c.alias(n) for n, c in quant.items()], F.col("beta").alias("mean_value")
         )
@@ -217,7 +217,7 @@ class BiasModel:
     def _taxa(self, gamma: float) -> DataFrame:
         """One row per group with the fitted categories as an array (model dimension, not data)."""
         one = F.struct("taxon", "beta", "beta_run", "scale2", "v11", "v12", "v22", F.col("df").cast("double").alias("df"))
-        return self.fit([gamma]).groupBy(*self.group).agg(
+        return self.fitted(gamma).groupBy(*self.group).agg(
             F.array_sort(F.collect_list(one)).alias("taxa"), F.max("n_taxa").alias("n_taxa")
         )
 
@@ -258,29 +258,95 @@ class BiasModel:
 
         return rows.select(*self.group, "sample", F.transform("taxa", entry).alias("post"))
 
-    def predict(self, gamma: float = GAMMA, at_cycle: float = 0.0, level: float = 0.95) -> DataFrame:
+    def fitted(self, gamma: float = GAMMA) -> DataFrame:
+        """The fit at one gamma, one row per category, written once for all that reads it."""
+        if gamma not in self._fits:
+            self._fits[gamma] = checkpoint(self.fit([gamma]))
+        return self._fits[gamma]
+
+    def _t_steps(self, gamma: float, probs: dict[str, float]) -> DataFrame:
+        """Student-t quantiles per group. All categories of a group have the same degrees of freedom,
+        so the quadrature behind a quantile runs once per group and never per row."""
+        df = self.fitted(gamma).groupBy(*self.group).agg(F.max("df").alias("df"))
+        return df.select(*self.group, *[t_quantile(p, "df").alias(n) for n, p in probs.items()])
+
+    def _totals(self, gamma: float, x0: float, r0: float) -> DataFrame:
+        """Per field sample: what its line needs and the total of its shares before they become one.
+
+        Log counts are positive, so a category with reads only adds to what it would weigh without
+        any. The weights without reads depend on the sample's cycles alone: they are added up over
+        all categories once per distinct design, and a sample adds what its own categories have on
+        top. No sample is laid out over all categories. ``top`` keeps the exponentials in range.
+        """
+        g, design = self.group, [*self.group, "k", "sx", "sr"]
+        fit = self.fitted(gamma)
+        m = F.col("k") + F.lit(1 / gamma)
+        # sums of whole cycles carry rounding noise that would tell equal designs apart
+        samples = self.samples.where(F.col("sample") != CALIBRATION).select(
+            *g, "sample", "k", F.round("sx", 9).alias("sx"), F.round("sr", 9).alias("sr"), "ss"
+        )
+        spans = fit.groupBy(*g).agg(
+            F.max("n_taxa").alias("n_taxa"),
+            *[f(c).alias(f"{n}_{c}") for c in ("beta", "beta_run") for n, f in (("low", F.min), ("high", F.max))],
+        )
+        dx, dr = F.col("dx"), F.col("dr")
+        highest = [F.greatest(F.col(f"low_{c}") * d, F.col(f"high_{c}") * d) for c, d in (("beta", dx), ("beta_run", dr))]
+        designs = join_on(samples.select(*design).distinct(), spans, g).withColumns(
+            {"m": m, "dx": F.lit(x0) - F.col("sx") / m, "dr": F.lit(r0) - F.col("sr") / m}
+        ).withColumn("top", highest[0] + highest[1])
+        shared = [*design, "n_taxa", "m", "dx", "dr", "top"]
+        slopes = fit.select(*g, "taxon", "beta", "beta_run")
+        plain = F.exp(F.col("beta") * dx + F.col("beta_run") * dr - F.col("top"))
+        floors = join_on(designs, slopes, g).groupBy(*shared).agg(F.sum(plain).alias("floor"))
+        samples = join_on(samples, floors, design)
+        own = join_on(self.cells.select(*g, "sample", "taxon", "sd"), samples, [*g, "sample"], "inner")
+        more = join_on(own, slopes, [*g, "taxon"]).groupBy(*g, "sample").agg(
+            F.sum(plain * F.expm1(F.col("sd") / F.col("m"))).alias("more")
+        )
+        total = F.col("floor") + F.col("more")
+        return join_on(samples, more, [*g, "sample"]).withColumn("total", total).drop("k", "sx", "sr", "floor", "more")
+
+    def predict(
+        self, gamma: float = GAMMA, at_cycle: float = 0.0, level: float = 0.95, seen_only: bool = False
+    ) -> DataFrame:
         """Corrected share per field sample and category, with an interval.
 
-        The share is the softmax of the mean log-ratios. Its interval moves the category's own
-        log-ratio to its interval ends while the others stay at their means.
+        The share is the softmax of the mean log-ratios over all categories. Its interval moves the
+        category's own log-ratio to its interval ends while the others stay at their means. A
+        category without reads in a sample has a share, too; ``seen_only`` leaves those rows out, so
+        that the result is as sparse as the counts, with the same shares.
         """
-        post = self.sample_posterior(gamma, at_cycle)
-        top = F.array_max(F.transform("post", lambda e: e["eta"]))
-        post = post.withColumn("top", top)
-        total = F.aggregate("post", F.lit(0.0), lambda acc, e: acc + F.exp(e["eta"] - F.col("top")))
-        out = post.withColumn("total", total).select(*self.group, "sample", "top", "total", F.inline("post"))
-        h = t_quantile(1 - (1 - level) / 2, "df") * F.col("sd")
-        e = F.exp(F.col("eta") - F.col("top"))
+        g = self.group
+        step = self._t_steps(gamma, {"t_step": 1 - (1 - level) / 2})
+        totals = join_on(self._totals(gamma, float(at_cycle) - self.centre, 0.0), step, g)
+        own = self.cells.select(*g, "sample", "taxon", "sd")
+        fit = self.fitted(gamma).drop("n_taxa", "n_obs", "n_samples", "gamma", "log_ml", "df")
+        if seen_only:
+            rows = join_on(join_on(own, totals, [*g, "sample"], "inner"), fit, [*g, "taxon"])
+        else:
+            rows = join_on(join_on(totals, fit, g), own, [*g, "sample", "taxon"])
+        dx, dr, m = F.col("dx"), F.col("dr"), F.col("m")
+        sd = F.coalesce("sd", F.lit(0.0))
+        line = F.col("beta") * dx + F.col("beta_run") * dr
+        var = 1 / m + dx * dx * F.col("v11") + 2 * dx * dr * F.col("v12") + dr * dr * F.col("v22")
+        rows = rows.withColumns(
+            {
+                "eta": (sd - F.col("ss") / F.col("n_taxa")) / m + line,
+                "e": F.exp(line + sd / m - F.col("top")),
+                "h": F.col("t_step") * F.sqrt(F.col("scale2") * var),
+            }
+        )
+        e, h, eta = F.col("e"), F.col("h"), F.col("eta")
         rest = F.greatest(F.col("total") - e, F.lit(0.0))
 
         def moved(step: Column) -> Column:
             v = e * F.exp(step)
             return v / (v + rest)
 
-        return out.select(
-            *self.group, "sample", "taxon",
+        return rows.select(
+            *g, "sample", "taxon",
             (e / F.col("total")).alias("share"), moved(-h).alias("share_low"), moved(h).alias("share_high"),
-            F.col("eta").alias("clr"), (F.col("eta") - h).alias("clr_low"), (F.col("eta") + h).alias("clr_high"),
+            eta.alias("clr"), (eta - h).alias("clr_low"), (eta + h).alias("clr_high"),
         )
 
     def predicted_and_observed(self, gamma: float = GAMMA, observed_cycle: int = 30) -> DataFrame:

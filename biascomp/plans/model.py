@@ -298,6 +298,23 @@ def residual_covariance(t):
     return model(t).residual_covariance().withColumn("covariance", r("covariance"))
 
 
+@query(
+    "residual_covariance_median",
+    "design",
+    f"""with {FIT}, res as (select y.grp, y.obs, y.taxon, y.y-f.beta*y.x-(sa.sy-f.beta*sa.sx)/sa.m as e from y
+          join fit f on y.grp=f.grp and y.taxon=f.taxon
+          join sa on sa.grp=y.grp and sa.samp=y.samp and sa.taxon=y.taxon),
+        c as (select a.grp, covar_samp(a.e,b.e) as c from res a join res b on a.grp=b.grp and a.obs=b.obs
+          and a.taxon<=b.taxon group by a.grp, a.taxon, b.taxon)
+        select grp as size_class, count(*) as n_pairs, round(median(c),6)+0.0 as median_covariance from c group by grp""",
+)
+def residual_covariance_median(t):
+    pairs = checkpoint(model(t).residual_covariance())
+    mid = ordered.median(pairs, [SC], "covariance", "median_covariance")
+    n = pairs.groupBy(SC).agg(F.count(F.lit(1)).alias("n_pairs"))
+    return groups.join_on(n, mid, [SC]).withColumn("median_covariance", r("median_covariance"))
+
+
 # ------------------------------------------------------------------ raw versus corrected
 
 RAW = """rawf as (select size_class, sample_num as sample, taxon, sum(n_reads) as n, sum(n_reads)/sum(sum(n_reads))
@@ -307,11 +324,11 @@ RAW = """rawf as (select size_class, sample_num as sample, taxon, sum(n_reads) a
    from pred p left join rawf r on p.grp=r.size_class and p.samp=r.sample and p.taxon=r.taxon)"""
 
 
-def raw_and_corrected(t):
-    """Observed and corrected share of every category in every field sample."""
+def raw_and_corrected(t, seen_only: bool = False):
+    """Observed and corrected share of every category in every field sample, or of those with reads."""
     counts = t.design.groupBy(SC, F.col("sample_num").alias("sample"), "taxon").agg(F.sum("n_reads").alias("n_reads"))
     raw = composition.closure(counts, [SC, "sample"], "n_reads", "raw").drop("n_reads")
-    pred = model(t).predict().withColumnRenamed("share", "corrected")
+    pred = model(t).predict(seen_only=seen_only).withColumnRenamed("share", "corrected")
     return groups.join_on(pred, raw, [SC, "sample", "taxon"])
 
 
@@ -327,7 +344,7 @@ def raw_and_corrected(t):
           round(log2_high,6)+0.0 as log2_high, taxon_order from s join ord on s.taxon=ord.taxon""",
 )
 def bias_log2(t):
-    both = raw_and_corrected(t).withColumn("station", F.substring_index("sample", "_", 1))
+    both = raw_and_corrected(t, seen_only=True).withColumn("station", F.substring_index("sample", "_", 1))
     bias = composition.log2_bias(both, "raw", "corrected", "share_low", "share_high")
     cols = ["log2_bias", "log2_low", "log2_high"]
     mean = checkpoint(groups.join_on(bias, t.meta, ["station"], null_safe=False).groupBy(SC, "taxon", "zone").agg(*[F.avg(c).alias(c) for c in cols]))

@@ -148,3 +148,19 @@ def test_groups_are_fitted_apart(spark, counts):
     alone = BiasModel(spark.createDataFrame(counts)).fit().toPandas()
     merged = fit[fit.size_class == "S1"].set_index("taxon").loc[TAXA]
     assert np.allclose(merged.beta, alone.set_index("taxon").loc[TAXA].beta)
+
+
+def test_sparse_prediction_keeps_the_shares(spark, counts):
+    """Rows of categories with reads alone, under the same totals as the dense table."""
+    both = BiasModel(spark.createDataFrame(counts.assign(run=counts.run.astype(int))), Columns(run="run"))
+    dense_rows = both.predict().toPandas().set_index(["sample", "taxon"])
+    sparse = both.predict(seen_only=True).toPandas().set_index(["sample", "taxon"])
+    seen = counts[counts.sample_num != "Calibration"].drop_duplicates(["sample_num", "taxon"])
+    assert set(sparse.index) == set(zip(seen.sample_num, seen.taxon)) and len(sparse) < len(dense_rows)
+    for c in ("share", "share_low", "share_high", "clr"):
+        assert np.allclose(sparse[c], dense_rows.loc[sparse.index][c], rtol=1e-12)
+    b, *_, names, _ = dense(counts.assign(run=counts.run.astype(int)), 20.0, run=True)
+    for sample, part in dense_rows.groupby(level=0):
+        eta = b[names.index(sample)]
+        want = pd.Series(np.exp(eta) / np.exp(eta).sum(), TAXA)
+        assert np.allclose(part.share.droplevel(0).loc[TAXA], want)
