@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from biascomp.functions.numeric import asin_sqrt, p_label
 from biascomp.operators import ordered, stats
 from biascomp.operators.groups import add_group_aggs, join_on
+from biascomp.session import checkpoint
 
 #: A method within this part of the benchmark value counts as very close.
 CLOSE_PART = 0.05
@@ -126,9 +127,10 @@ def hotspots(
 ) -> DataFrame:
     """Reads per category and site, their share of the site, and whether the site is the largest.
 
-    Rows are added up per cell first; site totals and the overall maximum come from those sums.
+    Rows are added up per cell first and written; site totals and the overall maximum come from those
+    sums, so that the rows are read once.
     """
-    cells = df.where(rank).groupBy(*category_keys, *site_keys).agg(F.sum(value).alias("category_reads"))
+    cells = checkpoint(df.where(rank).groupBy(*category_keys, *site_keys).agg(F.sum(value).alias("category_reads")))
     sites = add_group_aggs(cells, site_keys, {"site_reads": F.sum("category_reads")})
     shares = sites.withColumn("percent", F.col("category_reads") / F.col("site_reads"))
     return add_group_aggs(shares, [], {"__top": F.max("site_reads")}).withColumn(
