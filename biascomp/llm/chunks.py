@@ -3,11 +3,13 @@
 A gear hash rolls over the bytes of a text; a chunk ends where the hash's top bits are zero, within
 MIN_CHUNK and MAX_CHUNK bytes. A cut depends on the bytes before it only, so an insertion moves no
 cut but the near ones. Equal chunks have equal digests; of each, the first by (doc_id, start) stays
-and the bytes of the others are removed.
+and the bytes of the others are removed. A passage inside other text loses its whole chunks only: up
+to its first common cut and after its last one it stays, and a short passage may hold no whole chunk.
 
 Digests are counted with map-side sums and only repeated ones are looked at again; the repeated
 chunks meet their first place in a join that Spark may split, so a chunk in a third of all rows is
-no task of its own.
+no task of its own. Chunks are cut where the rows are read; a row is known by a 64-bit hash of its id
+and text, and rows that share both meet in one part, where all but the first lose every chunk.
 
 Defined cases: null and empty texts have no chunks; a text shorter than MIN_CHUNK is one chunk;
 null ids come before all others; repeated rows count as copies of each other, the first read stays;
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biascomp.llm.common import batch, parts_for, table, text_bytes, with_parts, written, PART_BYTES
+from biascomp.llm.common import batch, parts_for, table, text_bytes, whole_text, written, PART_BYTES
 
 #: Bytes of a chunk: least, most, and the bits that must be zero at a cut (about 2**CUT_BITS between cuts).
-MIN_CHUNK, MAX_CHUNK, CUT_BITS = 48, 512, 6
+MIN_CHUNK, MAX_CHUNK, CUT_BITS = 16, 512, 5
 
 
 def gear_table() -> np.ndarray:
@@ -69,47 +71,47 @@ def chunk_ends(text: bytes) -> list[int]:
     return [*ends, n] if start < n else ends
 
 
-CHUNK_SCHEMA = "part int, row int, doc_id long, start int, digest binary"
+CHUNK_SCHEMA = "doc_id long, key long, start int, digest binary"
+#: Bytes of a digest: among 10**9 different chunks two are alike with a chance of 6e-12.
+DIGEST = 12
+#: Chunks of one output batch.
+BATCH = 200_000
 
 
-def _parted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    parts = parts_for(text_bytes(docs, text), PART_BYTES)
-    return with_parts(docs, parts, doc_id=doc_id, text=text)
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, doc_id, text); rows of one id and text share the key."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    return rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
 
-def _ordered(group: pa.Table) -> pa.Table:
-    """A part's rows in one order, whatever order they arrive in: rows of a part are told apart by place."""
-    return group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+def _chunk_rows(batches):
+    def flush():
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return batch({x.split()[0]: (v, t) for x, v, t in zip(CHUNK_SCHEMA.split(", "), held, kinds)})
 
-
-def _chunk_rows(group: pa.Table) -> pa.Table:
-    group = _ordered(group)
-    row, ids, starts, digests = [], [], [], []
-    for k, (i, t) in enumerate(zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist())):
-        t, start = t.encode(), 0
-        for end in chunk_ends(t):
-            row.append(k)
-            ids.append(i)
-            starts.append(start)
-            digests.append(hashlib.blake2b(t[start:end], digest_size=16).digest())
-            start = end
-    part = group.column("part")[0].as_py()
-    return table(
-        {
-            "part": ([part] * len(row), pa.int32()), "row": (row, pa.int32()), "doc_id": (ids, pa.int64()),
-            "start": (starts, pa.int32()), "digest": (digests, pa.binary()),
-        }
-    )
+    held = [], [], [], []
+    for b in batches:
+        for key, i, t in zip(*(b.column(c) for c in range(3))):
+            key, i, t, start = key.as_py(), i.as_py(), t.as_py().encode(), 0
+            for end in chunk_ends(t):
+                for column, x in zip(held, (i, key, start, hashlib.blake2b(t[start:end], digest_size=DIGEST).digest())):
+                    column.append(x)
+                start = end
+                if len(held[0]) >= BATCH:
+                    yield flush()
+                    held = [], [], [], []
+    yield flush()
 
 
 def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents in parts, chunks (part, row, start, first_doc) that occur earlier)."""
-    parted = _parted(docs, doc_id, text)
-    chunks = written(parted.groupBy("part").applyInArrow(_chunk_rows, CHUNK_SCHEMA), "chunks")
-    place = F.struct("doc_id", "part", "row", "start")
+    """(documents in parts, chunks (part, key, start, first_doc) that occur in an earlier row or earlier in their own)."""
+    rows, parts = _keyed(docs, doc_id, text), parts_for(text_bytes(docs, text), PART_BYTES)
+    part = F.pmod(F.col("key"), F.lit(parts)).cast("int").alias("part")
+    chunks = written(rows.mapInArrow(_chunk_rows, CHUNK_SCHEMA), "chunks")
+    place = F.struct("doc_id", "key", "start")
     firsts = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = chunks.join(firsts.drop("n"), "digest").where(~F.struct("doc_id", "part", "row", "start").eqNullSafe(F.col("first")))
-    return parted, later.select("part", "row", "start", F.col("first.doc_id").alias("first_doc"))
+    later = chunks.join(firsts.drop("n"), "digest").where(~F.struct("doc_id", "key", "start").eqNullSafe(F.col("first")))
+    return rows.select(part, "*"), later.select(part, "key", "start", F.col("first.doc_id").alias("first_doc"))
 
 
 RESULT_SCHEMA = (
@@ -119,18 +121,20 @@ RESULT_SCHEMA = (
 
 
 def _removed(key, docs: pa.Table, later: pa.Table) -> pa.Table:
-    docs = _ordered(docs)
+    docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     drop: dict[tuple[int, int], int | None] = {}
-    for r, s, f in zip(*(later.column(c).to_pylist() for c in ("row", "start", "first_doc"))):
-        drop[r, s] = f
+    for k, s, f in zip(*(later.column(c).to_pylist() for c in ("key", "start", "first_doc"))):
+        drop[k, s] = f
     out: list[tuple] = []
-    for k, (i, t) in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist())):
+    before = None
+    for k, i, t in zip(*(docs.column(c).to_pylist() for c in ("key", "doc_id", "text"))):
+        again, before = (i, t) == before, (i, t)  # a repeated row: the first of them has all of its chunks
         t, start, kept, dups, first = t.encode(), 0, [], 0, set()
         ends = chunk_ends(t)
         for end in ends:
-            if (k, start) in drop:
+            if again or (k, start) in drop:
                 dups += 1
-                first.add(drop[k, start])
+                first.add(drop.get((k, start), i))
             else:
                 kept.append(t[start:end])
             start = end

@@ -283,6 +283,21 @@ def test_substring_dedup_against_a_set(docs):
     assert next(r for r in got.collect() if r.doc_id == 2 and r.n_removed).first_docs
 
 
+def test_short_passages_in_other_texts_are_found():
+    draw = np.random.default_rng(13)
+    words = ["".join(chr(c) for c in draw.integers(97, 123, draw.integers(2, 10))) for _ in range(3000)]
+    missed, gone, size = 0, 0, 0
+    for _ in range(400):
+        before, passage, after = (" ".join(draw.choice(words, n)) for n in (60, 51, 60))
+        first, second = f"{after} {passage} {before}".encode(), f"{before} {passage} {after}".encode()
+        known = {first[s:e] for ends in [chunks.chunk_ends(first)] for s, e in zip([0, *ends], ends)}
+        at, end = len(before) + 1, len(before) + 1 + len(passage)
+        ends = chunks.chunk_ends(second)
+        lost = sum(e - s for s, e in zip([0, *ends], ends) if at <= s and e <= end and second[s:e] in known)
+        missed, gone, size = missed + (lost == 0), gone + lost, size + len(passage)
+    assert missed <= 0.06 * 400 and gone >= 0.6 * size, (missed, gone / size)
+
+
 def test_no_chunks_in_nothing(nothing):
     assert chunks.substring_dedup(nothing).count() == 0
 
