@@ -52,16 +52,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the 64 bits as a signed long. ``row`` names a long column to pass as row."""
 
     def scan(batches):
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in b.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], names=[*b.schema.names[1:], "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, fp long")
+    more = [] if row is None else [F.col(row).alias("row")]
+    rows = docs.select(whole_text(text).cast("binary").alias("text"), F.col(doc_id).cast("long").alias("doc_id"), *more)
+    return rows.mapInArrow(scan, "doc_id long, row long, fp long" if more else "doc_id long, fp long")
 
 
 # -- partitions and thresholds -------------------------------------------------------------------
@@ -234,24 +235,38 @@ def _through_changes(crowd: DataFrame) -> DataFrame:
     return met.where(F.size("all") > 1).select(F.explode("all").alias("a"), "b").where("a > b")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; the component is named by its smallest doc_id."""
-    rows = written(fingerprints(docs, doc_id=doc_id, text=text), "fingerprints")
+def _labelled(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component, component_id) of every fingerprint of ``rows``."""
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     member = components(links(nodes, max_bits))
     named = nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = written(named.join(least, "component").select("fp", "component_id"), "simhash-labels")
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return written(named.join(least, "component").select("fp", "component", "component_id"), "simhash-labels")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; the component is named by its smallest doc_id."""
+    rows = written(fingerprints(docs, doc_id=doc_id, text=text), "fingerprints")
+    return rows.join(_labelled(rows, max_bits), "fp").select("doc_id", "fp", "component_id")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, written once with a number for every row, and the name of that column."""
+    row = fresh(docs, "row_number")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def one_of_each(docs: DataFrame, row: str, found: DataFrame) -> DataFrame:
+    """Of ``numbered`` documents one per component, that with the smallest id; ``found`` has (doc_id, row, component)."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    kept = found.groupBy("component").agg(best.alias("best")).select(F.col("best.row").alias(row))
+    return docs.join(kept, row).drop(row)
 
 
 def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents, one of each component: that with the smallest id (of repeated rows, one)."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, max_bits=max_bits)
-    key = fresh(docs, "kept_id")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept[key])).select(*names)
-    return rows.dropDuplicates([doc_id])
+    """The documents, one of each component: that with the smallest id, null ids last (of repeated rows, one)."""
+    docs, row = numbered(docs)
+    rows = written(fingerprints(docs, doc_id=doc_id, text=text, row=row), "fingerprints")
+    return one_of_each(docs, row, rows.join(_labelled(rows, max_bits), "fp"))

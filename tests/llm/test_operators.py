@@ -340,6 +340,17 @@ def test_near_duplicates_against_all_pairs(docs):
     assert kept.columns == docs.columns and rows_of(kept, "doc_id") == sorted(((x,) for x in set(least.values())), key=repr)
 
 
+def test_rows_are_kept_by_row_and_not_by_id(spark):
+    rows = [(None, A), (None, B), (None, A + " " + B), (None, A), (7, A), (5, B.upper() + " x y z"), (5, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root = plain_components([plain_fingerprint(t) for _, t in rows])
+    groups = [[r for r, g in zip(rows, root) if g == k] for k in sorted(set(root))]
+    want = sorted((min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups), key=repr)
+    got = simhash.near_dedup(df).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == want and want.count(None) > 1 and want.count(5) == 2
+    assert all(any((r.doc_id, r.text) in g for r in got) for g in groups)
+
+
 @pytest.mark.parametrize("bucket", [64, 1])
 def test_links_of_crowded_fingerprints(spark, bucket):
     draw = np.random.default_rng(bucket)
