@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, pii, quality, simhash, suffixes, tokenshards
+from biascomp.llm import chunks, cuckoo, decontaminate, jaccard, langid, mixing, pii, quality, simhash, suffixes, tokenshards
 from biascomp.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, part int, fp long"
@@ -381,6 +381,34 @@ def test_components_of_a_long_path(spark):
     assert {(r.node, r.component) for r in components(edges).collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
 
 
+# -- near copies by shingle sets -----------------------------------------------------------------
+
+
+def test_near_copies_are_found_at_five_words_and_jaccard_080(spark, nothing):
+    draw = np.random.default_rng(14)
+    rows = []
+    for k in range(30):
+        base = [f"w{x}" for x in draw.integers(0, 5000, 120)]
+        for c in range(6):
+            own = list(base)
+            for at in draw.integers(0, 120, c % 3):
+                own[at] = "changed" + str(draw.integers(0, 99))
+            rows.append((None if k == 29 else 1000 * c + k, " ".join(own)))
+    rows += [(90_000, "a b"), (90_001, "a b"), (90_002, None), (90_003, " "), (None, "alone with a null id"), (None, "another with a null id")]
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in ((t or "").split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    want = sorted((min((rows[k][0] for k in range(len(rows)) if root[k] == g), key=lambda i: (i is None, i or 0)) for g in set(root)), key=repr)
+    assert len(want) < 60
+    kept = jaccard.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert kept.columns == ["doc_id", "text"] and rows_of(kept, "doc_id") == [(i,) for i in want]
+    assert jaccard.near_dedup(nothing).count() == 0
+
+
 # -- quality ---------------------------------------------------------------------------------
 
 
