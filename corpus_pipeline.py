@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from biascomp.llm import decontaminate, jaccard, mixing, quality, tokenshards
+from biascomp.llm import decontaminate, mixing, quality, simhash, tokenshards
 from biascomp.llm.common import written
 
 
@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies (five-word shingles, Jaccard 0.8): the one with the smallest id."""
-    return jaccard.near_dedup(docs)
+    """One document of every SimHash group (three-word shingles, two bits): the one with the smallest id."""
+    return simhash.near_dedup(docs, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_stage),
-    ("near-dedup", near_duplicate_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
     ("benchmark decontamination", benchmark_stage),
     ("source mixing", mixing_stage),
     ("token shards", token_stage),
