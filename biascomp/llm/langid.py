@@ -93,7 +93,7 @@ class Model:
         best = int(scores.sum(0).argmax())
         gain = np.cumsum(scores - scores[:, [best]], axis=0)
         low = np.minimum.accumulate(np.concatenate([np.zeros((1, gain.shape[1])), gain[:-1]]))
-        if (gain - low).max() <= SWITCH:
+        if _stays(scores, best, (gain - low).max(), SWITCH):
             return np.full(len(first), best), letters
         return viterbi(scores, SWITCH), letters
 
@@ -105,6 +105,16 @@ class Model:
         return self.languages[int(held.argmax())], float(held.max() / held.sum())
 
 
+def _stays(scores: np.ndarray, best: int, gain: float, penalty: float) -> bool:
+    """Whether one language, the best on the whole, is proven to beat every path with a switch.
+
+    A path that uses it pays a penalty for each stretch in another language, which gains at most
+    ``gain``; a path that never does pays at least one, and gains at most the best other score of every word.
+    """
+    others = np.delete(scores, best, axis=1)
+    return gain <= penalty and (others.shape[1] < 2 or (others.max(1) - scores[:, best]).sum() <= penalty)
+
+
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The path of labels with the highest sum of scores less a penalty per switch."""
     n, m = scores.shape

@@ -3,11 +3,11 @@
 Word counts are added up per source. A source's target is its weight's share of all words, at most
 ``limit`` times its own; what is cut off is shared out again by weight until no target is above its
 limit. A document is then taken floor(rate) times, plus once more with probability equal to the
-rest, decided by a seeded hash of its id: the choice needs no state, so a rerun or a retried task
-agrees.
+rest, decided by a seeded hash of its id (of its text where the id is null): the choice needs no
+state, so a rerun or a retried task agrees.
 
 Defined cases: a null text has size 0; sources order by code point, null last, and null is a source
-of its own; repeated rows and null ids share the fate of their id; a source without words has
+of its own; repeated rows share the fate of their id, equal texts without an id that of their text; a source without words has
 target 0; an empty table gives no rows; other columns pass through ``mixed`` untouched.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biascomp.llm.common import fresh, written
+from biascomp.llm.common import fresh, whole_text, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -54,9 +54,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     return table.select("source", "source_size", F.when(capped, top.cast("double")).otherwise(shared).alias("target"))
 
 
-def copies(rate: Column, doc_id: Column, seed: int = SEED) -> Column:
-    """floor(rate), plus one if the id's seeded hash, as a number below 1, is below the rest."""
-    text = F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"))
+def draw_key(doc_id: str, text: str) -> Column:
+    """What the draw of a document hashes: its id, or the digest of its text where the id is null."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null:"), F.md5(whole_text(text))))
+
+
+def copies(rate: Column, key: Column, seed: int = SEED) -> Column:
+    """floor(rate), plus one if the key's seeded hash, as a number below 1, is below the rest."""
+    text = F.concat_ws(":", F.lit(str(seed)), key)
     u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
@@ -65,11 +70,12 @@ def mix_plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
              weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document."""
     sized = written(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size")), "sizes"
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"),
+                    draw_key(doc_id, text).alias("key")), "sizes"
     )
     targets = source_targets(sized, weights, limit)
     joined = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    taken = F.col("size") * copies(_rate(limit), F.col("doc_id"), seed)
+    taken = F.col("size") * copies(_rate(limit), F.col("key"), seed)
     return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
@@ -88,7 +94,7 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     repeated = docs.join(rates, docs[source].eqNullSafe(rates[key]))
     again = F.explode(F.sequence(F.lit(1), F.col(n)))
     return (
-        repeated.withColumn(n, copies(F.col(n), F.col(doc_id), seed))
+        repeated.withColumn(n, copies(F.col(n), draw_key(doc_id, text), seed))
         .where(F.col(n) > 0)
         .select(*[F.col(f"`{c}`") for c in docs.columns], again.alias(n))
         .drop(n)

@@ -170,11 +170,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``rows`` labelled ids that may be learned from, by the smallest hash of the id."""
+    """At most ``rows`` labelled ids that may be learned from, by the smallest hash of the id; of several labels the least."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    return usable.select(F.col("doc_id").alias("labelled_id"), F.col("quality").cast("int").alias("quality")).orderBy(
-        F.xxhash64("labelled_id"), "labelled_id", "quality"
-    ).limit(rows)
+    each = usable.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    return each.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", rows: int = TRAIN_ROWS) -> Trees:
@@ -189,7 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", rows: int = T
             x = [statistics(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["i", "y", "x"])
 
-    got = sorted(known.mapInArrow(scan, "i long, y int, x array<double>").limit(2 * rows).collect())
+    # one row per labelled id: of several documents under one id the one of least statistics
+    each = known.mapInArrow(scan, "i long, y int, x array<double>").groupBy("i").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    got = sorted(each.collect())
     return fit_trees(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], np.float64))
 
 

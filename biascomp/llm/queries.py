@@ -77,7 +77,8 @@ def op2(spark, sf_dir):
     "op9_source_mixing",
     r"""
 with d as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+         coalesce(cast(doc_id as varchar), 'null:' || md5(coalesce(text, ''))) as key from documents),
 s as (
   select source, cast(sum(size) as hugeint) as s,
          cast([5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as hugeint) as w
@@ -96,7 +97,7 @@ t as (
 r as (
   select doc_id, size, source_size, target,
          case when source_size = 0 then 0.0 else least(target / cast(source_size as double), 3.0) end as rate,
-         cast(('0x' || substr(md5('17:' || cast(doc_id as varchar)), 1, 8)) as bigint) / 4294967296.0::double as u
+         cast(('0x' || substr(md5('17:' || key), 1, 8)) as bigint) / 4294967296.0::double as u
   from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
        cast(size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end) as bigint) as taken
@@ -112,7 +113,7 @@ def op9(spark, sf_dir):
     r"""
 with d as (select doc_id, coalesce(text, '') as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
-       doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+       row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
 from d
 """,
 )

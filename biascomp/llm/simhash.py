@@ -8,9 +8,10 @@ thresholds with the fewest expected candidates, estimated from the bit and bit-p
 fingerprints. Candidates from the probes are verified on all 64 bits.
 
 Equal fingerprints are one node. A bucket of more than BUCKET fingerprints is never paired off:
-its members look for each other through their single-bit changes instead. Two fingerprints within
-two bits share such a change or are one, and a change belongs to 65 fingerprints at most, so this
-is exact and linear (it needs max_bits = 2, like the default).
+its members look for each other through the values half of max_bits away from them (for an odd
+max_bits with one more bit left out). Two fingerprints share such a value if and only if they are
+within max_bits, and a value belongs to a fixed number of fingerprints, so this is exact and linear
+for any max_bits; the values of a fingerprint are 65 for two bits and grow with max_bits.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; a text of
 fewer words than a shingle is one shingle; repeated rows and equal texts share a component; null
@@ -52,12 +53,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", row: str | None = None,
+                 shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row; fp is the 64 bits as a signed long. ``row`` names a long column to pass as row."""
 
     def scan(batches):
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(0).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t, shingle) for t in b.column(0).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], names=[*b.schema.names[1:], "fp"])
 
     more = [] if row is None else [F.col(row).alias("row")]
@@ -207,8 +209,6 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> D
     """Edges (a, b) between distinct fingerprints that connect all within ``max_bits`` bits."""
     n, both = bit_counts(nodes)
     plan = search_plan(n, both, max_bits)
-    if max_bits > 2:
-        bucket = 1 << 62  # the other way below is exact for two bits
     held = nodes.select("fp", F.explode(_keys(plan, probe=False)).alias("k")).select("fp", "k.part", "k.key")
     probes = held if all(t == 0 for _, t in plan) else (
         nodes.select("fp", F.explode(_keys(plan, probe=True)).alias("k")).select("fp", "k.part", "k.key")
@@ -224,14 +224,20 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> D
     differ = F.col("a") > F.col("b") if probes is None else F.col("a") != F.col("b")
     paired = b.join(a, ["part", "key"]).where(differ & close).select("a", "b")
     crowd = asked.join(hot, ["part", "key"]).unionByName(held.join(hot, ["part", "key"])).select("fp").distinct()
-    return written(paired.unionByName(_through_changes(crowd)).distinct(), "simhash-links")
-
-
-def _through_changes(crowd: DataFrame) -> DataFrame:
-    """Links of fingerprints within two bits: each value a change away names its smallest fingerprint."""
-    values = F.array(*[F.col("fp").bitwiseXOR(F.lit(c)) for c in _flips(list(range(BITS)), 1)])
-    rows = crowd.select("fp", F.explode(values).alias("value"))
-    met = rows.groupBy("value").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("all"))
+    return written(paired.unionByName(_through_changes(crowd, max_bits)).distinct(), "simhash-links")
+
+
+def _through_changes(crowd: DataFrame, max_bits: int) -> DataFrame:
+    """Links of fingerprints within max_bits: each value half of that away names its smallest fingerprint."""
+    left_out = [-1] if max_bits % 2 == 0 else [~_mask([b]) for b in range(BITS)]
+    changes = F.array(*[
+        F.struct(F.lit(c).alias("change"), F.lit(m).alias("held"))
+        for m in left_out for c in _flips([b for b in range(BITS) if m >> b & 1], max_bits // 2)
+    ])
+    rows = crowd.select("fp", F.explode(changes).alias("k")).select(
+        "fp", F.col("k.held").alias("held"), F.col("fp").bitwiseXOR(F.col("k.change")).bitwiseAND(F.col("k.held")).alias("value")
+    )
+    met = rows.groupBy("held", "value").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("all"))
     return met.where(F.size("all") > 1).select(F.explode("all").alias("a"), "b").where("a > b")
 
 
@@ -246,9 +252,10 @@ def _labelled(rows: DataFrame, max_bits: int) -> DataFrame:
     return written(named.join(least, "component").select("fp", "component", "component_id"), "simhash-labels")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS,
+                    shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every row; the component is named by its smallest doc_id."""
-    rows = written(fingerprints(docs, doc_id=doc_id, text=text), "fingerprints")
+    rows = written(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "fingerprints")
     return rows.join(_labelled(rows, max_bits), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -265,8 +272,9 @@ def one_of_each(docs: DataFrame, row: str, found: DataFrame) -> DataFrame:
     return docs.join(kept, row).drop(row)
 
 
-def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS,
+               shingle: int = SHINGLE) -> DataFrame:
     """The documents, one of each component: that with the smallest id, null ids last (of repeated rows, one)."""
     docs, row = numbered(docs)
-    rows = written(fingerprints(docs, doc_id=doc_id, text=text, row=row), "fingerprints")
+    rows = written(fingerprints(docs, doc_id=doc_id, text=text, row=row, shingle=shingle), "fingerprints")
     return one_of_each(docs, row, rows.join(_labelled(rows, max_bits), "fp"))

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from biascomp.llm import queries as llm
-from tests.llm import test_operators as plain
+from tests.llm import test_llm_operators as plain
 
 SF = "/root/testdata/sf0.001"
 
