@@ -52,6 +52,11 @@ def test_pii_query_against_the_patterns(spark, table):
         assert set(listed) <= set(r.spans.split(","))
 
 
+def test_periodic_query_against_every_period(spark, table):
+    got = sorted(map(tuple, llm.queries()["op12_periodic_runs"](spark, SF).collect()))
+    assert got == sorted(plain.plain_periodic(i, r.text) for i, r in table.items()) and sum(r[1] for r in got) > 10
+
+
 @pytest.mark.parametrize("name", ["op1_token_shards", "op4_quality_classifier", "op5_substring_dedup", "op6_language_id"])
 def test_query_covers_all_documents(spark, table, name):
     rows = llm.queries()[name](spark, SF).collect()
