@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, periodic, pii, quality, simhash, suffixes, tokenshards
+from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, periodic, pii, quality, simhash, spelling, suffixes, tokenshards
 from biascomp.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, part int, fp long"
@@ -661,6 +661,67 @@ def test_runs_of_awkward_documents(spark, docs, nothing):
     }
 
 
+# -- spelling variants -----------------------------------------------------------------------------
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len, reverse=True)
+    return len(a) == len(b) + 1 and any(a[:k] + a[k + 1 :] == b for k in range(len(a)))
+
+
+def plain_variants(words):
+    shared, near = {}, {w: set() for w in words}
+    for w in words:  # near words share a rest with one letter less, or one is the other's rest
+        for rest in {w} | {w[:k] + w[k + 1 :] for k in range(len(w))}:
+            for v in shared.setdefault(rest, []):
+                if one_edit(w, v):
+                    near[w].add(v)
+                    near[v].add(w)
+            shared[rest].append(w)
+    form = {}
+    for w, of in near.items():
+        best = min(of, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * words[w] else None
+    rows = []
+    for w in words:
+        root = w
+        while form[root]:
+            root = form[root]
+        rows.append((w, form[w], root, words[w], len(near[w]), words[form[w]] if form[w] else None))
+    return sorted(rows)
+
+
+def plain_words_of(rows, planted=False):
+    count = {}
+    for i, t in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = "".join(c.lower() if c < "\x80" else c for c in run)
+            h = zlib.crc32(f"{i}:{run}".encode())
+            if planted and i is not None and h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            count[run] = count.get(run, 0) + 1
+    return {w: n for w, n in count.items() if len(w) >= 7 and n >= 2}
+
+
+@pytest.mark.parametrize("limit", [2048, 30, 3])
+def test_variants_against_all_words(spark, limit):
+    draw = np.random.default_rng(13)
+    words = {"".join(draw.choice(list("abcé"), draw.integers(7, 10))): int(draw.choice([2, 3, 25, 40, 300, 5000])) for _ in range(400)}
+    words |= {"a" * 300: 5, "a" * 299 + "b": 70, "a" * 301: 700, "ÿ" * 9000: 3, "ÿ" * 9001: 2, "abcdefg": 2, "gfedcba": 90, "abcdegf": 90}
+    got = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long").repartition(3), limit=limit)
+    assert sorted(map(tuple, got.collect())) == plain_variants(words)
+
+
+def test_variants_of_awkward_documents(docs, nothing):
+    rows = [(i, t) for i, t, *_ in ROWS]
+    for planted in (False, True):
+        got = spelling.spelling_variants(docs, edit=spelling.planted_deletion if planted else None)
+        assert sorted(map(tuple, got.collect())) == plain_variants(plain_words_of(rows, planted))
+    assert spelling.spelling_variants(nothing).count() == 0
+
+
 # -- the rest of the library does not need this subpackage -------------------------------------
 
 

@@ -57,6 +57,12 @@ def test_periodic_query_against_every_period(spark, table):
     assert got == sorted(plain.plain_periodic(i, r.text) for i, r in table.items()) and sum(r[1] for r in got) > 10
 
 
+def test_spelling_query_against_all_words(spark, table):
+    got = sorted(map(tuple, llm.queries()["op13_spelling_variants"](spark, SF).collect()))
+    assert got == plain.plain_variants(plain.plain_words_of([(i, r.text) for i, r in table.items()], planted=True))
+    assert any(r[1] for r in got) and any(r[4] > 1 for r in got)
+
+
 @pytest.mark.parametrize("name", ["op1_token_shards", "op4_quality_classifier", "op5_substring_dedup", "op6_language_id"])
 def test_query_covers_all_documents(spark, table, name):
     rows = llm.queries()[name](spark, SF).collect()
