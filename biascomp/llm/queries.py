@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, periodic, pii, quality, simhash, spelling, suffixes, tokenshards
+from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, periodic, pii, quality, simhash, spelling, suffixes, superminhash, tokenshards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +188,8 @@ def op12(spark, sf_dir):
 @query("op13_spelling_variants")
 def op13(spark, sf_dir):
     return spelling.spelling_variants(read(spark, sf_dir, "documents"), edit=spelling.planted_deletion)
+
+
+@query("op11_superminhash_near_dedup")
+def op11(spark, sf_dir):
+    return superminhash.near_duplicates(read(spark, sf_dir, "documents"))

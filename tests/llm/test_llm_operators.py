@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, periodic, pii, quality, simhash, spelling, suffixes, tokenshards
+from biascomp.llm import chunks, cuckoo, decontaminate, langid, mixing, periodic, pii, quality, simhash, spelling, suffixes, superminhash, tokenshards
 from biascomp.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, part int, fp long"
@@ -722,6 +722,93 @@ def test_variants_of_awkward_documents(docs, nothing):
     assert spelling.spelling_variants(nothing).count() == 0
 
 
+# -- SuperMinHash ------------------------------------------------------------------------------------
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_near(rows, percent=85):
+    """(doc_id, n_shingles, component_id, kept) of every row by all pairs that share a shingle."""
+    sets = [plain_shingles(t) for _, t in rows]
+    root, holders = list(range(len(rows))), {}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for k, s in enumerate(sets):
+        for other in {j for g in s for j in holders.get(g, ())}:
+            if find(k) != find(other) and 100 * len(s & sets[other]) >= percent * len(s | sets[other]):
+                a, b = sorted((find(k), find(other)))
+                root[b] = a
+        for g in s:
+            holders.setdefault(g, []).append(k)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        g = find(k) if sets[k] else ("alone", k)
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    named = [(i, len(sets[k]), least[find(k) if sets[k] else ("alone", k)]) for k, (i, _) in enumerate(rows)]
+    return sorted(((i, n, c, i == c) for i, n, c in named), key=repr)
+
+
+def test_signatures_by_shuffling_one_by_one():
+    draw = np.random.default_rng(11)
+    sets = [np.unique(draw.integers(0, 1 << 63, n, np.uint64)) for n in (1, 2, 7, 300)]
+    for s, got in zip(sets, superminhash.signatures(sets, 40)):
+        want = [(1 << 64) - 1] * 40
+        for e in s:
+            p = list(range(40))
+            for rank in range(40):
+                z = int(superminhash._mix(np.array([(int(e) + (rank + 1) * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64))[0])
+                k = rank + ((z >> 40) * (40 - rank) >> 24)
+                p[rank], p[k] = p[k], p[rank]
+                want[p[rank]] = min(want[p[rank]], rank << 40 | z & ((1 << 40) - 1))
+        assert got.tolist() == want
+
+
+def test_signatures_vary_less_than_independent_minima():
+    draw, agree = np.random.default_rng(5), []
+    for _ in range(150):
+        common = draw.integers(0, 1 << 63, 170, np.uint64)
+        a, b = superminhash.signatures([np.unique(np.append(common, draw.integers(0, 1 << 63, 15, np.uint64))) for _ in range(2)])
+        agree.append((a == b).mean())
+    assert abs(np.mean(agree) - 0.85) < 0.01 and np.std(agree) < 0.9 * np.sqrt(0.85 * 0.15 / 200)
+
+
+@pytest.mark.parametrize("crowd, block, batch", [(64, 1024, 1 << 19), (2, 8, 700)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, crowd, block, batch):
+    monkeypatch.setattr(superminhash, "CROWD", crowd)
+    monkeypatch.setattr(superminhash, "BLOCK", block)
+    monkeypatch.setattr(superminhash, "BATCH", batch)
+    draw, rows = np.random.default_rng(crowd), []
+    passage = [f"p{k}" for k in range(80)]  # shared by many documents that are not alike
+    for k in range(12):
+        base = [f"w{x}" for x in draw.integers(0, 5000, 150)]
+        for c in range(14):
+            own, changed = list(base), draw.integers(0, 150, c % 5)
+            for at in changed:
+                own[at] = f"c{draw.integers(0, 9999)}"
+            rows.append((None if k == 11 else 1000 * c + k, " ".join(own)))
+    for k in range(60):
+        rows.append((50_000 + k, " ".join(passage + [f"u{x}" for x in draw.integers(0, 5000, 60 + k)])))
+    chain = [f"x{k}" for k in range(400)]  # every copy goes on where the one before ended
+    rows += [(70_000 + k, " ".join(chain[4 * k : 4 * k + 150])) for k in range(40)]
+    rows += [(80_000, "a b"), (80_001, "A  b"), (80_002, None), (80_003, " "), (None, None), (5, "a b c"), (5, "a b c")]
+    got = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    want = plain_near(rows)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and 60 < sum(r[3] for r in want) < 200
+
+
+def test_near_copies_of_awkward_documents(docs, nothing):
+    got = superminhash.near_duplicates(docs)
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_near([(i, t) for i, t, *_ in ROWS])
+    assert superminhash.near_duplicates(nothing).count() == 0
+
+
 # -- the rest of the library does not need this subpackage -------------------------------------
 
 

@@ -63,6 +63,11 @@ def test_spelling_query_against_all_words(spark, table):
     assert any(r[1] for r in got) and any(r[4] > 1 for r in got)
 
 
+def test_superminhash_query_against_all_pairs(spark, table):
+    got = sorted(map(tuple, llm.queries()["op11_superminhash_near_dedup"](spark, SF).collect()), key=repr)
+    assert got == plain.plain_near([(i, r.text) for i, r in sorted(table.items())])
+
+
 @pytest.mark.parametrize("name", ["op1_token_shards", "op4_quality_classifier", "op5_substring_dedup", "op6_language_id"])
 def test_query_covers_all_documents(spark, table, name):
     rows = llm.queries()[name](spark, SF).collect()
