@@ -5,13 +5,14 @@
   reaches are correlated (all different), so the estimate varies less than that of independent
   minima, and a document stops at the first rank above all of its values. All documents of a batch
   go through one rank at a time in NumPy; permutations are never stored, only the swaps so far.
-* Banding: BANDS keys of ROWS places each. A pair at 0.85 meets in no band with a chance of 1e-8.
-* Rounds: every member of a bucket is first compared with the bucket's smallest member. What is
-  linked is grouped; only members of different groups are then compared with each other, by their
-  whole signatures, a byte a place. Buckets of more than CROWD members, which a passage shared by
-  many documents makes, are first split by the bands of a second, independent half of the signature,
-  and what is still large is compared block by block. No member is dropped and no pair is listed
-  unless its signatures agree in ALIKE of all places; a pair at 0.85 falls short of that with a
+* Banding: BANDS keys of ROWS places each. A pair at 0.85 meets in no band with a chance of 5e-7.
+* Rounds: every member of a bucket is compared with two of its members (least and largest digest), and
+  after grouping what is linked, members outside the bucket's largest group with PICKS members of that
+  group. Only members of groups that are still different are then compared with each other, by
+  their whole signatures, a byte a place, block by block, and a pair is listed in its first common band
+  only. Buckets where that would be more than WORK comparisons, which a passage shared by very many
+  documents makes, are split by other bands of the signature first. No member is dropped, and no pair is
+  listed unless its signatures agree in ALIKE of all places; a pair at 0.85 falls short of that with a
   chance below 1e-6.
 * Verification: every listed pair is decided on the whole sets (64-bit hashes of the shingles of both
   texts, 100 * common >= 85 * all), so no link is wrong. Only texts that are asked for are read again.
@@ -40,12 +41,13 @@ from biascomp.llm.common import batch, whole_text, written
 from biascomp.llm.components import components
 
 SHINGLE, PERCENT, SEED = 5, 85, 42
-BANDS, ROWS = 25, 4
-#: Two halves of the signature: one for the buckets, one to split crowded ones.
-PLACES = 2 * BANDS * ROWS
-ALIKE = 140
-#: Members of a bucket that are compared without a split, and of a block of what stays crowded.
-CROWD, BLOCK = 64, 1024
+BANDS, ROWS, PLACES, ALIKE = 25, 5, 200, 140
+#: Places of the bands that split crowded buckets: they cut across the first ones.
+ACROSS = np.arange(PLACES).reshape(ROWS, -1).T
+#: Members of the largest group that others are compared with, comparisons of a bucket without a split, members of a block.
+PICKS, WORK, BLOCK = 6, 1 << 24, 2048
+#: Asked digests (24 bytes each) that may be broadcast; more are joined by a shuffle.
+SENT = 500_000
 #: Pairs that one copy of a text is sent for; shingles of one batch; links that a task groups at a time.
 FAN, BATCH, LINKS = 1000, 1 << 19, 1 << 20
 
@@ -109,11 +111,11 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key per band of ``rows`` places, different from band to band."""
-    parts = least.reshape(len(least), -1, rows)
+def band_keys(least: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band (a line of places), different from band to band."""
+    parts = least[:, places]
     key = np.tile(np.arange(parts.shape[1], dtype=np.uint64) + np.uint64(1), (len(least), 1))
-    for k in range(rows):
+    for k in range(places.shape[1]):
         key = _mix(key * _FACTOR[8 + k] + parts[:, :, k])
     return key.view(np.int64)
 
@@ -123,15 +125,16 @@ def sketch(least: np.ndarray) -> np.ndarray:
     return (_mix(least) & np.uint64(255)).astype(np.uint8)
 
 
-SKETCH = "doc_id long, digest binary, node binary, n long, keys array<long>, more array<long>, sketch binary"
+FIRST = np.arange(BANDS * ROWS).reshape(BANDS, ROWS)
+SKETCH = "doc_id long, digest binary, node binary, mark long, n long, keys array<long>, more array<long>, sketch binary"
 
 
 def sketches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """SKETCH rows of every document; without shingles node, keys and sketch are null.
 
-    ``digest`` names the text, ``node`` the set; ``keys`` and ``more`` are the bands of the two halves.
+    ``digest`` names the text, ``node`` the set, ``mark`` is a short form of the node for finding
+    buckets; ``keys`` are the bands, ``more`` those that cut across them.
     """
-    half = BANDS * ROWS
 
     def rows(held):
         ids, texts, sets = zip(*held)
@@ -143,14 +146,15 @@ def sketches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
         place[full] = np.arange(len(full))
         index = pa.array(place, mask=place < 0)
 
-        def lists(keys):
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS)
+        def lists(places):
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(least, places).ravel()), len(places))
             return flat.cast(pa.list_(pa.int64())).take(index)
 
+        short = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in nodes]
         marks = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PLACES), len(full), [None, pa.py_buffer(sketch(least).tobytes())])
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-             lists(band_keys(least[:, :half])), lists(band_keys(least[:, half:])), marks.cast(pa.binary()).take(index)],
+            [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.binary()), pa.array(short, pa.int64()),
+             pa.array([len(s) for s in sets], pa.int64()), lists(FIRST), lists(ACROSS), marks.cast(pa.binary()).take(index)],
             names=[c.split()[0] for c in SKETCH.split(", ")],
         )
 
@@ -174,92 +178,124 @@ def sketches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
 # -- candidates ------------------------------------------------------------------------------------
 
 
-def alike(nodes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the index and whose signatures agree in ALIKE places."""
+def alike(nodes: DataFrame, pairs: DataFrame, on: str = "node", percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of nodes, given by their column ``on``, whose sizes allow the index and whose signatures agree in ALIKE places."""
 
     def scan(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in (2, 3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= ALIKE))
 
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("of_a"), F.col("sketch").alias("sketch_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("of_b"), F.col("sketch").alias("sketch_b"))
-    both = pairs.join(a, "a").join(b, "b").where(100 * F.least("of_a", "of_b") >= percent * F.greatest("of_a", "of_b"))
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(scan, "a binary, b binary")
+    def side(x):
+        return nodes.select(F.col(on).alias(x), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"of_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("of_a", "of_b") >= percent * F.greatest("of_a", "of_b"))
+    return both.select("node_a", "node_b", "sketch_a", "sketch_b").mapInArrow(scan, "a binary, b binary")
+
+
+def _groups(company: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, band, node, component, most, strays, load) of every member of a bucket with more than one component.
+
+    ``most`` is the bucket's largest component, ``strays`` the number of members outside it.
+    """
+    member = components(forest(links))
+    named = company.join(member, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("load"), F.count("*").alias("parts"))
+    most = most.where("parts > 1").select("key", F.col("most.component").alias("most"), (F.col("load") - F.col("most.size")).alias("strays"), "load")
+    return written(named.join(most, "key"), "near-mixed")
+
+
+def _picked(mixed: DataFrame) -> DataFrame:
+    """(a, b): every stray with PICKS members of its bucket's largest component, chosen by hash."""
+    chosen = [F.min_by("node", F.xxhash64("node", F.lit(t))).alias(f"p{t}") for t in range(PICKS)]
+    picks = mixed.where("component = most").groupBy("key").agg(*chosen)
+    strays = mixed.where("component != most").join(picks, "key")
+    return strays.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*[f"p{t}" for t in range(PICKS)]))).alias("b")).distinct()
 
 
 def _blocks(of: DataFrame) -> DataFrame:
-    """Rows (bucket, node, component) dealt to (bucket, i, j, side): buckets above BLOCK as all pairs of their blocks."""
-    load = of.groupBy("bucket").agg(F.count("*").alias("load"), F.min("component").alias("p"), F.max("component").alias("q"))
+    """Rows (bucket, ..., load) dealt to (bucket, i, j): all pairs of blocks, of about BLOCK members each."""
     parts = F.ceil(F.col("load") / BLOCK).cast("int")
-    mixed = of.join(load.where("p != q").select("bucket", parts.alias("parts")), "bucket")  # others are grouped already
-    own = F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int")
+    own = of.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    return mixed.withColumn("own", own).select("bucket", "node", "component", "own", F.explode(met).alias("ij")).select(
-        "bucket", "ij.i", "ij.j", "own", "node", "component"
-    )
+    return own.withColumn("ij", F.explode(met)).select("bucket", "ij.i", "ij.j", "own", "band", "across", "node", "component")
 
 
-def compared(of: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that sizes and signatures allow."""
+def compared(mixed: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that sizes and signatures allow, each once."""
+    heavy = F.col("strays") * F.col("load") > WORK
+    light = mixed.where(~heavy).select(F.col("key").alias("bucket"), "band", F.lit(-1).alias("across"), "node", "component", "load")
+    split = mixed.where(heavy).join(nodes.select("node", F.posexplode("more").alias("across", "k")), "node")
+    split = split.select(F.xxhash64("key", "k").alias("bucket"), "band", "across", "node", "component")
+    load = split.groupBy("bucket").agg(F.count("*").alias("load"), F.min("component").alias("p"), F.max("component").alias("q"))
+    split = split.join(load.where("p != q").select("bucket", "load"), "bucket")
 
     def pairs(t):
         size, own = t.column("n").to_numpy(), t.column("own").to_numpy()
-        component = t.column("component").to_numpy(zero_copy_only=False)
+        component = t.column("component").to_numpy()
         marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
-        i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
+        i, j, band, across = (t.column(c)[0].as_py() for c in ("i", "j", "band", "across"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out = []
         for k in left.tolist():
             other = right if i != j else right[right > k]
             other = other[(component[other] != component[k]) & (100 * np.minimum(size[other], size[k]) >= percent * np.maximum(size[other], size[k]))]
-            if len(other):
-                other = other[(marks[other] == marks[k]).sum(1) >= ALIKE]
-                out += [(k, x) for x in other.tolist()]
+            if not len(other):
+                continue
+            same = marks[other] == marks[k]
+            first = same[:, FIRST].all(2).argmax(1) == band  # a later band lists the pair no more
+            if across >= 0:
+                first &= same[:, ACROSS].all(2).argmax(1) == across
+            out += [(k, x) for x in other[first & (same.sum(1) >= ALIKE)].tolist()]
         node = t.column("node")
         for at in range(0, len(out), LINKS):
             a, b = zip(*out[at : at + LINKS])
             yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
 
+    def edges(t):
+        keys = np.array([t.column(c).to_numpy() for c in group])
+        return [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()]
+
+    def whole(t, ends):
+        for a, b in zip(ends, ends[1:]):
+            if b - a > 1:
+                yield from pairs(t.slice(a, b - a).combine_chunks().to_batches()[0])
+
     def scan(batches):
         held = []
         for b in batches:
             held.append(b)
             if sum(x.num_rows for x in held) >= 4 * BLOCK:
                 t = pa.Table.from_batches(held).combine_chunks()
-                edges = _edges(t)
-                yield from whole(t, edges)
-                held = t.slice(edges[-1]).to_batches()  # the last group may go on
+                ends = edges(t)
+                yield from whole(t, ends)
+                held = t.slice(ends[-1]).to_batches()  # the last group may go on
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
-            yield from whole(t, [*_edges(t), t.num_rows])
-
-    def _edges(t):
-        keys = np.array([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
-        return [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()] if t.num_rows else [0]
-
-    def whole(t, edges):
-        for a, b in zip(edges, edges[1:]):
-            if b - a > 1:
-                yield from pairs(t.slice(a, b - a).combine_chunks().to_batches()[0])
+            yield from whole(t, [*edges(t), t.num_rows])
 
     group = ["bucket", "i", "j"]
-    rows = _blocks(of).join(nodes.select("node", "n", "sketch"), "node")
-    rows = rows.select(*group, "own", "node", F.xxhash64("component").alias("component"), "n", "sketch")
+    rows = _blocks(light.unionByName(split)).join(nodes.select("node", "n", "sketch"), "node")
+    rows = rows.select(*group, "own", "band", "across", "node", F.xxhash64("component").alias("component"), "n", "sketch")
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(scan, "a binary, b binary")
 
 
 # -- verification ----------------------------------------------------------------------------------
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the index. Texts are read again for asked nodes only."""
-    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = written(asked.join(nodes.select("node", "digest"), "node"), "near-asked")
+def texts_of(docs: DataFrame, asked: DataFrame, *, text: str = "text") -> DataFrame:
+    """(node, text) of the asked (node, digest): one of the texts of each node, read again from the documents."""
+    asked = written(asked, "near-asked")
+    few = F.broadcast(asked) if asked.count() <= SENT else asked
     named = docs.select(F.unhex(F.md5(whole_text(text))).alias("digest"), whole_text(text).cast("binary").alias("text"))
-    found = named.join(asked, "digest").groupBy("node").agg(F.first("text").alias("text"))  # equal texts, any of them
-    found = written(found, "near-texts")
+    # equal texts, any of them
+    return written(named.join(few, "digest").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+
+
+def verified(found: DataFrame, pairs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets, by their texts (node, text), reach the index."""
+    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
     # a text that very many pairs ask for goes out once for every FAN of them
     fan = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
     dealt = pairs.join(fan, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("fan")).cast("int")).drop("fan")
@@ -315,33 +351,30 @@ def forest(links: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, nodes: DataFrame, *, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between nodes that connect all pairs that reach the index."""
+    index = nodes.select("mark", F.posexplode("keys").alias("band", "key"))
+    buckets = index.groupBy("key").agg(F.count("*").alias("load"), F.min("mark").alias("p"), F.max("mark").alias("q"))
+    company = written(index.join(buckets.where("load > 1"), "key"), "near-company")
+    held = nodes.join(company.select("mark").distinct(), "mark", "left_semi")
+    held = written(held, "near-held")
+    found = texts_of(docs, held.select("node", "digest"), text=text)
 
     def check(pairs):
-        return verified(docs, nodes, pairs, text=text, shingle=shingle, percent=percent)
+        return verified(found, pairs, shingle=shingle, percent=percent)
 
-    index = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = index.groupBy("key").agg(F.count("*").alias("load"), F.min("node").alias("hub")).where("load > 1")
-    company = written(index.join(buckets, "key"), "near-company")
-    first = company.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = check(alike(nodes, first, percent))
-    member = components(forest(links))
-    named = company.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(named.select("key", "load", "node", "component"), "near-named")
-    parts = named.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"))
-    mixed = written(named.join(parts.where("p != q").select("key"), "key"), "near-mixed")
-    # a crowded bucket is split by the other half: once per band, so that a pair still meets
-    crowded = mixed.where(F.col("load") > CROWD).join(nodes.select("node", F.col("more")), "node")
-    split = crowded.select(F.explode("more").alias("k"), "key", "node", "component")
-    split = split.select(F.xxhash64("key", "k").alias("bucket"), "node", "component")
-    of = mixed.where(F.col("load") <= CROWD).select(F.col("key").alias("bucket"), "node", "component").unionByName(split)
-    return links.unionByName(check(compared(of, nodes, percent).distinct()))
+    first = company.select(F.col("mark").alias("a"), F.explode(F.array("p", "q")).alias("b")).where("a != b")
+    links = check(alike(held, first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "mark", percent))
+    company = company.select("key", "band", "mark").join(held.select("mark", "node"), "mark")
+    mixed = _groups(company, links)
+    links = links.unionByName(check(alike(held, _picked(mixed), percent=percent)))
+    mixed = _groups(company.join(mixed.select("key").distinct(), "key", "left_semi"), links)
+    return links.unionByName(check(compared(mixed, held, percent)))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; the component is named by its smallest doc_id."""
     rows = written(sketches(docs, doc_id=doc_id, text=text, shingle=shingle), "near-sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in ("n", "keys", "more", "sketch")]
+        F.min("doc_id").alias("least"), F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in ("mark", "n", "keys", "more", "sketch")]
     )
     nodes = written(nodes, "near-nodes")
     member = components(forest(near_links(docs, nodes, text=text, shingle=shingle, percent=percent)))

@@ -755,7 +755,9 @@ def plain_near(rows, percent=85):
     return sorted(((i, n, c, i == c) for i, n, c in named), key=repr)
 
 
-def test_signatures_by_shuffling_one_by_one():
+@pytest.mark.parametrize("batch", [1 << 19, 100])
+def test_signatures_by_shuffling_one_by_one(monkeypatch, batch):
+    monkeypatch.setattr(superminhash, "BATCH", batch)
     draw = np.random.default_rng(11)
     sets = [np.unique(draw.integers(0, 1 << 63, n, np.uint64)) for n in (1, 2, 7, 300)]
     for s, got in zip(sets, superminhash.signatures(sets, 40)):
@@ -779,12 +781,11 @@ def test_signatures_vary_less_than_independent_minima():
     assert abs(np.mean(agree) - 0.85) < 0.01 and np.std(agree) < 0.9 * np.sqrt(0.85 * 0.15 / 200)
 
 
-@pytest.mark.parametrize("crowd, block, batch", [(64, 1024, 1 << 19), (2, 8, 700)])
-def test_near_copies_against_all_pairs(spark, monkeypatch, crowd, block, batch):
-    monkeypatch.setattr(superminhash, "CROWD", crowd)
-    monkeypatch.setattr(superminhash, "BLOCK", block)
-    monkeypatch.setattr(superminhash, "BATCH", batch)
-    draw, rows = np.random.default_rng(crowd), []
+@pytest.mark.parametrize("work, block, batch, sent", [(1 << 24, 2048, 1 << 19, 500_000), (2, 8, 700, 0)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, work, block, batch, sent):
+    for name, value in (("WORK", work), ("BLOCK", block), ("BATCH", batch), ("SENT", sent)):
+        monkeypatch.setattr(superminhash, name, value)
+    draw, rows = np.random.default_rng(block), []
     passage = [f"p{k}" for k in range(80)]  # shared by many documents that are not alike
     for k in range(12):
         base = [f"w{x}" for x in draw.integers(0, 5000, 150)]
