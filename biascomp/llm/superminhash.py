@@ -12,14 +12,15 @@
   their whole signatures, a byte a place, block by block, and a pair is listed in its first common band
   only. Buckets where that would be more than WORK comparisons, which a passage shared by very many
   documents makes, are split by other bands of the signature first. No member is dropped, and no pair is
-  listed unless its signatures agree in ALIKE of all places; a pair at 0.85 falls short of that with a
-  chance below 1e-6.
+  listed unless its signatures agree in ALIKE of all places (a pair at 0.85 falls short of that with a
+  chance below 1e-6) and the low 16 or 32 bits of all shingles of both leave the index possible, which
+  no linked pair fails: what is listed is linked but for few.
 * Verification: every listed pair is decided on the whole sets (64-bit hashes of the shingles of both
   texts, 100 * common >= 85 * all), so no link is wrong. Only texts that are asked for are read again.
 * Grouping: union-find over the links of a task first, then rounds over what the tasks found.
 
-Equal sets are one node. Pairs whose index lies between 0.7 and 0.85 pass the signatures and are
-all verified: a group of very many such documents, unlinked, is the case that is not linear.
+Equal sets are one node. A group of very many documents that are alike but not linked is the case
+that is not linear: they are compared, in blocks, though not listed.
 
 Defined cases: null texts and texts without words have no shingles, are linked with nothing and name
 themselves; fewer words than a shingle are one shingle; repeated rows and equal texts share a
@@ -46,6 +47,8 @@ BANDS, ROWS, PLACES, ALIKE = 25, 5, 200, 140
 ACROSS = np.arange(PLACES).reshape(ROWS, -1).T
 #: Members of the largest group that others are compared with, comparisons of a bucket without a split, members of a block.
 PICKS, WORK, BLOCK = 6, 1 << 24, 2048
+#: Shingles up to which 16 bits of each are compared.
+WIDE = 4096
 #: Asked digests (24 bytes each) that may be broadcast; more are joined by a shuffle.
 SENT = 500_000
 #: Pairs that one copy of a text is sent for; shingles of one batch; links that a task groups at a time.
@@ -222,8 +225,39 @@ def _blocks(of: DataFrame) -> DataFrame:
     return own.withColumn("ij", F.explode(met)).select("bucket", "ij.i", "ij.j", "own", "band", "across", "node", "component")
 
 
-def compared(mixed: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that sizes and signatures allow, each once."""
+def images(found: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(node, image) from (node, text): the low bits of all shingles, 16 of them up to WIDE shingles and else 32."""
+
+    def scan(batches):
+        known = _Words()
+        for b in batches:
+            sets = (shingles(t.as_py(), known, shingle) for t in b.column(1))
+            image = [s.astype(np.uint16 if len(s) <= WIDE else np.uint32).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(image, pa.binary())], names=["node", "image"])
+
+    return found.mapInArrow(scan, "node binary, image binary")
+
+
+def _low(image: bytes, n: int, wide: bool) -> np.ndarray:
+    bits = np.frombuffer(image, np.uint16 if n <= WIDE else np.uint32)
+    return bits if wide else bits.astype(np.uint16)
+
+
+def possible(image: bytes, n: int, others: list[bytes], sizes: list[int], percent: int = PERCENT) -> list[bool]:
+    """Whether a set may reach the index with each of the others: as if all equal bits were equal shingles."""
+    held: dict[bool, np.ndarray] = {}
+    out = []
+    for other, size in zip(others, sizes):
+        wide = n > WIDE and size > WIDE
+        if wide not in held:
+            held[wide] = np.unique(_low(image, n, wide))
+        common = int(np.isin(_low(other, size, wide), held[wide], kind=None if wide else "table").sum())
+        out.append(100 * common >= percent * (n + size - common))
+    return out
+
+
+def compared(mixed: DataFrame, nodes: DataFrame, found: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that sizes, signatures and images allow, each once."""
     heavy = F.col("strays") * F.col("load") > WORK
     light = mixed.where(~heavy).select(F.col("key").alias("bucket"), "band", F.lit(-1).alias("across"), "node", "component", "load")
     split = mixed.where(heavy).join(nodes.select("node", F.posexplode("more").alias("across", "k")), "node")
@@ -235,6 +269,7 @@ def compared(mixed: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
         size, own = t.column("n").to_numpy(), t.column("own").to_numpy()
         component = t.column("component").to_numpy()
         marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
+        image = t.column("image")
         i, j, band, across = (t.column(c)[0].as_py() for c in ("i", "j", "band", "across"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out = []
@@ -247,7 +282,10 @@ def compared(mixed: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
             first = same[:, FIRST].all(2).argmax(1) == band  # a later band lists the pair no more
             if across >= 0:
                 first &= same[:, ACROSS].all(2).argmax(1) == across
-            out += [(k, x) for x in other[first & (same.sum(1) >= ALIKE)].tolist()]
+            other = other[first & (same.sum(1) >= ALIKE)].tolist()
+            if other:
+                may = possible(image[k].as_py(), int(size[k]), [image[x].as_py() for x in other], size[other].tolist(), percent)
+                out += [(k, x) for x, ok in zip(other, may) if ok]
         node = t.column("node")
         for at in range(0, len(out), LINKS):
             a, b = zip(*out[at : at + LINKS])
@@ -276,8 +314,10 @@ def compared(mixed: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
             yield from whole(t, [*edges(t), t.num_rows])
 
     group = ["bucket", "i", "j"]
-    rows = _blocks(light.unionByName(split)).join(nodes.select("node", "n", "sketch"), "node")
-    rows = rows.select(*group, "own", "band", "across", "node", F.xxhash64("component").alias("component"), "n", "sketch")
+    asked = found.join(mixed.select("node").distinct(), "node", "left_semi")
+    held = written(images(asked, shingle).join(nodes.select("node", "n", "sketch"), "node"), "near-images")
+    rows = _blocks(light.unionByName(split)).join(held, "node")
+    rows = rows.select(*group, "own", "band", "across", "node", F.xxhash64("component").alias("component"), "n", "sketch", "image")
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(scan, "a binary, b binary")
 
 
@@ -367,7 +407,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, *, text: str = "text", shingle
     mixed = _groups(company, links)
     links = links.unionByName(check(alike(held, _picked(mixed), percent=percent)))
     mixed = _groups(company.join(mixed.select("key").distinct(), "key", "left_semi"), links)
-    return links.unionByName(check(compared(mixed, held, percent)))
+    return links.unionByName(check(compared(mixed, held, found, shingle=shingle, percent=percent)))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

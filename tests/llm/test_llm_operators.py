@@ -804,6 +804,21 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, work, block, batch, s
     assert sorted(map(tuple, got.collect()), key=repr) == want and 60 < sum(r[3] for r in want) < 200
 
 
+def test_images_never_rule_out_a_link(monkeypatch):
+    monkeypatch.setattr(superminhash, "WIDE", 300)
+    draw, said = np.random.default_rng(2), []
+    for _ in range(300):
+        common = draw.integers(0, 1 << 63, draw.integers(20, 500), np.uint64)
+        sets = [np.unique(np.append(common, draw.integers(0, 1 << 63, draw.integers(0, 2 + len(common) // 6), np.uint64))) for _ in range(2)]
+        image = [s.astype(np.uint16 if len(s) <= 300 else np.uint32).tobytes() for s in sets]
+        [may] = superminhash.possible(image[0], len(sets[0]), [image[1]], [len(sets[1])])
+        shared = len(np.intersect1d(*sets))
+        linked = 100 * shared >= 85 * (len(sets[0]) + len(sets[1]) - shared)
+        assert may or not linked
+        said.append((may, linked))
+    assert sum(a != b for a, b in said) < 20 and 50 < sum(b for _, b in said) < 290
+
+
 def test_near_copies_of_awkward_documents(docs, nothing):
     got = superminhash.near_duplicates(docs)
     assert sorted(map(tuple, got.collect()), key=repr) == plain_near([(i, t) for i, t, *_ in ROWS])
