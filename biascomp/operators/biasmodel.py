@@ -13,17 +13,17 @@ the marginal likelihood follow from sums per sample and per category:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import t_quantile
-from biascomp.operators.groups import join_on, spread
+from biascomp.operators.groups import join_on
 from biascomp.operators.reshape import CALIBRATION
 from biascomp.session import checkpoint
 
@@ -187,7 +187,7 @@ class BiasModel:
             (F.col("a11") / F.col("det")).alias("v22"),
             df.alias("df"),
             ((prior + q) / df).alias("scale2"),
-            (-0.5 * log_det - 0.5 * df * F.ln(1 + q / prior)).alias("log_ml"),
+            (-0.5 * log_det - 0.5 * df * F.ln(1 + F.coalesce(F.try_divide(q, prior), F.lit(0.0)))).alias("log_ml"),
         )
 
     def gamma_scan(self, gammas: Sequence[float] = tuple(GAMMAS)) -> DataFrame:
@@ -214,50 +214,6 @@ class BiasModel:
 
     # ------------------------------------------------------------------ predictions
 
-    def _taxa(self, gamma: float) -> DataFrame:
-        """One row per group with the fitted categories as an array (model dimension, not data)."""
-        one = F.struct("taxon", "beta", "beta_run", "scale2", "v11", "v12", "v22", F.col("df").cast("double").alias("df"))
-        return self.fitted(gamma).groupBy(*self.group).agg(
-            F.array_sort(F.collect_list(one)).alias("taxa"), F.max("n_taxa").alias("n_taxa")
-        )
-
-    def _sample_rows(self, gamma: float, field_only: bool) -> DataFrame:
-        """One row per sample: sums, own sums by category as a map, fitted categories of its group."""
-        g = self.group
-        samples = self.samples.where(F.col("sample") != CALIBRATION) if field_only else self.samples
-        own = self.cells.groupBy(*g, "sample").agg(
-            F.map_from_entries(F.collect_list(F.struct("taxon", "sd"))).alias("own")
-        )
-        rows = join_on(join_on(samples, own, [*g, "sample"]), self._taxa(gamma), g)
-        return rows.withColumn("m", F.col("k") + F.lit(1 / gamma))
-
-    @staticmethod
-    def _line(t: Column, x0: Column, r0: Column) -> tuple[Column, Column]:
-        """Posterior mean and variance factor of a category's log-ratio in a sample row."""
-        sd = F.coalesce(F.try_element_at(F.col("own"), t["taxon"]), F.lit(0.0))
-        dx, dr = x0 - F.col("sx") / F.col("m"), r0 - F.col("sr") / F.col("m")
-        mean = (sd - F.col("ss") / F.col("n_taxa")) / F.col("m") + t["beta"] * dx + t["beta_run"] * dr
-        var = 1 / F.col("m") + dx * dx * t["v11"] + 2 * dx * dr * t["v12"] + dr * dr * t["v22"]
-        return mean, var
-
-    def sample_posterior(self, gamma: float = GAMMA, at_cycle: float = 0.0, at_run: float = 0.0) -> DataFrame:
-        """Per field sample, the log-ratios extrapolated to a cycle, as parallel arrays.
-
-        All categories of the group appear, seen in the sample or not. Only the sample's own rows
-        are shuffled; the dense row is built inside the row.
-        """
-        rows = self._sample_rows(gamma, field_only=True)
-        x0, r0 = F.lit(float(at_cycle) - self.centre), F.lit(float(at_run))
-
-        def entry(t: Column) -> Column:
-            mean, var = self._line(t, x0, r0)
-            return F.struct(
-                t["taxon"].alias("taxon"), mean.alias("eta"), F.sqrt(t["scale2"] * var).alias("sd"),
-                t["df"].alias("df"),
-            )
-
-        return rows.select(*self.group, "sample", F.transform("taxa", entry).alias("post"))
-
     def fitted(self, gamma: float = GAMMA) -> DataFrame:
         """The fit at one gamma, one row per category, written once for all that reads it."""
         if gamma not in self._fits:
@@ -362,157 +318,275 @@ class BiasModel:
         )
         return predicted.unionByName(observed, allowMissingColumns=True)
 
-    def draws(self, gamma: float = GAMMA, n: int = 1000, seed: int = 0, at_cycle: float = 0.0) -> DataFrame:
-        """Monte-Carlo summaries of the corrected shares.
+    def _posterior_rows(self, gamma: float, at_cycle: float, seed: int) -> DataFrame:
+        """Per field sample and category: place and spread of its log weight, random key and block.
+
+        ``at`` is the log weight up to a constant of the sample, in range for an exponential.
+        """
+        g = self.group
+        totals = self._totals(gamma, float(at_cycle) - self.centre, 0.0)
+        rows = join_on(join_on(totals, self.fitted(gamma).drop("n_taxa"), g), self.cells.select(*g, "sample", "taxon", "sd"), [*g, "sample", "taxon"])
+        dx, dr, m = F.col("dx"), F.col("dr"), F.col("m")
+        at = F.col("beta") * dx + F.col("beta_run") * dr + F.coalesce("sd", F.lit(0.0)) / m - F.col("top")
+        var = 1 / m + dx * dx * F.col("v11") + 2 * dx * dr * F.col("v12") + dr * dr * F.col("v22")
+        return checkpoint(rows.select(
+            *g, "sample", "taxon", at.alias("at"), F.sqrt(F.col("scale2") * var).alias("spread"), F.col("df").cast("double").alias("df"),
+            F.log("total").alias("ln_total"), F.col("sd").isNotNull().alias("seen"), *_blocked([*g, "sample"], seed),
+        ))
+
+    def draws(
+        self, gamma: float = GAMMA, n: int = 1000, seed: int = 0, at_cycle: float = 0.0, seen_only: bool = False
+    ) -> DataFrame:
+        """Monte-Carlo summaries of the corrected shares: mean, standard deviation and quantiles.
 
-        Categories are drawn independently from their t marginals, then brought to one per draw.
-        Every sample has its own random stream keyed by its name, so results do not depend on how
-        rows are spread over tasks; a task holds the draws of one sample at a time.
+        Categories are drawn independently from their t marginals, then brought to one per draw. Every
+        (sample, category) has a random stream of its own, so a draw can be made twice and nowhere is a
+        sample laid out over all categories: a task adds up the draws of one block of categories, the
+        blocks of a sample are added as vectors, and a second pass divides by the joined totals.
+        ``seen_only`` returns the categories with reads; the others still count in the totals.
+        """
+        keys = [*self.group, "sample"]
+
+        def add(block: pd.DataFrame) -> np.ndarray:
+            return _weights(block, n).sum(axis=0)
+
+        def divide(block: pd.DataFrame, total: np.ndarray) -> pd.DataFrame:
+            if seen_only:
+                block = block[block["seen"].to_numpy(bool)]
+            share = _weights(block, n) / total
+            out = block[[*keys, "taxon"]].assign(mean_value=share.mean(axis=1), sd_value=share.std(axis=1, ddof=1))
+            return out.assign(**dict(zip(SUMMARY, np.quantile(share, list(SUMMARY.values()), axis=1))))
+
+        stats = ["mean_value", "sd_value", *SUMMARY]
+        return _in_two_passes(self._posterior_rows(gamma, at_cycle, seed), keys, add, divide, stats)
+
+    def expected_shares(self, gamma: float = GAMMA, at_cycle: float = 0.0) -> DataFrame:
+        """What the mean of ``draws`` tends to, by quadrature instead of draws.
+
+        With independent weights e, the mean of e_i / sum(e) is the integral over s of
+        E[e_i exp(-s e_i)] times the product of E[exp(-s e_j)] over all others, so the logs of those
+        factors add up by sample on a grid of ln(s), in the same two passes as the draws.
         """
-        post = self.sample_posterior(gamma, at_cycle)
         keys = [*self.group, "sample"]
-        flat = post.select(
-            *keys,
-            F.xxhash64(*keys, F.lit(seed)).alias("key"),
-            F.col("post.taxon").alias("taxon"),
-            F.col("post.eta").alias("eta"),
-            F.col("post.sd").alias("sd"),
-            F.element_at("post.df", 1).alias("df"),
-        )
-        schema = ", ".join([f"{k} string" for k in keys]) + ", taxon string, mean_value double, " + ", ".join(
-            f"{c} double" for c in SUMMARY
-        )
 
-        def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                stats = []
-                for row in batch.itertuples(index=False):
-                    shares = _share_draws(_stream(row.key), row.eta, row.sd, row.df, n)
-                    stats.append(np.vstack([shares.mean(axis=0), np.quantile(shares, list(SUMMARY.values()), axis=0)]))
-                yield _long_batch(batch, keys, ["taxon"], stats, ["mean_value", *SUMMARY])
+        def factors(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            """E[exp(-s e)] and E[s e exp(-s e)] per category and grid point."""
+            t, ln_s = np.arange(-9, 9.01, 0.25), GRID - block["ln_total"].iloc[0]
+            weight = (1 + t * t / block["df"].to_numpy()[:, None]) ** (-(block["df"].to_numpy()[:, None] + 1) / 2)
+            weight /= weight.sum(axis=1, keepdims=True)
+            none, one = np.empty((len(block), len(GRID))), np.empty((len(block), len(GRID)))
+            for i, (at, spread) in enumerate(zip(block["at"], block["spread"])):
+                x = np.exp(np.minimum(ln_s[:, None] + at + spread * t, 700.0))
+                fall = np.exp(-x)
+                none[i], one[i] = fall @ weight[i], (x * fall) @ weight[i]
+            return np.maximum(none, 1e-300), one
 
-        return spread(flat, keys).mapInPandas(summarise, schema)
+        def add(block: pd.DataFrame) -> np.ndarray:
+            return np.log(factors(block)[0]).sum(axis=0)
+
+        def integrate(block: pd.DataFrame, total: np.ndarray) -> pd.DataFrame:
+            none, one = factors(block)
+            return block[[*keys, "taxon"]].assign(expected=(one / none * np.exp(total)).sum(axis=1) * (GRID[1] - GRID[0]))
+
+        return _in_two_passes(self._posterior_rows(gamma, at_cycle, 0), keys, add, integrate, ["expected"])
 
     # ------------------------------------------------------------------ checks of the fit
 
-    def _obs_rows(self, gamma: float) -> DataFrame:
-        """One row per observation with its own log counts by category and its sample's sums."""
+    def _lines(self, gamma: float) -> DataFrame:
+        """Per observation: its sample's sums and where its line is read off."""
         g = self.group
-        own = self.rows.groupBy(*g, "obs").agg(
-            F.map_from_entries(F.collect_list(F.struct("taxon", F.struct("d", "n_reads")))).alias("seen")
-        )
-        obs = join_on(self.obs.drop("is_field", "n_seen"), own, [*g, "obs"])
-        return join_on(obs, self._sample_rows(gamma, field_only=False), [*g, "sample"])
+        samples = self.samples.select(*g, "sample", "k", "sx", "sr", "ss")
+        m = F.col("k") + F.lit(1 / gamma)
+        lines = join_on(self.obs.drop("is_field", "n_seen"), samples, [*g, "sample"])
+        return lines.withColumns({"m": m, "dx": F.col("x") - F.col("sx") / m, "dr": F.col("r") - F.col("sr") / m})
 
     def residual_covariance(self, gamma: float = GAMMA) -> DataFrame:
         """Covariance of the residuals of every pair of categories.
 
-        Each task adds up cross products of whole observations (a matrix of the model dimension),
-        and the small matrices are added up afterwards; pairs are never emitted per observation.
+        A residual is u + a + b * beta + c * beta_run, where a, b and c belong to the observation and u
+        is zero for categories without reads in the sample. Cross products therefore need sums per
+        category, a few numbers per group, and the products of the u alone. Those are added up by pairs
+        of blocks of categories and chunks of observations: a task holds one small matrix, never all
+        categories, and the work follows the counts that exist.
         """
-        def residual(t: Column) -> Column:
-            d = F.coalesce(F.try_element_at(F.col("seen"), t["taxon"])["d"], F.lit(0.0))
-            return d - F.col("s") / F.col("n_taxa") - self._line(t, F.col("x"), F.col("r"))[0]
-
         g = self.group
-        rows = self._obs_rows(gamma).select(
-            *g, F.col("taxa.taxon").alias("taxon"), F.transform("taxa", residual).alias("res")
+        fit = self.fitted(gamma).select(*g, "taxon", "beta", "beta_run")
+        lines = join_on(self._lines(gamma), self.n_taxa(), g).select(
+            *g, "obs", "sample", "m", (F.col("ss") / F.col("m") / F.col("n_taxa") - F.col("s") / F.col("n_taxa")).alias("a"),
+            (-F.col("dx")).alias("b"), (-F.col("dr")).alias("c"), "n_taxa",
         )
-        schema = ", ".join(f"{k} string" for k in g) + (
-            ", taxon string, taxon2 string, n long, s1 double, s2 double, s12 double"
+        own = join_on(self.cells.select(*g, "sample", "taxon", "sd"), lines, [*g, "sample"], "inner")
+        d = self.rows.select(*g, "obs", "taxon", "d")
+        u = join_on(own, d, [*g, "obs", "taxon"]).select(
+            *g, "obs", "taxon", "a", "b", "c", "n_taxa", (F.coalesce("d", F.lit(0.0)) - F.col("sd") / F.col("m")).alias("u")
         )
-
-        def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[tuple, list] = {}
-            for batch in batches:
-                for key, part in batch.groupby(g, sort=False):
-                    mat = np.array(part["res"].tolist())
-                    add = [len(mat), mat.sum(axis=0), mat.T @ mat, list(part["taxon"].iloc[0])]
-                    if key in sums:
-                        for i in range(3):
-                            sums[key][i] = sums[key][i] + add[i]
-                    else:
-                        sums[key] = add
-            for key, (n, s, ss, taxa) in sums.items():
-                i, j = np.triu_indices(len(taxa))
-                out = pd.DataFrame(
-                    {
-                        "taxon": np.array(taxa)[i], "taxon2": np.array(taxa)[j], "n": n,
-                        "s1": s[i], "s2": s[j], "s12": ss[i, j],
-                    }
-                )
-                for name, v in zip(reversed(g), reversed(key)):
-                    out.insert(0, name, v)
-                yield out
-
-        parts = rows.mapInPandas(cross, schema)
-        total = parts.groupBy(*g, "taxon", "taxon2").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "s12")])
-        cov = (F.col("s12") - F.col("s1") * F.col("s2") / F.col("n")) / (F.col("n") - 1)
-        return total.select(*g, "taxon", "taxon2", "n", cov.alias("covariance"))
+        u = checkpoint(u)
+        names = {"aa": "a*a", "ab": "a*b", "ac": "a*c", "bb": "b*b", "bc": "b*c", "cc": "c*c", "a": "a", "b": "b", "c": "c"}
+        whole = lines.groupBy(*g).agg(F.count("*").alias("n"), *[F.sum(F.expr(e)).alias(f"s_{k}") for k, e in names.items()])
+        each = u.groupBy(*g, "taxon").agg(F.sum("u").alias("u"), *[F.sum(F.col("u") * F.col(c)).alias(f"u{c}") for c in "abc"])
+        each = join_on(fit, each, [*g, "taxon"])
+        left = each.withColumnsRenamed({c: f"{c}_1" for c in ("beta", "beta_run", "u", "ua", "ub", "uc")})
+        right = each.withColumnsRenamed({c: f"{c}_2" for c in ("taxon", "beta", "beta_run", "u", "ua", "ub", "uc")})
+        pairs = join_on(left, right.withColumnRenamed("taxon_2", "taxon2"), g).where("taxon <= taxon2")
+        pairs = join_on(join_on(pairs, whole, g), _block_products(u, g), [*g, "taxon", "taxon2"])
+        s12 = F.expr(
+            "coalesce(s12, 0) + ua_1 + beta_2*ub_1 + beta_run_2*uc_1 + ua_2 + beta_1*ub_2 + beta_run_1*uc_2"
+            " + s_aa + (beta_1+beta_2)*s_ab + (beta_run_1+beta_run_2)*s_ac + beta_1*beta_2*s_bb"
+            " + (beta_1*beta_run_2+beta_run_1*beta_2)*s_bc + beta_run_1*beta_run_2*s_cc"
+        )
+        s1, s2 = (F.expr(f"u_{k} + s_a + beta_{k}*s_b + beta_run_{k}*s_c") for k in (1, 2))
+        return pairs.select(*g, "taxon", "taxon2", "n", ((s12 - s1 * s2 / F.col("n")) / (F.col("n") - 1)).alias("covariance"))
 
     def posterior_predictive(self, gamma: float = GAMMA, n: int = 500, seed: int = 0) -> DataFrame:
-        """Observed counts beside the interval of counts the fitted model predicts.
+        """Observed counts beside the interval of counts the fitted model predicts, largest count first (``place``).
 
-        Each draw of the shares is followed by a draw of that many reads as the observation has.
+        Each draw of the shares is followed by a draw of as many reads as the observation has: the reads
+        are dealt over blocks of categories by conditional binomials on the joined totals, then within
+        each block. No observation is laid out over all categories.
         """
         g = self.group
+        keys = [*g, "obs"]
+        fit = self.fitted(gamma).drop("n_taxa")
+        fit = join_on(fit, self.n_taxa(), g)
+        rows = join_on(self._lines(gamma), fit, g)
+        rows = join_on(rows, self.cells.select(*g, "sample", "taxon", "sd"), [*g, "sample", "taxon"])
+        rows = join_on(rows, self.rows.select(*keys, "taxon", "n_reads"), [*keys, "taxon"])
+        dx, dr, m = F.col("dx"), F.col("dr"), F.col("m")
+        at = F.col("beta") * dx + F.col("beta_run") * dr + F.coalesce("sd", F.lit(0.0)) / m
+        var = 1 + 1 / m + dx * dx * F.col("v11") + 2 * dx * dr * F.col("v12") + dr * dr * F.col("v22")
+        rows = checkpoint(rows.select(
+            *keys, "taxon", F.coalesce("n_reads", F.lit(0)).cast("long").alias("observed"), "depth", at.alias("at"),
+            F.sqrt(F.col("scale2") * var).alias("spread"), F.col("df").cast("double").alias("df"), *_blocked(keys, seed),
+        ))
+        fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+        named = ", ".join(f"`{k}` {fields[k]}" for k in keys)
+
+        def add(block: pd.DataFrame) -> pd.DataFrame:
+            one = block[[*keys, "block", "depth"]].head(1)
+            return one.assign(w=[_weights(block, n).sum(axis=0)])
+
+        def deal(parts: pd.DataFrame) -> pd.DataFrame:
+            parts = parts.sort_values("block")
+            w = np.stack(parts["w"].to_list())
+            rest = np.cumsum(w[::-1], axis=0)[::-1]
+            rng = _stream(int(parts["stream"].iloc[0]))
+            left, out = np.full(n, int(parts["depth"].iloc[0])), []
+            for k in range(len(w)):
+                out.append(left if k == len(w) - 1 else rng.binomial(left, np.minimum(w[k] / rest[k], 1.0)))
+                left = left - out[-1]
+            return parts[[*keys, "block"]].assign(reads=out)
+
+        def within(block: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+            block = block.sort_values("taxon")
+            w = _weights(block, n)
+            rng = _stream(int(block["key"].min()))
+            counts = rng.multinomial(np.asarray(dealt["reads"].iloc[0]), (w / w.sum(axis=0)).T)
+            low, mid, high = np.quantile(counts, [0.025, 0.5, 0.975], axis=0)
+            return block[[*keys, "taxon", "observed"]].assign(p2_5=low, p50=mid, p97_5=high)
+
+        parts = rows.groupBy(*keys, "block").applyInPandas(add, f"{named}, block int, depth {fields['depth']}, w array<double>")
+        streams = parts.withColumn("stream", F.xxhash64(*keys, F.lit(seed), F.lit("blocks")))
+        dealt = streams.groupBy(*keys).applyInPandas(deal, f"{named}, block int, reads array<long>")
+        both = rows.groupBy(*keys, "block").cogroup(dealt.groupBy(*keys, "block"))
+        out = both.applyInPandas(within, f"{named}, taxon {fields['taxon']}, observed long, p2_5 double, p50 double, p97_5 double")
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("observed").desc(), "taxon"))
+        return out.withColumn("covered", F.col("observed").between(F.col("p2_5"), F.col("p97_5"))).withColumn("place", place)
+
+
+#: Categories whose draws a task holds at a time, observations of one chunk of cross products.
+BLOCK, CHUNK = 2048, 1 << 14
+#: Grid of ln(s) round minus the log of the total weight.
+GRID = np.arange(-26, 6.01, 0.25)
+
+
+def _blocked(keys: Sequence[str], seed: int) -> list[Column]:
+    """Random key of every row, its block of categories and the number of blocks."""
+    blocks = F.ceil(F.col("n_taxa") / BLOCK).cast("int")
+    return [
+        F.xxhash64(*keys, "taxon", F.lit(seed)).alias("key"), F.pmod(F.xxhash64("taxon"), blocks).cast("int").alias("block"),
+        blocks.alias("blocks"),
+    ]
+
+
+def _in_two_passes(rows: DataFrame, keys: list[str], add, finish, names: list[str]) -> DataFrame:
+    """A vector per block of categories, added up per key, then every block with the sum of its key.
+
+    ``add`` gives the vector of a block of rows, ``finish`` the result rows (keys, taxon, names) from a block and the sum.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    named = ", ".join(f"`{k}` {fields[k]}" for k in keys)
 
-        def entry(t: Column) -> Column:
-            mean, var = self._line(t, F.col("x"), F.col("r"))
-            seen = F.try_element_at(F.col("seen"), t["taxon"])["n_reads"]
-            return F.struct(
-                t["taxon"].alias("taxon"), mean.alias("eta"), F.sqrt(t["scale2"] * (1 + var)).alias("sd"),
-                F.coalesce(seen, F.lit(0)).alias("observed"),
-            )
+    def first(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("taxon")
+        return block[[*keys, "block", "blocks"]].head(1).assign(v=[add(block)])
 
-        keys = [*g, "obs"]
-        rows = self._obs_rows(gamma).select(
-            *keys, "depth", F.element_at("taxa.df", 1).alias("df"), F.xxhash64(*keys, F.lit(seed)).alias("key"),
-            F.transform("taxa", entry).alias("p"),
-        )
-        flat = rows.select(
-            *keys, "depth", "df", "key", *[F.col(f"p.{c}").alias(c) for c in ("taxon", "eta", "sd", "observed")]
-        )
-        schema = ", ".join(f"{k} string" for k in keys) + (
-            ", taxon string, observed long, p2_5 double, p50 double, p97_5 double"
-        )
+    def second(block: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
+        return finish(block.sort_values("taxon"), np.asarray(total["v"].iloc[0]))
 
-        def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                stats = []
-                for row in batch.itertuples(index=False):
-                    rng = _stream(row.key)
-                    shares = _share_draws(rng, row.eta, row.sd, row.df, n)
-                    counts = rng.multinomial(int(row.depth), shares)
-                    stats.append(np.quantile(counts, [0.025, 0.5, 0.975], axis=0))
-                yield _long_batch(batch, keys, ["taxon", "observed"], stats, ["p2_5", "p50", "p97_5"])
+    parts = rows.groupBy(*keys, "block").applyInPandas(first, f"{named}, block int, blocks int, v array<double>")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("block", "v"))), lambda x: x["v"])
+    total = F.aggregate(
+        F.slice("all", 2, F.size("all")), F.element_at("all", 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    )
+    sums = parts.groupBy(*keys).agg(F.max("blocks").alias("blocks"), listed.alias("all")).select(
+        *keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), total.alias("v")
+    )
+    both = rows.groupBy(*keys, "block").cogroup(sums.groupBy(*keys, "block"))
+    out = both.applyInPandas(
+        lambda block, v: second(block, v) if len(block) else pd.DataFrame(columns=[*keys, "taxon", *names]),
+        f"{named}, taxon {fields['taxon']}, " + ", ".join(f"{c} double" for c in names),
+    )
+    return out
 
-        out = spread(flat, keys).mapInPandas(predict, schema)
-        return out.withColumn("covered", F.col("observed").between(F.col("p2_5"), F.col("p97_5")))
 
+def _weights(block: pd.DataFrame, n: int) -> np.ndarray:
+    """n draws of the weight of every row of a block; each row has a random stream of its own."""
+    out = np.empty((len(block), n))
+    for i, (key, at, spread, df) in enumerate(zip(block["key"], block["at"], block["spread"], block["df"])):
+        out[i] = at + spread * _stream(key).standard_t(df, n)
+    return np.exp(np.minimum(out, 700.0))
 
-def _stream(key: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=np.uint64(np.int64(key))))
+
+def _block_products(u: DataFrame, group: list[str]) -> DataFrame:
+    """(group, taxon, taxon2, s12): products of ``u`` over observations, for pairs of categories that meet."""
+    blocks = F.ceil(F.col("n_taxa") / BLOCK).cast("int")
+    own = u.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("taxon"), F.col("blocks")).cast("int"))
+    met = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")),
+    )
+    chunks = u.groupBy(*group).agg(F.ceil(F.approx_count_distinct("obs") / CHUNK).cast("int").alias("chunks"))
+    rows = join_on(own.withColumn("ij", F.explode(met)), chunks, group).select(
+        *group, "ij.i", "ij.j", F.pmod(F.xxhash64("obs"), F.greatest("chunks", F.lit(1))).cast("int").alias("chunk"), "own", "obs", "taxon", "u"
+    )
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def product(part: pd.DataFrame) -> pd.DataFrame:
+        obs = pd.factorize(part["obs"])[0]
+        taxon, taxa = pd.factorize(part["taxon"])
+        x = np.zeros((obs.max() + 1, len(taxa)))
+        x[obs, taxon] = part["u"].to_numpy()
+        side = np.zeros(len(taxa), int)
+        side[taxon] = part["own"].to_numpy()
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        s = x[:, a].T @ x[:, b]
+        k, l = np.nonzero(s)
+        first, second = np.asarray(taxa)[a[k]], np.asarray(taxa)[b[l]]
+        keep = (first <= second) if i == j else np.ones(len(k), bool)
+        swap = first > second
+        out = pd.DataFrame({"taxon": np.where(swap, second, first)[keep], "taxon2": np.where(swap, first, second)[keep], "s12": s[k, l][keep]})
+        for at, name in enumerate(group):
+            out.insert(at, name, part[name].iloc[0])
+        return out
+
+    named = "".join(f"`{k}` {fields[k]}, " for k in group)
+    parts = rows.groupBy(*group, "i", "j", "chunk").applyInPandas(product, f"{named}taxon {fields['taxon']}, taxon2 {fields['taxon']}, s12 double")
+    return parts.groupBy(*group, "taxon", "taxon2").agg(F.sum("s12").alias("s12"))
 
 
-def _share_draws(rng: np.random.Generator, eta: np.ndarray, sd: np.ndarray, df: float, n: int) -> np.ndarray:
-    """n draws of the shares of one sample."""
-    z = eta + sd * rng.standard_t(df, size=(n, len(eta)))
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def _long_batch(
-    batch: pd.DataFrame, keys: list[str], arrays: list[str], stats: list[np.ndarray], names: list[str]
-) -> pd.DataFrame:
-    """Rows of a batch, one per category: repeated keys, unpacked arrays, then the statistics."""
-    if not len(batch):
-        return pd.DataFrame(columns=[*keys, *arrays, *names])
-    sizes = [s.shape[1] for s in stats]
-    out = {k: np.repeat(batch[k].to_numpy(), sizes) for k in keys}
-    out |= {a: np.concatenate(batch[a].to_list()) for a in arrays}
-    values = np.hstack(stats)
-    return pd.DataFrame(out | {name: values[i] for i, name in enumerate(names)})
+def _stream(key: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=np.uint64(np.int64(key))))
 
 
 def prior_scale(n_taxa: DataFrame, gamma: float = GAMMA) -> DataFrame:

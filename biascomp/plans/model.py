@@ -233,6 +233,62 @@ def draws_check(t):
     )
 
 
+@query(
+    "draws_mean_check",
+    "design",
+    f"""with {FIT}, wsum as (select grp, samp, ln(sum(exp(eta))) as lt from pred group by grp, samp),
+        us as (select unnest(range(0,129))*0.25::double-26 as u), ts as (select unnest(range(0,73))*0.25::double-9 as t),
+        nodes as (select p.grp, p.samp, p.taxon, u, pow(1+t*t/df,-(df+1)/2) as w, exp(least(u-lt+eta+sd*t,700)) as x
+          from post p join wsum on p.grp=wsum.grp and p.samp=wsum.samp, us, ts),
+        fac as (select grp, samp, taxon, u, greatest(sum(w*exp(-x))/sum(w),1e-300) as none, sum(w*x*exp(-x))/sum(w) as one
+          from nodes group by all),
+        lsum as (select grp, samp, u, sum(ln(none)) as l from fac group by all)
+        select fac.grp as size_class, fac.samp as sample, taxon, round(sum(one/none*exp(l))*0.25,6) as expected, true as is_within
+        from fac join lsum on fac.grp=lsum.grp and fac.samp=lsum.samp and fac.u=lsum.u group by all""",
+)
+def draws_mean_check(t):
+    """The integral that the mean of the drawn shares tends to, and whether the mean lies within six standard errors."""
+    fitted, keys = model(t), [SC, "sample", "taxon"]
+    drawn = fitted.draws(n=1000)
+    both = drawn.join(fitted.expected_shares(), keys)
+    off = F.abs(F.col("mean_value") - F.col("expected"))
+    within = off <= 6 * F.col("sd_value") / F.sqrt(F.lit(1000.0)) + 1e-9
+    return both.select(*keys, r("expected").alias("expected"), within.alias("is_within"))
+
+
+_HASH_SRC = r"""select size_class as grp, sample_name as obs, case when starts_with(sample_name,'C')
+  then regexp_extract(sample_name,'^(.*)\.[^.]+$',1) else 'Calibration' end as samp,
+  coalesce(try_cast(substring(sample_name,1,2) as integer),30)::double as x, hash as taxon, n_reads as n from hashed"""
+
+
+@query(
+    "draws_by_hash",
+    "hashed",
+    f"""with {sql_fit(_HASH_SRC)} select grp as size_class, samp as sample, pred.taxon, round(share,6) as share, true as inside
+        from pred semi join (select distinct grp, samp, taxon from src) seen using (grp, samp, taxon)""",
+)
+def draws_by_hash(t):
+    """Drawn shares of thousands of categories, for those with reads: the closed form lies inside their interval."""
+    fitted = BiasModel(reshape.sample_design(t.hashed, "sample_name"), Columns(category="hash"))
+    both = fitted.draws(n=100, seen_only=True).join(fitted.predict(seen_only=True), [SC, "sample", "taxon"])
+    inside = (F.col("share") >= F.col("p2_5")) & (F.col("share") <= F.col("p97_5"))
+    return both.select(SC, "sample", "taxon", r("share").alias("share"), inside.alias("inside"))
+
+
+@query(
+    "ppc_order",
+    "design",
+    f"""with {FIT}, cells as (select o.grp, o.obs, tx.taxon, coalesce(s.n,0) as n from o join tx on o.grp=tx.grp
+          left join src s on s.grp=o.grp and s.obs=o.obs and s.taxon=tx.taxon)
+        select grp as size_class, obs, taxon, cast(n as bigint) as observed,
+          row_number() over (partition by grp, obs order by n desc, taxon) as place from cells""",
+)
+def ppc_order(t):
+    """Observed counts of the predictive check from the largest down within each observation."""
+    out = model(t).posterior_predictive(n=50)
+    return out.select(SC, "obs", "taxon", "observed", F.col("place").cast("long").alias("place"))
+
+
 @query("ppc")
 def ppc(t):
     return model(t).posterior_predictive()

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from biascomp.operators import biasmodel
 from biascomp.operators.biasmodel import BiasModel, Columns
 
 TAXA = ["a", "b", "c", "d"]
@@ -126,20 +127,77 @@ def test_draws_agree_and_do_not_depend_on_partitions(spark, counts):
     assert (one.p2_5 <= one.p50).all() and (one.p50 <= one.p97_5).all()
 
 
-def test_residual_covariance(spark, counts):
-    res = dense(counts, 20.0)[6]
-    want = np.cov(res.T)
-    got = BiasModel(spark.createDataFrame(counts)).residual_covariance(20.0).toPandas()
+def test_draws_in_blocks_are_the_same_draws(spark, counts, monkeypatch):
+    keys = ["sample", "taxon"]
+    whole = BiasModel(spark.createDataFrame(counts)).draws(n=500).toPandas().set_index(keys).sort_index()
+    monkeypatch.setattr(biasmodel, "BLOCK", 2)
+    model = BiasModel(spark.createDataFrame(counts))
+    parts = model.draws(n=500).toPandas().set_index(keys).sort_index()
+    assert len(parts) == 24 and np.allclose(whole.drop(columns="size_class"), parts.drop(columns="size_class"), rtol=1e-9)
+    seen = model.draws(n=500, seen_only=True).toPandas().set_index(keys).sort_index()
+    assert len(seen) == 23 and np.allclose(seen.drop(columns="size_class"), parts.loc[seen.index].drop(columns="size_class"), rtol=1e-9)
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_mean_of_the_draws_is_the_integral(spark, counts, monkeypatch, block):
+    """Few shallow observations, so that the mean of the shares is not the share of the means."""
+    monkeypatch.setattr(biasmodel, "BLOCK", block)
+    model = BiasModel(spark.createDataFrame(counts.assign(n_reads=counts.n_reads // 2_000).query("n_reads > 0")))
+    keys = ["sample", "taxon"]
+    drawn, want = (d.toPandas().set_index(keys).sort_index() for d in (model.draws(n=20_000), model.expected_shares()))
+    assert np.allclose(want.expected.groupby(level=0).sum(), 1, atol=1e-5)
+    off = (drawn.mean_value - want.expected) / (drawn.sd_value / np.sqrt(20_000))
+    assert off.abs().max() < 5 and 0.5 < off.std() < 1.6
+    plain = model.predict().toPandas().set_index(keys).sort_index().share
+    assert ((plain - want.expected).abs() / (drawn.sd_value / np.sqrt(20_000))).max() > 8  # the test can tell them apart
+
+
+@pytest.mark.parametrize("block, chunk, run", [(2048, 1 << 14, False), (2, 5, False), (2, 5, True)])
+def test_residual_covariance(spark, counts, monkeypatch, block, chunk, run):
+    monkeypatch.setattr(biasmodel, "BLOCK", block)
+    monkeypatch.setattr(biasmodel, "CHUNK", chunk)
+    counts = counts.assign(run=counts.run.astype(int))
+    want = np.cov(dense(counts, 20.0, run=run)[6].T)
+    cols = Columns(run="run") if run else Columns()
+    got = BiasModel(spark.createDataFrame(counts), cols).residual_covariance(20.0).toPandas()
     assert len(got) == 10
     for row in got.itertuples():
         assert row.covariance == pytest.approx(want[TAXA.index(row.taxon), TAXA.index(row.taxon2)], abs=1e-9)
 
 
-def test_posterior_predictive_covers(spark, counts):
+@pytest.mark.parametrize("block", [2048, 2])
+def test_posterior_predictive_covers(spark, counts, monkeypatch, block):
+    monkeypatch.setattr(biasmodel, "BLOCK", block)
     got = BiasModel(spark.createDataFrame(counts)).posterior_predictive(n=300).toPandas()
     assert len(got) == counts.sample_name.nunique() * 4
     assert (got.observed == 0).sum() == counts.sample_name.nunique() * 4 - len(counts)
     assert got.covered.mean() > 0.8
+    ordered = got.sort_values(["obs", "place"])
+    assert (ordered.place.to_numpy() == np.tile([1, 2, 3, 4], len(got) // 4)).all()
+    assert (np.diff(ordered.observed.to_numpy().reshape(-1, 4), axis=1) <= 0).all()
+
+
+def test_a_single_category_takes_all(spark, counts):
+    model = BiasModel(spark.createDataFrame(counts.query("taxon == 'a'")))
+    assert {round(r.share, 9) for r in model.predict().collect()} == {1.0}
+    assert {(round(r.p2_5, 9), round(r.p97_5, 9)) for r in model.draws(n=50).collect()} == {(1.0, 1.0)}
+
+
+def test_predictive_intervals_have_the_stated_width(spark):
+    """Counts from the model itself: 95 % intervals hold about 95 % of them, with as many misses above as below."""
+    rng, rows = np.random.default_rng(8), []
+    for s in range(60):
+        start = rng.normal(size=6)
+        for rep in range(2):
+            eta = start + rng.normal(scale=0.6, size=6) + np.linspace(-0.05, 0.05, 6) * (20 + 4 * (s % 3))
+            counts = rng.multinomial(50_000, np.exp(eta) / np.exp(eta).sum())
+            rows += [("S1", f"C{s}.{rep}", f"C{s}", 20 + 4 * (s % 3), f"t{t}", int(n)) for t, n in enumerate(counts) if n]
+    df = spark.createDataFrame(rows, "size_class string, sample_name string, sample_num string, cycle_num int, taxon string, n_reads long")
+    got = BiasModel(df).posterior_predictive(n=1000).toPandas()
+    low, high = (got.observed < got.p2_5).mean(), (got.observed > got.p97_5).mean()
+    assert low < 0.06 and high < 0.06
+    narrow = (got.observed.between(got.p50 - (got.p50 - got.p2_5) / 4, got.p50 + (got.p97_5 - got.p50) / 4)).mean()
+    assert 0.2 < narrow < 0.75  # a quarter of the width holds about 38 %, more as the fit has seen the counts
 
 
 def test_groups_are_fitted_apart(spark, counts):
