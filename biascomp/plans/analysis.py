@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from biascomp.functions import numeric as num
@@ -222,6 +224,24 @@ def sql_t_p(tval: str, df: str) -> str:
     )
 
 
+def sql_tq(p: float, df: str) -> str:
+    """Student-t quantile in SQL: an expansion around the normal quantile, then one Newton step on the tail."""
+    # fixed values: quantiles at the prior's five degrees of freedom
+    if df == "5":
+        return {0.975: "2.570581835636314::double"}[p]
+    z = NormalDist().inv_cdf(p)
+    g = [
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    q = "(" + f"{z!r}::double" + "".join(f"+({v!r}::double)/pow({df},{i + 1})" for i, v in enumerate(g)) + ")"
+    log_density = f"lgamma(({df}+1)/2)-lgamma({df}/2)-ln({df}*pi())/2-({df}+1)/2*ln(1+{q}*{q}/{df})"
+    gap = f"(({sql_t_p(q, df)})-{2 * min(p, 1 - p)!r}::double)"
+    return f"({q}{'+' if p > 0.5 else '-'}{gap}/(2*exp({log_density})))"
+
+
 def sql_t_log10_p(tval: str, df: str) -> str:
     """Decimal log of the tail in SQL by the power series of the incomplete beta function.
 
@@ -289,6 +309,28 @@ def ols_by_group(t):
     return out.withColumns({c: r(c) for c in ["slope", "intercept", "r2", "p"]})
 
 
+@query(
+    "line_band",
+    "shares",
+    f"""with f as (select size_class, regr_slope(share,pc1) as b, regr_intercept(share,pc1) as a, regr_avgx(share,pc1) as m,
+          regr_sxx(share,pc1) as sxx, regr_syy(share,pc1) as syy, count(*) as n, cast(count(*)-2 as double) as df
+          from shares where pc1 is not null group by size_class),
+        l as (select *, sqrt((syy-b*b*sxx)/df) as s, {sql_tq(0.975, 'df')} as q from f),
+        p as (select size_class, zone, avg(pc1) as x from shares where pc1 is not null group by all),
+        e as (select p.size_class, zone, x, a+b*x as y, q*s*sqrt(1/n+(x-m)*(x-m)/sxx) as h, s/sqrt(sxx) as se
+          from p join l on p.size_class=l.size_class)
+        select size_class, zone, round(x,4) as pc1, round(y,6)+0.0 as fit, round(y-h,6)+0.0 as low, round(y+h,6)+0.0 as high,
+          round(se*1e6,4)+0.0 as slope_se from e""",
+)
+def line_band(t):
+    """Band of the line of shares over the axis score at the mean score of each zone."""
+    points = t.shares.where("pc1 is not null").groupBy(SC, "zone").agg(F.avg("pc1").alias("pc1"))
+    band = stats.line_band(t.shares, points, [SC], "pc1", "share")
+    errors = stats.line_errors(t.shares, [SC], "pc1", "share").select(SC, r(F.col("slope_se") * 1e6, 4).alias("slope_se"))
+    out = groups.join_on(band, errors, [SC])
+    return out.withColumns({"pc1": r("pc1", 4)} | {c: r(c) for c in ["fit", "low", "high"]})
+
+
 @query(
     "p_adjust",
     "shares",
@@ -391,6 +433,26 @@ def rollup_with_other(t):
     return taxonomy.rollup(t.reads, t.taxonomy_b, "hash", SAMPLE, RANKS[:3], "n_reads")
 
 
+_LEVELS = [
+    f"select size_class, sample_name, '{RANKS[k]}' as level, "
+    + ", ".join(f"case when {RANKS[k]} is null then 'other' else {c} end as {c}" for c in RANKS[: k + 1])
+    + "".join(f", null::varchar as {c}" for c in RANKS[k + 1 : 3])
+    + ", n_reads from hashed h left join taxonomy_b t on h.hash=t.hash"
+    for k in range(3)
+]
+
+
+@query(
+    "rollup_levels",
+    "hashed taxonomy_b",
+    f"""select size_class, sample_name, level, class_rank, order_rank, family_rank, cast(sum(n_reads) as bigint) as n_reads
+        from ({' union all '.join(_LEVELS)}) group by all""",
+)
+def rollup_levels(t):
+    """Class, order and family level at once."""
+    return taxonomy.rollup_levels(t.reads, t.taxonomy_b, "hash", SAMPLE, RANKS[:3], "n_reads")
+
+
 @query(
     "lineage_table",
     "taxonomy",

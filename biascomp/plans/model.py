@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from biascomp.operators import biasmodel, composition, groups, ordered, reshape, stats
+from biascomp.operators import biasmodel, composition, countmodel, groups, ordered, reshape, stats
 from biascomp.operators.biasmodel import BiasModel, Columns
-from biascomp.plans.analysis import sql_t_p
+from biascomp.plans.analysis import sql_t_p, sql_tq
 from biascomp.plans.registry import query, r
 from biascomp.plans.tables import SC
 from biascomp.session import checkpoint
@@ -16,26 +16,6 @@ def model(t) -> BiasModel:
     return BiasModel(t.design)
 
 
-def sql_tq(p: float, df: str) -> str:
-    """Student-t quantile in SQL: an expansion around the normal quantile, then one Newton step on the tail."""
-    from statistics import NormalDist
-
-    # fixed values: quantiles at the prior's five degrees of freedom
-    if df == "5":
-        return {0.975: "2.570581835636314::double"}[p]
-    z = NormalDist().inv_cdf(p)
-    g = [
-        (z**3 + z) / 4,
-        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
-        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
-        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
-    ]
-    q = "(" + f"{z!r}::double" + "".join(f"+({v!r}::double)/pow({df},{i + 1})" for i, v in enumerate(g)) + ")"
-    log_density = f"lgamma(({df}+1)/2)-lgamma({df}/2)-ln({df}*pi())/2-({df}+1)/2*ln(1+{q}*{q}/{df})"
-    gap = f"(({sql_t_p(q, df)})-{2 * min(p, 1 - p)!r}::double)"
-    return f"({q}{'+' if p > 0.5 else '-'}{gap}/(2*exp({log_density})))"
-
-
 def sql_fit(src: str, gamma: str = "20.0::double", run: str = "0.0::double", gammas: str | None = None) -> str:
     """The dense fit: every (observation, taxon) pair is laid out, sums are taken as defined.
 
@@ -153,6 +133,14 @@ def amp_effs(t):
     return model(t).amp_effs().withColumns({c: r(c) for c in EFF_COLS})
 
 
+@query("amp_effs_counts")
+def amp_effs_counts(t):
+    """Efficiencies with the noise of the counts in the model (rounds to convergence, so no SQL)."""
+    effs = countmodel.amp_effs(model(t))
+    settled = (F.col("gap") < countmodel.TOLERANCE).alias("settled")
+    return effs.select(SC, "taxon", *[r(c, 4).alias(c) for c in EFF_COLS], settled)
+
+
 @query(
     "significant_effects",
     "design",
