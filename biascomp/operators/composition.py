@@ -68,9 +68,7 @@ def normalise_to_median_count(
 ) -> DataFrame:
     """Leave one category out, then bring each sample's median count to the group's median."""
     kept = df.where(F.col(category) != drop) if drop else df
-    own = ordered.median(kept, [*by, *sample], value, "__own")
-    all_ = ordered.median(kept, by, value, "__group")
-    joined = join_groups(join_on(kept, own, [*by, *sample]), all_, by)
+    joined = ordered.medians_at_two_levels(kept, by, sample, value, [category], "__group", "__own")
     scaled = round_half_even(ratio(F.col(value) * F.col("__group"), "__own"))
     return joined.withColumn(out, scaled).drop("__own", "__group")
 

@@ -6,9 +6,11 @@ group minus the samples in which it was seen.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biascomp.functions.numeric import ratio
@@ -185,9 +187,23 @@ def drop_high_rest(
 def threshold_scan(
     df: DataFrame, experiment: str, by: Sequence[str], category: str, value: str, grid: Sequence[float]
 ) -> DataFrame:
-    """Categories kept per threshold. The best share per category is computed once, then compared
-    with every threshold of the grid."""
+    """Categories kept per threshold of the grid.
+
+    Each category's best share is put between two thresholds once; what a threshold keeps is the
+    count from the top of the grid down to it. The work per category does not depend on the grid.
+    """
+    points = sorted({float(g) for g in grid})
     best = percent_of_experiment(df, experiment, by, category, value, p=0.0)
-    steps = best.withColumn("threshold", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    kept = F.count(F.when(F.col("max_share") >= F.col("threshold"), F.lit(1)))
-    return steps.groupBy(*by, "threshold").agg(kept.alias("n_kept"))
+    steps = Bucketizer(
+        splits=[-math.inf, *points, math.inf], inputCol="max_share", outputCol="__step", handleInvalid="keep"
+    ).transform(best)
+    cells = steps.groupBy(*by, "__step").agg(F.count(F.lit(1)).alias("__n"))
+    # as text the grid is one literal, however long, and doubles come back exactly
+    numbers = F.split(F.lit(",".join(map(repr, points))), ",").cast("array<double>")
+    marks = cells.select(*by).distinct().select(*by, F.posexplode(numbers).alias("__i", "threshold"))
+    marks = marks.select(*by, (F.col("__i") + 1.0).alias("__step"), F.lit(0).cast("long").alias("__n"), "threshold")
+    none = F.lit(None).cast("double")
+    # at most twice the grid's length per group, whatever the number of categories
+    down = Window.partitionBy(*by).orderBy(F.desc("__step")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = cells.withColumn("threshold", none).unionByName(marks).withColumn("n_kept", F.sum("__n").over(down))
+    return kept.where(F.col("threshold").isNotNull()).select(*by, "threshold", "n_kept")

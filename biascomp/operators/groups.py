@@ -64,7 +64,9 @@ def add_group_aggs(
     if bounded and by:
         return df.withColumns({n: c.over(Window.partitionBy(*by)) for n, c in aggs.items()})
     if not by:
-        return df.withColumns({n: df.agg(c).scalar() for n, c in aggs.items()})
+        # one row of values, read once however many there are
+        all_ = df.agg(F.struct(*[c.alias(n) for n, c in aggs.items()]).alias("__all")).scalar()
+        return df.withColumns({n: all_[n] for n in aggs})
     cols = [c.alias(n) for n, c in aggs.items()]
     return join_on(df, df.groupBy(*by).agg(*cols), by)
 

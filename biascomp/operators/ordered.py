@@ -40,13 +40,22 @@ class OrderedRows:
         self._within = Window.partitionBy(SLICE, *self.by).orderBy(*keys)
         self.rows = rows.withColumn(POS, F.row_number().over(self._within))
 
-    def running(self, value: Column, out: str, how: str = "sum", backwards: bool = False) -> OrderedRows:
-        """Add the running sum, min, max or last known value, in order or against it."""
+    def running(
+        self, value: Column, out: str, how: str = "sum", backwards: bool = False, within: Sequence[str] = ()
+    ) -> OrderedRows:
+        """Add the running sum, min, max or last known value, in order or against it.
+
+        ``within`` names further columns: the value then runs over each part of the group on its
+        own. The parts need no order or exchange of their own, as slices follow each other in order.
+        """
+        by = [*self.by, *within]
         # against the order the sort is turned round: a frame that grows row by row costs one step
         # per row, a frame open to the end is evaluated anew for every row
         place, slices = self._within, F.col(SLICE).asc()
         if backwards:
-            place, slices = Window.partitionBy(SLICE, *self.by).orderBy(F.desc(POS)), F.col(SLICE).desc()
+            place, slices = Window.partitionBy(SLICE, *by).orderBy(F.desc(POS)), F.col(SLICE).desc()
+        elif within:
+            place = Window.partitionBy(SLICE, *by).orderBy(POS)
         agg = {
             "sum": F.sum,
             "min": F.min,
@@ -59,15 +68,15 @@ class OrderedRows:
             per_slice = pick("__v", F.when(F.col("__v").isNotNull(), F.col(POS)))
         else:
             per_slice = agg(F.col("__v"))
-        carried = rows.groupBy(*self.by, SLICE).agg(per_slice.alias("__s")).select(
-            *self.by,
+        carried = rows.groupBy(*by, SLICE).agg(per_slice.alias("__s")).select(
+            *by,
             SLICE,
             agg(F.col("__s"))
-            .over(Window.partitionBy(*self.by).orderBy(slices).rowsBetween(Window.unboundedPreceding, -1))
+            .over(Window.partitionBy(*by).orderBy(slices).rowsBetween(Window.unboundedPreceding, -1))
             .alias("__c"),
         )
         here = agg(F.col("__v")).over(place.rowsBetween(Window.unboundedPreceding, 0))
-        joined = join_on(rows.withColumn("__h", here), carried, [*self.by, SLICE])
+        joined = join_on(rows.withColumn("__h", here), carried, [*by, SLICE])
         merged = {
             "sum": F.coalesce("__h", F.lit(0)) + F.coalesce("__c", F.lit(0)),
             "min": F.least("__h", "__c"),
@@ -165,6 +174,44 @@ def median(df: DataFrame, by: Sequence[str], value: str, out: str = "median") ->
     return quantiles(df, by, value, {out: 0.5})
 
 
+def medians_at_two_levels(
+    df: DataFrame, by: Sequence[str], part: Sequence[str], value: str, tie: Sequence[str], out_group: str, out_part: str
+) -> DataFrame:
+    """Every row with the median of its group and of its part of the group.
+
+    One ordering serves both levels: rows are sorted by value within the group, and the rows of a
+    part are counted on their own along the way. The input is read once and written once. NULL and
+    NaN are missing values; a group or part without a known one gets NULL.
+    """
+    run = OrderedRows(df, by, [value, *part, *tie])
+    keys = [*run.by, *part]
+    known = is_known(df, value)
+    one = known.cast("long")
+    places = run.running(one, "__g").running(one, "__p", within=part).rows
+    in_part = run.rows.groupBy(*keys).agg(F.sum(one).alias("__np"))
+    in_group = in_part.groupBy(*run.by).agg(F.sum("__np").alias("__ng"))
+    located = join_on(places, join_on(in_part, in_group, run.by), keys)
+
+    def ends(upto: str, n: str) -> dict[str, Column]:
+        middle = (F.col(n) - 1) / 2
+        found = F.col(value).cast("double")
+        return {
+            f"{upto}_low": F.min(F.when(known & (F.col(upto) > F.floor(middle)), found)),
+            f"{upto}_high": F.min(F.when(known & (F.col(upto) > F.ceil(middle)), found)),
+        }
+
+    def half(upto: str) -> Column:
+        return F.col(f"{upto}_low") + (F.col(f"{upto}_high") - F.col(f"{upto}_low")) * 0.5
+
+    both = {**ends("__p", "__np"), **ends("__g", "__ng")}
+    parts = located.groupBy(*keys).agg(*[c.alias(n) for n, c in both.items()])
+    group = parts.groupBy(*run.by).agg(F.min("__g_low").alias("__g_low"), F.min("__g_high").alias("__g_high"))
+    medians = join_on(
+        parts.select(*keys, half("__p").alias(out_part)), group.select(*run.by, half("__g").alias(out_group)), run.by
+    )
+    return join_on(run.rows, medians, keys).drop(SLICE, POS, ALL)
+
+
 def order_by_mean(
     df: DataFrame, by: Sequence[str], category: str, value: str, out: str = "category_order"
 ) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biascomp.functions.numeric import ratio, t_two_sided_p
+from biascomp.functions.numeric import ratio, t_quantile, t_two_sided_p
 from biascomp.operators import ordered
-from biascomp.operators.groups import add_group_aggs, join_on
+from biascomp.operators.groups import add_group_aggs, join_groups, join_on
 from biascomp.operators.ordered import OrderedRows
 from biascomp.session import checkpoint
 
@@ -74,6 +74,50 @@ def ols(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return fit.withColumn("r2", F.col("__r") * F.col("__r")).withColumn("p", p).drop("__r")
 
 
+def line_errors(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """Least-squares line per group with what its uncertainty needs.
+
+    ``sigma`` is the residual standard deviation, ``slope_se`` and ``intercept_se`` the standard
+    errors, ``df`` the degrees of freedom, ``x_mean`` and ``sxx`` the centre and spread of x. They
+    are NULL where they do not exist: below three pairs, or without spread in x.
+    """
+    a, b, n = _pairs(x, y)
+    fit = df.groupBy(*by).agg(
+        F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), n.alias("n"),
+        F.regr_avgx(b, a).alias("x_mean"), F.regr_sxx(b, a).alias("sxx"), F.regr_syy(b, a).alias("__syy"),
+    ).where(F.col("n") > 0)
+    df_ = F.col("n") - 2
+    left = F.greatest(F.col("__syy") - F.col("slope") * F.col("slope") * F.col("sxx"), F.lit(0.0))
+    # greatest() passes over NULL, but a line without a slope has no residuals
+    sigma = F.when((df_ > 0) & F.col("slope").isNotNull(), F.sqrt(ratio(left, df_)))
+    fit = fit.withColumns({"df": df_, "sigma": sigma})
+    return fit.withColumns(
+        {
+            "slope_se": F.col("sigma") * F.sqrt(ratio(F.lit(1.0), "sxx")),
+            "intercept_se": F.col("sigma") * F.sqrt(1 / F.col("n") + ratio(F.col("x_mean") * F.col("x_mean"), "sxx")),
+        }
+    ).drop("__syy")
+
+
+def line_band(
+    df: DataFrame, points: DataFrame, by: Sequence[str], x: str, y: str, level: float = 0.95
+) -> DataFrame:
+    """Fitted line and confidence band of its mean at the points (columns ``by`` and ``x``).
+
+    Points of a group without a line stay with NULLs. The Student-t quantile is found once per
+    distinct number of degrees of freedom, never per point.
+    """
+    fit = line_errors(df, by, x, y)
+    t = fit.select("df").distinct().withColumn("__t", t_quantile((1 + level) / 2, "df"))
+    lines = join_on(fit, t, ["df"])
+    out = join_on(points, lines, by) if by else join_groups(points, lines, by)
+    away = F.col(x) - F.col("x_mean")
+    se = F.col("sigma") * F.sqrt(1 / F.col("n") + ratio(away * away, "sxx"))
+    mid = F.col("intercept") + F.col("slope") * F.col(x)
+    cols = {"fit": mid, "low": mid - F.col("__t") * se, "high": mid + F.col("__t") * se}
+    return out.select(*points.columns, *[c.alias(name) for name, c in cols.items()])
+
+
 def p_adjust(
     df: DataFrame, p: str, key: Sequence[str], by: Sequence[str] = (), bounded: bool = False
 ) -> DataFrame:
@@ -98,7 +142,8 @@ def p_adjust(
             }
         ).drop("__m", "__i", "__s")
     # the tests are written once: their number, their ranks and the result all read them
-    known = checkpoint(df.where(F.col(p).isNotNull()))
+    df = checkpoint(df)
+    known = df.where(F.col(p).isNotNull())
     tests = add_group_aggs(known, by, {"__m": F.count(F.lit(1))})
     run = OrderedRows(tests, by, [p, *key]).running(F.lit(1).cast("long"), "__i")
     scaled = F.col(p) * F.col("__m") / F.col("__i")

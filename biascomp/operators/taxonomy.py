@@ -98,6 +98,27 @@ def rollup(
     return joined.select(*sample, *lineage, value).groupBy(*sample, *ranks).agg(F.sum(value).alias(value))
 
 
+def rollup_levels(
+    counts: DataFrame, taxonomy: DataFrame, key: str, sample: Sequence[str], ranks: Sequence[str],
+    value: str, keep_rest: bool = True, level: str = "level",
+) -> DataFrame:
+    """``rollup`` to every rank at once: ``level`` names the rank, ranks below it are NULL.
+
+    A read joins the taxonomy once and is added to the lineage of every level before the one
+    exchange of the sums, so each level keeps the sample's total (with ``keep_rest``).
+    """
+    joined = counts.join(taxonomy.select(key, *ranks), key, "left" if keep_rest else "inner")
+    lineages = []
+    for depth, rank in enumerate(ranks, 1):
+        last = F.col(rank)
+        names = [F.when(last.isNull(), F.lit(REST)).otherwise(F.col(r)).alias(r) for r in ranks[:depth]]
+        below = [F.lit(None).cast("string").alias(r) for r in ranks[depth:]]
+        lineage = F.struct(F.lit(rank).alias(level), *names, *below)
+        lineages.append(lineage if keep_rest else F.when(last.isNotNull(), lineage))
+    each = joined.select(*sample, value, F.explode(F.array_compact(F.array(*lineages))).alias("__l"))
+    return each.select(*sample, "__l.*", value).groupBy(*sample, level, *ranks).agg(F.sum(value).alias(value))
+
+
 def lineage_table(df: DataFrame, ranks: Sequence[str]) -> DataFrame:
     """Distinct lineages; where the last rank is the rest label, every rank is."""
     last = F.col(ranks[-1])

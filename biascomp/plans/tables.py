@@ -61,6 +61,23 @@ def snapshot_state(t):
     return snapshots.snapshot_state(snapshots.name_parts(t.snapshots), ["primer", "suffix", "variant"])
 
 
+@query(
+    "newest_files",
+    "snapshots",
+    f"""with {_NAMED} select row_id, primer, suffix, case when primer='18s' then 2 else 1 end as take,
+        round(case when primer='18s' then value*2 else value end,2) as value from named""",
+)
+def newest_files(t):
+    """Result files of two takes, the later one of one marker only; the newest take per marker and size is read."""
+    root = f"{shared_folder(t.spark)}/takes-{uuid.uuid4().hex}"
+    named = snapshots.name_parts(t.snapshots).select("row_id", "value", "primer", "suffix")
+    later = named.where("primer = '18s'").withColumn("value", F.col("value") * 2)
+    for take, rows in ((1, named), (2, later)):
+        rows.hint("rebalance", "primer", "suffix").write.partitionBy("primer", "suffix").parquet(f"{root}/take={take}")
+    newest = snapshots.read_newest(t.spark, root, ["primer", "suffix"], ["take"])
+    return newest.select("row_id", "primer", "suffix", "take", r("value", 2).alias("value"))
+
+
 @query(
     "sink_roundtrip",
     "snapshots",

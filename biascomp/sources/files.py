@@ -47,6 +47,17 @@ def read_count_matrix(
     return long.where(F.col(value).isNotNull() & (F.col(value) != 0)) if drop_zero else long
 
 
+def file_table(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Folder columns, path, name, change time and length of every file below ``path``.
+
+    Made from the listing alone: no file is opened. ``pattern`` is a glob on file names.
+    """
+    reader = spark.read.format("binaryFile")
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).drop("content")
+    files = files.withColumnRenamed("modificationTime", "changed_at")
+    return files.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+
+
 def with_file_name(df: DataFrame, out: str = "file_name") -> DataFrame:
     """Name of the source file of every row."""
     return df.withColumn(out, F.col("_metadata.file_name"))

@@ -1,14 +1,15 @@
-"""Dated snapshots: the latest one per key, and which ones are superseded."""
+"""Snapshots: the latest one per key, by the date in a name or by change time, and which are superseded."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biascomp.functions import text
-from biascomp.operators.groups import add_group_aggs
+from biascomp.operators.groups import add_group_aggs, join_on
+from biascomp.sources.files import file_table
 
 
 def name_parts(df: DataFrame, name: str = "file_name") -> DataFrame:
@@ -32,6 +33,42 @@ def latest(df: DataFrame, keys: Sequence[str], when: str = "snapshot_date") -> D
     return top.where(F.col(when) == F.col("__latest")).drop("__latest")
 
 
+def newest_files(
+    files: DataFrame, keys: Sequence[str], version: Sequence[str], when: str = "changed_at"
+) -> DataFrame:
+    """Files of the newest version per key.
+
+    Files that share ``version`` belong together, and a version is as new as its newest file. Of
+    versions equally new the one that sorts last is taken; files without a time are never the newest.
+    """
+    ages = files.where(F.col(when).isNotNull()).groupBy(*keys, *version).agg(F.max(when).alias("__at"))
+    top = ages.groupBy(*keys).agg(F.max(F.struct("__at", *version)).alias("__top"))
+    chosen = top.select(*keys, *[F.col(f"__top.{v}").alias(v) for v in version])
+    return join_on(files, chosen, [*keys, *version], "left_semi")
+
+
+def read_newest(
+    spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str], when: str = "changed_at",
+    fmt: str = "parquet", schema: str | None = None, pattern: str | None = None,
+    named: Callable[[DataFrame], DataFrame] | None = None, header: bool = True,
+) -> DataFrame:
+    """Rows of the newest version per key; no other file is opened.
+
+    The first step lists the files, the second reads the chosen ones. ``named`` may add columns to
+    the list, such as the date in a file name. Only paths of chosen files reach the driver, where
+    Spark keeps the paths of every scan anyway.
+    """
+    files = file_table(spark, path, pattern)
+    chosen = newest_files(named(files) if named else files, keys, version, when).select("path")
+    paths = sorted(row.path for row in chosen.toLocalIterator())
+    if not paths:
+        raise FileNotFoundError(f"no file below {path}")
+    reader = spark.read.format(fmt).option("basePath", path)
+    if fmt == "csv":
+        reader = reader.option("header", header).option("nullValue", "NA").option("escape", '"')
+    return (reader.schema(schema) if schema else reader).load(paths)
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Stop when nothing matches, as a missing input must not look like an empty result."""
     if df.isEmpty():

@@ -298,3 +298,24 @@ def test_publication_table_order(frame):
     )
     out = compare.publication_table(grid, "size", {"r": "Pearson R"})
     assert "Pearson R" in out.columns and [x[0] for x in out.collect()] == ["S1", "S2"]
+
+
+def test_rollup_levels_equals_one_rollup_per_rank(frame):
+    counts = frame([("s1", "a", 5), ("s1", "b", 3), ("s1", "x", 2), ("s2", "c", 4), (None, "b", 1)], "sample string, hash string, n long")
+    tax = frame([("a", "o1", "f1"), ("b", "o1", None), ("c", None, "f2")], "hash string, o string, f string")
+    for rest in (True, False):
+        out = taxonomy.rollup_levels(counts, tax, "hash", ["sample"], ["o", "f"], "n", keep_rest=rest).collect()
+        for level, ranks in (("o", ["o"]), ("f", ["o", "f"])):
+            want = taxonomy.rollup(counts, tax, "hash", ["sample"], ranks, "n", keep_rest=rest).collect()
+            got = [(r["sample"], *[r[c] for c in ranks], r.n) for r in out if r.level == level]
+            assert sorted(got, key=str) == sorted([(r["sample"], *[r[c] for c in ranks], r.n) for r in want], key=str)
+
+
+def test_threshold_scan_over_a_long_grid(frame):
+    rows = [("g", "e1", f"t{i}", 1 << i) for i in range(12)] + [("h", "e1", "t", 0), ("k", None, "t", 5)]
+    df = frame(rows, "g string, e string, t string, n long")
+    grid = [i / 10_000 for i in range(10_000)] + [0.5, 4096 / 8190]
+    got = {(r.g, r.threshold): r.n_kept for r in filters.threshold_scan(df, "e", ["g"], "t", "n", grid).collect()}
+    shares = [(1 << i) / 4095 for i in range(12)]
+    assert {g for g, _ in got} == {"g"} and len(got) == len(set(grid))
+    assert all(got["g", th] == sum(s >= th for s in shares) for th in set(grid))

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from biascomp.operators import ordered, stats
 
@@ -103,3 +104,42 @@ def test_p_adjust(frame):
     assert np.allclose(got["p_bh"], want)
     by_p = got.sort_values("p")["p_bh"]
     assert by_p.is_monotonic_increasing
+
+
+def test_medians_at_two_levels(spark, skewed):
+    """One hot group over many slices, parts of their own, NULL, NaN and repeated rows."""
+    df = skewed.assign(part=skewed["id"] % 5)
+    df.loc[df["id"] % 11 == 0, "v"] = np.nan
+    df = pd.concat([df, df.head(40)])
+    frame = spark.createDataFrame(df).withColumn("v", F.expr("if(id % 22 = 0, null, v)"))
+    lone = frame.limit(1).selectExpr("'lone' as g", "0L as id", "cast(null as double) as v", "9L as part")
+    out = ordered.medians_at_two_levels(frame.unionByName(lone), ["g"], ["part"], "v", ["id"], "mg", "mp").toPandas()
+    assert len(out) == len(df) + 1 and out[out.g == "lone"][["mg", "mp"]].isna().all(axis=None)
+    out = out[out.g != "lone"]
+    assert np.allclose(out.mg, out.g.map(df.groupby("g")["v"].median()))
+    want = df.groupby(["g", "part"])["v"].median()
+    assert np.allclose(out.mp, want.loc[list(zip(out.g, out.part))])
+    whole = ordered.medians_at_two_levels(frame, [], ["g"], "v", ["id"], "mg", "mp").toPandas()
+    assert np.allclose(whole.mg, df["v"].median()) and np.allclose(whole.mp, whole.g.map(df.groupby("g")["v"].median()))
+
+
+def test_line_errors_and_band(spark):
+    """Against the normal equations; groups of two pairs and without spread have no band."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=40)
+    y = 2 - 0.7 * x + rng.normal(scale=0.3, size=40)
+    rows = [("a", float(a), float(b)) for a, b in zip(x, y)] + [("b", 1.0, 2.0), ("b", 2.0, 5.0)]
+    rows += [("c", 1.0, float(i)) for i in range(4)] + [("a", None, 1.0), ("a", float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    fit = {r.g: r for r in stats.line_errors(df, ["g"], "x", "y").collect()}
+    design = np.column_stack([np.ones(40), x])
+    beta, left, *_ = np.linalg.lstsq(design, y)
+    cov = np.linalg.inv(design.T @ design) * left[0] / 38
+    a = fit["a"]
+    assert np.allclose([a.intercept, a.slope, a.intercept_se, a.slope_se], [*beta, *np.sqrt(np.diag(cov))])
+    assert fit["b"].sigma is None and fit["c"].slope is None and fit["c"].slope_se is None
+    points = spark.createDataFrame([("a", 0.5), ("b", 1.5), ("c", 1.0), ("d", 1.0)], "g string, x double")
+    band = {r.g: r for r in stats.line_band(df, points, ["g"], "x", "y").collect()}
+    at, t = np.array([1, 0.5]), 2.0243941645751367
+    assert np.allclose([band["a"].fit, band["a"].high - band["a"].fit], [at @ beta, t * np.sqrt(at @ cov @ at)])
+    assert band["b"].fit == 3.5 and band["b"].low is None and band["c"].fit is None and band["d"].fit is None

@@ -72,3 +72,35 @@ def test_csv_sink_roundtrip(spark, frame, tmp_path):
     df = frame([("a", None), ("b", 2.5)], "k string, v double")
     files.write_delimited(df, str(tmp_path / "c"))
     assert sorted(files.read_delimited(spark, str(tmp_path / "c"), "k string, v double").collect()) == sorted(df.collect())
+
+
+def test_newest_files_are_read_and_no_other(spark, tmp_path):
+    """Superseded files hold no parquet at all, so reading one would end the job."""
+    import os
+
+    root = tmp_path / "takes"
+    for take, key, age in ((1, "a", 0), (2, "a", 5), (1, "b", 9), (2, "b", 3)):
+        spark.range(2).selectExpr(f"id + {take * 10} as v").coalesce(1).write.parquet(f"{root}/take={take}/k={key}")
+        newest = (key, take) in {("a", 2), ("b", 1)}
+        for f in (root / f"take={take}" / f"k={key}").glob("part-*"):
+            if not newest:
+                f.write_bytes(b"not parquet")
+            os.utime(f, (1_700_000_000 + age,) * 2)
+    df = snapshots.read_newest(spark, str(root), ["k"], ["take"], schema="v long, take int, k string")
+    assert sorted((r.k, r.take, r.v) for r in df.collect()) == [("a", 2, 20), ("a", 2, 21), ("b", 1, 10), ("b", 1, 11)]
+    assert len(df.inputFiles()) == 2
+    # equally new versions: the one that sorts last; files without a time never
+    listed = files.file_table(spark, str(root)).withColumn("changed_at", F.expr("if(k = 'a', null, timestamp '2024-01-01')"))
+    assert {(r.k, r.take) for r in snapshots.newest_files(listed, ["k"], ["take"]).collect()} == {("b", 2)}
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_newest(spark, str(root), ["k"], ["take"], pattern="*.csv")
+
+
+def test_newest_by_the_date_in_the_name(spark, tmp_path):
+    for name, v in (("predicted_og_18s_03_21_2024_s1_phy.csv", 1), ("predicted_og_18s_04_02_2023_s1_phy.csv", 2)):
+        (tmp_path / name).write_text(f"X,v\n1,{v}\n2,NA\n")
+    keys = ["primer", "suffix", "variant"]
+    df = snapshots.read_newest(
+        spark, str(tmp_path), keys, ["file_name"], "snapshot_date", "csv", "X int, v int", "predicted_og_*", snapshots.name_parts
+    )
+    assert sorted(df.collect(), key=str) == [(1, 1), (2, None)]
