@@ -25,7 +25,7 @@ from biascomp.operators.groups import join_on
 from biascomp.session import checkpoint
 
 #: Largest move of a latent value in a round, smallest change that calls for another, and most rounds.
-CAP, TOLERANCE, ROUNDS = 1.0, 1e-3, 60
+CAP, TOLERANCE, ROUNDS = 1.0, 1e-2, 40
 #: Latent values and variances stay above these, so that no expected count becomes zero.
 LOWEST, LEAST_VARIANCE = -60.0, 1e-9
 
@@ -33,13 +33,14 @@ LOWEST, LEAST_VARIANCE = -60.0, 1e-9
 def _start(model: BiasModel) -> DataFrame:
     """Every observation with every category of its group: log counts as the first latent values."""
     g = model.group
-    obs = model.rows.groupBy(*g, "obs", "sample", "x").agg(F.sum("n_reads").alias("depth"))
+    # read once: everything below starts from these sums
+    seen = checkpoint(model.rows.groupBy(*g, "obs", "sample", "x", "taxon").agg(F.sum("n_reads").cast("double").alias("n")))
+    obs = seen.groupBy(*g, "obs", "sample", "x").agg(F.sum("n").alias("depth"))
+    taxa = seen.select(*g, "taxon").distinct()
     size = obs.groupBy(*g).agg(F.count(F.lit(1)).alias("n_obs"))
-    taxa = model.rows.select(*g, "taxon").distinct()
-    per_group = join_on(join_on(taxa, model.n_taxa(), g), size, g)
-    cells = join_on(obs, per_group, g, "inner")
-    seen = model.rows.groupBy(*g, "obs", "taxon").agg(F.sum("n_reads").cast("double").alias("n"))
-    cells = join_on(cells, seen, [*g, "obs", "taxon"]).na.fill(0.0, ["n"])
+    size = join_on(size, taxa.groupBy(*g).agg(F.count(F.lit(1)).alias("n_taxa")), g)
+    cells = join_on(obs, join_on(taxa, size, g), g, "inner")
+    cells = join_on(cells, seen.select(*g, "obs", "taxon", "n"), [*g, "obs", "taxon"]).na.fill(0.0, ["n"])
     return cells.select(
         *g, "obs", "sample", "taxon", "x", "depth", "n", "n_obs",
         (F.lit(PRIOR_SCALE) * (1 - 1 / F.col("n_taxa"))).alias("prior"),
