@@ -2,9 +2,11 @@
 
 A gear hash rolls over the bytes of a text; a chunk ends where the hash's top bits are zero, within
 MIN_CHUNK and MAX_CHUNK bytes. A cut depends on the bytes before it only, so an insertion moves no
-cut but the near ones. Equal chunks have equal digests; of each, the first by (doc_id, start) stays
-and the bytes of the others are removed. A passage inside other text loses its whole chunks only: up
-to its first common cut and after its last one it stays, and a short passage may hold no whole chunk.
+cut but the near ones. Equal chunks have equal digests; of each, the first by (doc_id, start) stays.
+The others are removed where they stand in a stretch of repeated chunks that has at least MIN_RUN
+bytes or is the whole text, so that single words and phrases common in prose stay. A passage inside
+other text loses its whole chunks only: up to its first common cut and after its last one it stays,
+and a short passage may hold no whole chunk.
 
 Digests are counted with map-side sums and only repeated ones are looked at again; the repeated
 chunks meet their first place in a join that Spark may split, so a chunk in a third of all rows is
@@ -29,6 +31,8 @@ from biascomp.llm.common import batch, parts_for, table, text_bytes, whole_text,
 
 #: Bytes of a chunk: least, most, and the bits that must be zero at a cut (about 2**CUT_BITS between cuts).
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 16, 512, 5
+#: Least bytes of a stretch of repeated chunks that is removed, unless it is the whole text.
+MIN_RUN = 56
 
 
 def gear_table() -> np.ndarray:
@@ -120,6 +124,20 @@ RESULT_SCHEMA = (
 )
 
 
+def long_runs(ends: list[int], repeated: list[bool], least: int = MIN_RUN) -> list[bool]:
+    """Which chunks lie in a stretch of repeated ones of ``least`` bytes, or that is the whole text."""
+    out = [False] * len(ends)
+    first = 0
+    for i in range(len(ends) + 1):
+        if i == len(ends) or not repeated[i]:
+            begin = ends[first - 1] if first else 0
+            size = (ends[i - 1] if i else 0) - begin
+            if first < i and (size >= least or size == ends[-1]):
+                out[first:i] = [True] * (i - first)
+            first = i + 1
+    return out
+
+
 def _removed(key, docs: pa.Table, later: pa.Table) -> pa.Table:
     docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     drop: dict[tuple[int, int], int | None] = {}
@@ -131,8 +149,9 @@ def _removed(key, docs: pa.Table, later: pa.Table) -> pa.Table:
         again, before = (i, t) == before, (i, t)  # a repeated row: the first of them has all of its chunks
         t, start, kept, dups, first = t.encode(), 0, [], 0, set()
         ends = chunk_ends(t)
-        for end in ends:
-            if again or (k, start) in drop:
+        repeated = [again or (k, s) in drop for s in [0, *ends][: len(ends)]]
+        for end, gone in zip(ends, long_runs(ends, repeated)):
+            if gone:
                 dups += 1
                 first.add(drop.get((k, start), i))
             else:

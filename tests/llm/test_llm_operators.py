@@ -280,18 +280,27 @@ def test_gear_hash_is_its_sum():
 def test_substring_dedup_against_a_set(docs):
     seen, want = set(), []
     for i, t in sorted(((i, t) for i, t, *_ in ROWS), key=lambda r: key(r[0])):
-        b, start, kept = (t or "").encode(), 0, []
+        b, start, marks = (t or "").encode(), 0, bytearray()
         for end in chunks.chunk_ends(b):
-            if b[start:end] not in seen:
-                kept.append(b[start:end])
+            marks += (b"x" if b[start:end] in seen else b".") * (end - start)
             seen.add(b[start:end])
             start = end
-        want.append((i, len(b), hashlib.sha256(b"".join(kept)).hexdigest()))
+        gone = [m.span() for m in re.finditer(b"x+", marks) if len(m[0]) in range(chunks.MIN_RUN, len(b)) or len(m[0]) == len(b)]
+        kept = bytes(c for at, c in enumerate(b) if not any(s <= at < e for s, e in gone))
+        want.append((i, len(b), hashlib.sha256(kept).hexdigest()))
     got = chunks.substring_dedup(docs)
     assert rows_of(got, "doc_id", "n_bytes", "kept_sha256") == sorted(want, key=repr)
     assert next(r for r in got.collect() if r.doc_id == 2 and r.n_removed).first_docs
 
 
+def test_short_stretches_of_repeated_chunks_stay():
+    assert chunks.long_runs([], []) == []
+    assert chunks.long_runs([20], [True]) == [True]  # a whole text, however short
+    assert chunks.long_runs([20, 40, 60, 100], [True, False, True, True], 56) == [False, False, True, True]
+    assert chunks.long_runs([20, 75, 95], [True, True, False], 76) == [False, False, False]
+    assert chunks.long_runs([20, 40], [True, True], 56) == [True, True]
+
+
 def test_short_passages_in_other_texts_are_found():
     draw = np.random.default_rng(13)
     words = ["".join(chr(c) for c in draw.integers(97, 123, draw.integers(2, 10))) for _ in range(3000)]
@@ -302,7 +311,8 @@ def test_short_passages_in_other_texts_are_found():
         known = {first[s:e] for ends in [chunks.chunk_ends(first)] for s, e in zip([0, *ends], ends)}
         at, end = len(before) + 1, len(before) + 1 + len(passage)
         ends = chunks.chunk_ends(second)
-        lost = sum(e - s for s, e in zip([0, *ends], ends) if at <= s and e <= end and second[s:e] in known)
+        runs = chunks.long_runs(ends, [second[s:e] in known for s, e in zip([0, *ends], ends)])
+        lost = sum(e - s for s, e, gone in zip([0, *ends], ends, runs) if at <= s and e <= end and gone)
         missed, gone, size = missed + (lost == 0), gone + lost, size + len(passage)
     assert missed <= 0.06 * 400 and gone >= 0.6 * size, (missed, gone / size)
 
