@@ -78,6 +78,26 @@ def newest_files(t):
     return newest.select("row_id", "primer", "suffix", "take", r("value", 2).alias("value"))
 
 
+@query(
+    "published_snapshots",
+    "snapshots",
+    f"""with {_NAMED} select row_id, primer, suffix, case when primer='18s' then 2 else 1 end as take,
+        round(case when primer='18s' then value*2 else value end,2) as value,
+        case when primer='18s' then (select count(distinct suffix) from named where primer='18s') end as archived from named""",
+)
+def published_snapshots(t):
+    """Two takes are published, the later one of one marker only: the live rows, and a marker's archived folders."""
+    root = f"{shared_folder(t.spark)}/published-{uuid.uuid4().hex}"
+    named = snapshots.name_parts(t.snapshots).select("row_id", "value", "primer", "suffix")
+    later = named.where("primer = '18s'").withColumn("value", F.col("value") * 2)
+    for take, rows in ((1, named), (2, later)):
+        snapshots.publish(rows.withColumn("take", F.lit(take)), root, ["primer", "suffix"])
+    past = snapshots.archived_files(t.spark, root).withColumn("primer", text.extract("folder", "primer=([^/]+)"))
+    archived = past.groupBy("primer").agg(F.count_distinct("folder").alias("archived"))
+    live = snapshots.read_live(t.spark, root).select("row_id", "primer", "suffix", "take", r("value", 2).alias("value"))
+    return groups.join_on(live, archived, ["primer"])
+
+
 @query(
     "sink_roundtrip",
     "snapshots",

@@ -104,3 +104,43 @@ def test_newest_by_the_date_in_the_name(spark, tmp_path):
         spark, str(tmp_path), keys, ["file_name"], "snapshot_date", "csv", "X int, v int", "predicted_og_*", snapshots.name_parts
     )
     assert sorted(df.collect(), key=str) == [(1, 1), (2, None)]
+
+
+def _live(spark, path):
+    return sorted(((r.k, r.v) for r in snapshots.read_live(spark, path, "v int, run string, k string").collect()), key=repr)
+
+
+def test_a_run_that_dies_leaves_the_published_state(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_live(spark, path)
+    with pytest.raises(FileNotFoundError):
+        snapshots.archived_files(spark, path)
+    first = snapshots.publish(frame([("a", 1), ("b b", 2), (None, 3)], "k string, v int"), path, ["k"])
+    before = _live(spark, path)
+    assert set(before) == {("a", 1), ("b b", 2), (None, 3)}
+    assert snapshots.archived_files(spark, path).count() == 0
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # after the data, before the manifest
+        m.setattr(snapshots, "switch", dies)
+        with pytest.raises(RuntimeError):
+            snapshots.publish(frame([("a", 9), ("c", 9)], "k string, v int"), path, ["k"])
+    assert _live(spark, path) == before
+    assert {r.folder for r in snapshots.archived_files(spark, path).collect()} == {"k=a", "k=c"}
+    (tmp_path / "p" / "live" / "version=2" / "_temporary").mkdir(parents=True)  # inside the manifest
+    assert _live(spark, path) == before
+    snapshots.publish(frame([("a", 5), ("d", 6)], "k string, v int"), path, ["k"])
+    assert set(_live(spark, path)) == {("a", 5), ("b b", 2), (None, 3), ("d", 6)}
+    past = snapshots.archived_files(spark, path)
+    assert {r.folder for r in past.where(F.col("run") == first).collect()} == {"k=a"}
+
+
+def test_publishing_without_keys(spark, frame, tmp_path):
+    path = str(tmp_path / "p")
+    for v in (1, 2):
+        snapshots.publish(frame([(v,)], "v int"), path, [])
+    assert [r.v for r in snapshots.read_live(spark, path).collect()] == [2]
+    assert snapshots.archived_files(spark, path).select("run").distinct().count() == 1
