@@ -222,3 +222,42 @@ def test_sparse_prediction_keeps_the_shares(spark, counts):
         eta = b[names.index(sample)]
         want = pd.Series(np.exp(eta) / np.exp(eta).sum(), TAXA)
         assert np.allclose(part.share.droplevel(0).loc[TAXA], want)
+
+
+def test_samples_of_one_block_are_worked_once(spark, counts):
+    """No second pass and no frame per sample or observation while the categories fit into one block."""
+    model = BiasModel(spark.createDataFrame(counts))
+    for out in (model.draws(n=5), model.expected_shares(), model.posterior_predictive(n=5)):
+        plan = out._jdf.queryExecution().toString()
+        assert "MapInPandas" in plan and "CoGroup" not in plan and "FlatMapGroups" not in plan
+
+
+def test_narrow_groups_beside_wide_ones(spark, counts, monkeypatch):
+    """Groups of one block and of two in one table give what each gives in one block."""
+    both = pd.concat([counts, counts[counts.taxon.isin(["a", "b"])].assign(size_class="S2")])
+    keys = ["size_class", "sample", "taxon"]
+    results = []
+    for block in (2048, 2):
+        monkeypatch.setattr(biasmodel, "BLOCK", block)
+        model = BiasModel(spark.createDataFrame(both))
+        ppc = model.posterior_predictive(n=20).toPandas().set_index(["size_class", "obs", "taxon"]).sort_index()
+        results.append([d.toPandas().set_index(keys).sort_index() for d in (model.draws(n=50), model.expected_shares())] + [ppc[["observed", "place"]]])
+    for whole, parts in zip(*results):
+        assert whole.index.equals(parts.index) and np.allclose(whole, parts, rtol=1e-9)
+
+
+def test_keys_cut_by_frames_come_whole():
+    rows = pd.DataFrame({"g": ["a", "a", None, None, None, "b", "c"], "k": [1, 1, 1, 1, 2, 2, 2], "v": range(7)})
+    for size in (1, 2, 3, 7):
+        frames = [rows.iloc[i : i + size] for i in range(0, 7, size)]
+        got = [f["v"].iloc[a:b].tolist() for f, ends in biasmodel._whole_keys(frames, ["g", "k"]) for a, b in zip(ends[:-1], ends[1:])]
+        assert got == [[0, 1], [2, 3], [4], [5], [6]]
+
+
+def test_weights_and_quantiles_are_those_of_numpy():
+    block = pd.DataFrame({"key": [-5, 7, 2**62], "at": [0.0, -1.0, 2.0], "spread": [0.5, 1.0, 0.1], "df": [6.0, 9.5, 300.0]})
+    want = [np.exp(r.at + r.spread * biasmodel._stream(r.key).standard_t(r.df, 40)) for r in block.itertuples()]
+    got = biasmodel._weights(block, 40)
+    assert np.allclose(got, want, rtol=1e-13)
+    probs = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
+    assert np.array_equal(biasmodel._quantiles(np.sort(got, axis=1), probs), np.quantile(got, probs, axis=1).T)
