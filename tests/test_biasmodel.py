@@ -261,3 +261,23 @@ def test_weights_and_quantiles_are_those_of_numpy():
     assert np.allclose(got, want, rtol=1e-13)
     probs = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
     assert np.array_equal(biasmodel._quantiles(np.sort(got, axis=1), probs), np.quantile(got, probs, axis=1).T)
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_draws_of_categories_with_reads_by_design(spark, counts, monkeypatch, block):
+    """The same summaries as the draws of all categories, up to their errors, without a row per missing category."""
+    monkeypatch.setattr(biasmodel, "BLOCK", block)
+    model = BiasModel(spark.createDataFrame(counts.assign(n_reads=counts.n_reads // 2_000).query("n_reads > 0")))
+    monkeypatch.setattr(model, "_posterior_rows", None)  # it lays out every category of every sample
+    keys = ["sample", "taxon"]
+    got = model.draws_seen(n=20_000).toPandas().set_index(keys).sort_index()
+    monkeypatch.undo()
+    monkeypatch.setattr(biasmodel, "BLOCK", block)
+    want = model.draws(n=20_000, seen_only=True).toPandas().set_index(keys).sort_index()
+    mean = model.expected_shares().toPandas().set_index(keys).sort_index().expected.loc[want.index]
+    assert got.index.equals(want.index)
+    error = want.sd_value / np.sqrt(20_000)
+    assert ((got.mean_value - mean) / error).abs().max() < 5
+    assert np.allclose(got.sd_value, want.sd_value, rtol=0.05)
+    for q in ("p2_5", "p25", "p50", "p75", "p97_5"):
+        assert ((got[q] - want[q]) / error).abs().max() < 25, q
