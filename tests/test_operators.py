@@ -319,3 +319,14 @@ def test_threshold_scan_over_a_long_grid(frame):
     shares = [(1 << i) / 4095 for i in range(12)]
     assert {g for g, _ in got} == {"g"} and len(got) == len(set(grid))
     assert all(got["g", th] == sum(s >= th for s in shares) for th in set(grid))
+
+
+def test_round_half_up_is_round(spark):
+    """Ties of the decimal text, large values and what is no number included, to the last bit."""
+    special = [None, 0.0, -0.0, math.nan, math.inf, -math.inf, 1e300, 5e-324, 1.0000005, 2.5e-7, 5e-7, -5e-7, 1.5e-6, 4503599627370496.5, 8388607.9999995]
+    ties = [sign * (k + 0.5) / 1e6 for k in range(0, 200_000, 7) for sign in (1, -1)]
+    df = spark.createDataFrame([(v,) for v in special + ties], "v double").unionByName(
+        spark.range(200_000).select(((F.rand(5) - 0.5) * F.pow(F.lit(10.0), F.rand(6) * 14 - 7)).alias("v"))
+    )
+    plain, fast = F.round("v", 6) + F.lit(0.0), numeric.round_half_up("v", 6) + F.lit(0.0)
+    assert df.where(~F.hex(F.format_string("%a", plain)).eqNullSafe(F.hex(F.format_string("%a", fast)))).count() == 0
