@@ -281,3 +281,33 @@ def test_draws_of_categories_with_reads_by_design(spark, counts, monkeypatch, bl
     assert np.allclose(got.sd_value, want.sd_value, rtol=0.05)
     for q in ("p2_5", "p25", "p50", "p75", "p97_5"):
         assert ((got[q] - want[q]) / error).abs().max() < 25, q
+
+
+def test_overlapping_sets_equal_counts_laid_out_per_group(spark, counts):
+    """Sums per set give each group what a copy of its rows would; samples of several sets included."""
+    sets = [["all", "a", "b"], ["a"], ["b", "all"], ["all"]]
+    field = {"C0": 0, "C1": 1, "C2": 2, "C3": 3, "C4": 0}
+    number = [
+        field.get(s, int(o[-1]) % 4) if s != "Calibration" else int(o.split(".")[1]) % 4
+        for s, o in zip(counts.sample_num, counts.sample_name)
+    ]
+    rows = counts.assign(kind=number)
+    copies = pd.concat([rows[rows.kind == k].assign(kind=v) for k, own in enumerate(sets) for v in own])
+    group = ["size_class", "kind"]
+    model = BiasModel(spark.createDataFrame(rows), Columns(group=group, sets=sets))
+    plain = BiasModel(spark.createDataFrame(copies), Columns(group=group))
+
+    def same(a, b, by):
+        a, b = (x.toPandas().sort_values(by).reset_index(drop=True) for x in (a, b))
+        pd.testing.assert_frame_equal(a[b.columns], b, rtol=1e-9, atol=1e-9)
+
+    same(model.fit(), plain.fit(), [*group, "taxon"])
+    same(model.fit([1.0, 20.0]), plain.fit([1.0, 20.0]), [*group, "taxon", "gamma"])
+    same(model.amp_effs(), plain.amp_effs(), [*group, "taxon"])
+    same(model.samples, plain.samples, [*group, "sample"])
+    same(model.predict(), plain.predict(), [*group, "sample", "taxon"])
+    same(model.obs, plain.obs, [*group, "obs"])
+    # a field sample of one set has one row per category, in however many groups it is
+    kept = model._cells.where("sample = 'C0'")
+    assert kept.select("kind").distinct().collect() == [(0,)]
+    assert kept.count() == counts[counts.sample_num == "C0"].taxon.nunique()
