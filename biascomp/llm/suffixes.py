@@ -27,6 +27,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -57,19 +58,26 @@ def cover_ranks(symbols: np.ndarray, keys: np.ndarray, ends: np.ndarray) -> np.n
     symbols: bytes plus 1, 0 between texts; keys: first PERIOD symbols as one number; ends: end of
     the text of each position. A suffix ends with its text.
     """
-    at = np.flatnonzero(np.isin(np.arange(len(symbols)) % PERIOD, COVER) & (symbols > 0))
+    sampled = np.resize(np.isin(np.arange(PERIOD), COVER), len(symbols))
+    at = np.flatnonzero(sampled & (symbols > 0))
     rank = np.zeros(len(symbols), np.int64)
-    if not len(at):
-        return rank
-    seen, new = np.unique(keys[at], return_inverse=True)
-    rank[at], step = new + 1, PERIOD
-    longest = int((ends[at] - at).max())
-    while step < longest:
-        ahead = np.where(at + step < ends[at], rank[np.minimum(at + step, len(rank) - 1)], 0)
-        more, new = np.unique(rank[at] * (len(seen) + 1) + ahead, return_inverse=True)
-        if len(more) == len(seen):
-            break
-        rank[at], seen, step = new + 1, more, 2 * step
+    at = at[np.argsort(keys[at])]
+    step, n, key, group = 0, len(at) + 1, keys[at], np.zeros(len(at), np.int64)
+    while len(at):
+        # a group is cut where its keys change; its number is one more than its first place in the order
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        old = np.concatenate([[True], group[1:] != group[:-1]])
+        place = np.arange(len(at))
+        first = np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(old, place, 0))
+        rank[at] = group + first + (step == 0)
+        # only suffixes that are tied and go on beyond what was compared are sorted again
+        tied = ~new | ~np.concatenate([new[1:], [True]])
+        at = at[tied & (at + step < ends[at])]
+        step = 2 * step or PERIOD
+        group = rank[at]
+        key = group * n + np.where(at + step < ends[at], rank[np.minimum(at + step, len(rank) - 1)], 0)
+        order = np.argsort(key)
+        at, key, group = at[order], key[order], group[order]
     return rank
 
 
@@ -78,19 +86,22 @@ def suffix_order(starts: np.ndarray, keys: np.ndarray, rank: np.ndarray) -> np.n
     _, group = np.unique(keys[starts], return_inverse=True)
     group = group.astype(np.int64) << 32
     residue = starts % PERIOD
-    classes = []
+    classes, places = [], []
     for r in range(PERIOD):
         own = np.flatnonzero(residue == r)
-        classes.append(own[np.argsort(group[own] + rank[starts[own] + SHIFT[r, r]], kind="stable")])
+        own = own[np.argsort(group[own] + rank[starts[own] + SHIFT[r, r]])]
+        classes.append((starts[own], group[own]))
+        places.append(np.arange(len(own)))
+    for a, b in combinations(range(PERIOD), 2):
+        # merged by value, with the class in the lowest bit: the class named first leads among equals
+        both = [2 * (tied + rank[own + SHIFT[a, b]]) for own, tied in (classes[a], classes[b])]
+        from_b = np.sort(np.concatenate([both[0], both[1] + 1])) & 1 == 1
+        before = np.cumsum(from_b)
+        places[a] += before[~from_b]
+        places[b] += np.flatnonzero(from_b) + 1 - before[from_b]
     out = np.empty(len(starts), np.int64)
-    for a, own in enumerate(classes):
-        place = np.arange(len(own))
-        for b, other in enumerate(classes):
-            if a != b and len(own) and len(other):
-                mine = group[own] + rank[starts[own] + SHIFT[a, b]]
-                theirs = group[other] + rank[starts[other] + SHIFT[a, b]]
-                place = place + np.searchsorted(theirs, mine, side="right" if b < a else "left")
-        out[place] = starts[own]
+    for (own, _), place in zip(classes, places):
+        out[place] = own
     return out
 
 
