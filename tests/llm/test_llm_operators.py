@@ -593,6 +593,19 @@ def test_shards_hold_every_id_once_in_slot_order(spark, docs, tmp_path):
     assert {i for r in rows for i in r.doc_ids} == {i for i, *_ in ROWS if i is not None}
 
 
+def test_texts_of_single_blanks_need_no_look_ahead(monkeypatch):
+    """Any script; the same ids as the whole pattern, which only neighbouring blanks call for."""
+    own = tokenshards.Tokenizer(tokenshards.VOCABULARY, tokenshards.PATTERN)
+    whole, draw = own._encode, np.random.default_rng(3)
+    letters = ["a", "bc", "Ü", "中文", "ж", "12", "²", "'s", "'", "?!", "😀", "\u200b", " ", "\n", "\t", "\xa0", "\x85", "\u3000", "\x1c", "\r"]
+    texts = ["".join(draw.choice(letters, draw.integers(0, 12))) for _ in range(3000)]
+    assert [own.ids(x) for x in texts] == [whole(x) for x in texts]
+    plain = ["Привет, мир", "a b\nc", " 中文 12 '", "x\n"]
+    ids = [whole(x) for x in plain]
+    monkeypatch.setattr(own, "_encode", None)
+    assert [own.document(x) for x in plain] == [own.pack(x) + own.closing for x in ids]
+
+
 def test_words_looked_up_give_the_ids_of_the_whole_text():
     import base64
 
