@@ -8,7 +8,8 @@ bucket at a time, each bucket in one task, and equal neighbours tell. What makes
   too, so a run of suffixes travels as one piece of text (its context), not suffix by suffix.
 * Anchors are counted first, added up inside parts; a context whose anchor occurs once cannot hold
   a repeated window and is never sent.
-* Equal contexts of a part are sent once, with the places where they occur.
+* Equal contexts of a part are sent once, with the first place; at all later places of the part every
+  byte goes, whatever other parts hold, so those ranges are done and stay out of the buckets.
 * Inside a bucket, suffixes are sorted by their first PERIOD bytes. Longer ties are resolved by the
   ranks of a sample: the positions that belong to a difference cover modulo PERIOD, sorted once by
   prefix doubling. For any two residues there is a shift below PERIOD that takes both suffixes to
@@ -16,7 +17,9 @@ bucket at a time, each bucket in one task, and equal neighbours tell. What makes
   residue are merged by binary searches on those ranks; memory is bounded by the bucket.
 * An anchor that occurs more than HOT times is split: its suffixes travel in pairs, and a pair's
   bucket follows from the WINDOW - 1 bytes that both hold. So a passage in a third of all documents
-  does not put its surroundings into one task.
+  does not put its surroundings into one task. Only the distinct contexts of a part are split.
+* Anchors are long: the more bytes a gram has, the fewer grams are frequent without their windows being
+  equal, and the less of a growing table is sent, or sent in pairs, for nothing.
 
 Order: smaller doc_id first (null before all), then part and row for rows of equal id, then the
 start. Defined cases: a null text is empty; texts shorter than WINDOW keep all; of repeated rows the
@@ -31,12 +34,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biascomp.llm.common import parts_for, table, text_bytes, with_parts
 
-WINDOW, GRAM = 100, 16
+WINDOW, GRAM, SHORT_GRAM = 100, 40, 16
 PART_BYTES = 8 << 20
 #: Contexts of one anchor beyond which its suffixes are dealt in pairs.
 HOT = 4096
@@ -125,6 +129,24 @@ def eight_bytes(data: np.ndarray) -> np.ndarray:
     return out[:n]
 
 
+def mixed_words(eight: np.ndarray, places: list[slice] | list[np.ndarray]) -> np.ndarray:
+    """One hash of the 8-byte words at several places."""
+    h = eight[places[0]] * np.uint64(0x9E3779B97F4A7C15)
+    for at in places[1:]:
+        h ^= h >> np.uint64(32)
+        h += eight[at]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def gram_hashes(data: np.ndarray, n: int, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes (0 beyond the end) from each of the first ``n`` places on; ``gram`` is a multiple of 8."""
+    eight = eight_bytes(np.concatenate([data[: n + gram], np.zeros(max(0, n + gram - len(data)), np.uint8)]))
+    return mixed_words(eight, [slice(at, n + at) for at in range(0, gram, 8)])
+
+
 def window_classes(contexts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, offset, class) of every window of ``window`` bytes; equal windows share a class number.
 
@@ -154,6 +176,10 @@ def window_classes(contexts: list[bytes], window: int) -> tuple[np.ndarray, np.n
 # -- anchors -------------------------------------------------------------------------------------
 
 
+def gram_length(window: int) -> int:
+    return GRAM if window >= 2 * GRAM else SHORT_GRAM
+
+
 class Part:
     """The texts of a part in order, and the runs of windows with one anchor."""
 
@@ -163,6 +189,7 @@ class Part:
         texts = [t.encode() for t in docs.column("text").to_pylist()]
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0))  # null first, stable
         self.ids, self.texts, self.window = [ids[k] for k in order], [texts[k] for k in order], window
+        self.gram = gram_length(window)
         self.length = np.array([len(t) for t in self.texts], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.length)])
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
@@ -196,24 +223,15 @@ class Part:
         return np.maximum(start[run], lo[doc]), np.minimum(stop[run], hi[doc]) - 1, key[run]
 
     def grams(self, at: int, stop: int) -> np.ndarray:
-        """Hash of the GRAM bytes from each place on."""
-        eight = eight_bytes(self.data[at : stop + GRAM])
-        a, b = eight[: stop - at], eight[8 : stop - at + 8]
-        if len(b) < len(a):
-            b = np.concatenate([b, np.zeros(len(a) - len(b), np.uint64)])
-        h = a * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h = (h + b) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
+        """Hash of the gram from each place on."""
+        return gram_hashes(self.data[at : stop + self.gram], stop - at, self.gram)
 
     def _anchors(self, at: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         """(least gram hash of the window at every place of a block that can start one, all gram hashes)."""
         stop = min(stop, len(self.data) - self.window + 1)
         if stop <= at:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        span = self.window - GRAM + 1
+        span = self.window - self.gram + 1
         grams = self.grams(at, stop + span - 1)
         return _sliding(grams, span, np.minimum), grams
 
@@ -223,7 +241,7 @@ class Part:
         A gram is at least the anchor of every window that holds it, and an anchor where it equals
         the greatest of them. Windows across texts and places at the edge of a block only add keys.
         """
-        span, keys = self.window - GRAM + 1, []
+        span, keys = self.window - self.gram + 1, []
         for at in range(0, len(self.data), _BLOCK):
             least, grams = self._anchors(at, min(at + _BLOCK, len(self.data)))
             if len(least):
@@ -249,7 +267,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 ANCHOR_SCHEMA = "bucket int, part int, keys binary, counts binary"
 REPLY_SCHEMA = "part int, keys binary, hot binary"
 CONTEXT_SCHEMA = (
-    "bucket int, part int, text binary, length binary, places binary, row binary, start binary, doc_id array<long>"
+    "bucket int, part int, text binary, length binary, row binary, start binary, doc_id array<long>"
 )
 RANGE_SCHEMA = "part int, row binary, start binary, stop binary"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>"
@@ -302,81 +320,107 @@ def _repeated(hot: int):
 
 def _context_rows(window: int, buckets: int):
     def send(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        sent: dict[int, dict[bytes, list]] = {}
-        part = None
-        if docs.num_rows and replies.num_rows:
-            part, texts = docs.column("part")[0].as_py(), Part(docs, window)
-            keys, hot = np.concatenate(_raw(replies, "keys", np.uint64)), np.concatenate(_raw(replies, "hot", bool))
-            hot = hot[np.argsort(keys)]
-            keys = np.sort(keys)
-            a, b, anchor = texts.runs()
-            at = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
-            own = np.flatnonzero(keys[at] == anchor)
-            a, b, anchor, split = a[own], b[own], anchor[own], hot[at[own]]
-            row = np.searchsorted(texts.first, a, side="right") - 1
-            a, b, bucket = a - texts.first[row], b - texts.first[row], _bucket(anchor, buckets)
-            for r, s, e, k, y, h in zip(row.tolist(), a.tolist(), b.tolist(), bucket.tolist(), anchor, split.tolist()):
-                for to, s, e in _pairs(texts, r, s, e, y, buckets) if h else ((k, s, e),):
-                    sent.setdefault(to, {}).setdefault(texts.texts[r][s : e + window], []).append((r, s))
-            rows = [(to, part, found, texts.ids) for to, found in sent.items()]
-        else:
-            rows = []
-        pack = lambda values: np.array(values, np.int32).tobytes()
-        places = [[p for own in found.values() for p in own] for _, _, found, _ in rows]
-        return table(
-            {
-                "bucket": ([r[0] for r in rows], pa.int32()),
-                "part": ([r[1] for r in rows], pa.int32()),
-                "text": ([b"".join(r[2]) for r in rows], pa.binary()),
-                "length": ([pack([len(c) for c in r[2]]) for r in rows], pa.binary()),
-                "places": ([pack([len(p) for p in r[2].values()]) for r in rows], pa.binary()),
-                "row": ([pack([p[0] for p in ps]) for ps in places], pa.binary()),
-                "start": ([pack([p[1] for p in ps]) for ps in places], pa.binary()),
-                "doc_id": ([[r[3][own[0][0]] for own in r[2].values()] for r in rows], pa.list_(pa.int64())),
-            }
-        )
+        if not (docs.num_rows and replies.num_rows):
+            return _context_table([], [], [], [], [], [], pa.array([], pa.list_(pa.int64())))
+        part, texts = docs.column("part")[0].as_py(), Part(docs, window)
+        keys, hot = np.concatenate(_raw(replies, "keys", np.uint64)), np.concatenate(_raw(replies, "hot", bool))
+        hot = hot[np.argsort(keys)]
+        keys = np.sort(keys)
+        start, last, anchor = texts.runs()
+        at = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
+        own = np.flatnonzero(keys[at] == anchor)
+        start, stop, anchor, split = start[own], last[own] + window, anchor[own], hot[at[own]]
+        whole = texts.data.tobytes()
+        new = _is_new(whole, start, stop)
+        later = [(start[~new], stop[~new])]
+        start, stop, anchor, split = start[new], stop[new], anchor[new], split[new]
+        bucket = _bucket(anchor, buckets)
+        if split.any():
+            own = np.flatnonzero(split)
+            which, first, last, key = _pairs([whole[s:e] for s, e in zip(start[own].tolist(), stop[own].tolist())], anchor[own], window)
+            base = start[own][which]
+            first, last = base + first, base + last + window
+            new = _is_new(whole, first, last)
+            later.append((first[~new], last[~new]))
+            start, stop = np.concatenate([start[~split], first[new]]), np.concatenate([stop[~split], last[new]])
+            bucket = np.concatenate([bucket[~split], _bucket(key[new], buckets)])
+        gone, until = (np.concatenate(x) for x in zip(*later))
+        # a row for each bucket, and one for the later places, which passes through a group of its own
+        order = np.argsort(bucket, kind="stable")
+        start, stop, bucket = start[order], stop[order], bucket[order]
+        cut = np.flatnonzero(np.diff(bucket)) + 1
+        ends = np.concatenate([[0], cut, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+        held = [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        joined = [b"".join([whole[s:e] for s, e in zip(start[x].tolist(), stop[x].tolist())]) for x in held]
+        named = bucket[ends[:-1]].tolist()
+        row = np.searchsorted(texts.first, start, side="right") - 1
+        ids = pa.array(texts.ids, pa.int64()).take(pa.array(row))
+        if len(gone):
+            named, joined, held = [*named, -1 - part], [*joined, b""], [*held, slice(len(start), len(start) + len(gone))]
+            start, stop, ends = np.concatenate([start, gone]), np.concatenate([stop, until]), np.append(ends, ends[-1])
+            row = np.searchsorted(texts.first, start, side="right") - 1
+        packed = [[values[x].astype(np.int32).tobytes() for x in held] for values in (stop - start, row, start - texts.first[row])]
+        return _context_table(named, [part] * len(named), joined, *packed, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids))
 
     return send
 
 
-def _pairs(texts: Part, row: int, start: int, stop: int, anchor: np.uint64, buckets: int):
-    """(bucket, first, last) of the pairs of a hot run's windows, counted from the anchor on."""
-    window, base = texts.window, int(texts.first[row])
-    text, span = texts.texts[row], window - GRAM + 1
-    at = start + np.flatnonzero(texts.grams(base + start, base + stop + span) == anchor)
-    own = np.arange(start, stop + 1)
+def _context_table(bucket, part, text, length, row, start, ids) -> pa.Table:
+    kinds = {"bucket": pa.int32(), "part": pa.int32(), "text": pa.binary(), "length": pa.binary(), "row": pa.binary(), "start": pa.binary()}
+    return table({n: (x, k) for (n, k), x in zip(kinds.items(), (bucket, part, text, length, row, start))} | {"doc_id": (ids, ids.type)})
+
+
+def _is_new(whole: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether each stretch differs from all before it."""
+    known: dict[bytes, int] = {}
+    first = [known.setdefault(whole[s:e], k) for k, (s, e) in enumerate(zip(start.tolist(), stop.tolist()))]
+    return np.array(first, np.int64) == np.arange(len(first))
+
+
+def _pairs(contexts: list[bytes], anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, last, hash of what they share) of the pairs of hot contexts' windows, counted from the anchor on."""
+    length = np.array([len(c) for c in contexts], np.int64)
+    first, n_windows = np.cumsum(length) - length, length - window + 1
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    which = np.repeat(np.arange(len(contexts)), n_windows)
+    own = np.arange(len(which)) + np.repeat(first - (np.cumsum(n_windows) - n_windows), n_windows)
+    at = np.flatnonzero(gram_hashes(data, len(data), gram_length(window)) == np.repeat(anchors, length))
     p = at[np.searchsorted(at, own)]
     core = p - (p - own) // 2 * 2
-    cut = np.flatnonzero(np.diff(core)) + 1
-    for pair in np.split(own, cut):
-        c = int(core[pair[0] - start])
-        digest = hashlib.blake2b(text[c : c + window - 1], digest_size=8).digest()
-        yield int.from_bytes(digest, "little") % buckets, int(pair[0]), int(pair[-1])
+    begin = np.flatnonzero(np.diff(core, prepend=-1))
+    end = np.append(begin[1:], len(core)) - 1
+    core, which = core[begin], which[begin]
+    key = mixed_words(eight_bytes(data), [core + k for k in [*range(0, window - 8, 8), window - 9]])
+    return which, own[begin] - first[which], own[end] - first[which], key
 
 
 def _range_rows(window: int):
     def sort(rows: pa.Table) -> pa.Table:
-        parts = rows.column("part").to_pylist()
+        parts = rows.column("part").to_numpy()
+        length, row, start = (_raw(rows, c, np.int32) for c in ("length", "row", "start"))
+        sent = np.array([len(x) for x in length])
+        length, row, start, part = *(np.concatenate(x).astype(np.int64) for x in (length, row, start)), np.repeat(parts, sent)
+        if rows.column("bucket")[0].as_py() < 0:  # later places of a part
+            return _range_table(part, row, start, start + length)
         known: dict[bytes, int] = {}
-        first: list[tuple] = []  # of each distinct context: earliest (known, doc_id, part, row, start)
-        held: list[list[tuple[int, int, int]]] = [[] for _ in parts]  # (context, row, start) per sender
-        columns = [_raw(rows, c, np.int32) for c in ("length", "places", "row", "start")]
-        for k, (text, ids) in enumerate(zip(rows.column("text").to_pylist(), rows.column("doc_id").to_pylist())):
-            length, places, row, start = (c[k].tolist() for c in columns)
-            at = place = 0
-            for n, m, i in zip(length, places, ids):
-                own = known.setdefault(text[at : at + n], len(known))
-                here = (i is not None, i or 0, parts[k], row[place], start[place])
-                if own == len(first):
-                    first.append(here)
-                elif here < first[own]:
-                    first[own] = here
-                held[k] += [(own, r, s) for r, s in zip(row[place : place + m], start[place : place + m])]
-                at, place = at + n, place + m
-        contexts = list(known)
-        which, offset, number = window_classes(contexts, window)
-        docs = {d: k for k, d in enumerate(sorted({f[:4] for f in first}))}
-        when = np.array([(docs[f[:4]] << 32) + f[4] for f in first], np.int64)[which] + offset
+        context, at = [], 0
+        for text, n in zip(rows.column("text").to_pylist(), sent.tolist()):
+            ends = np.cumsum(length[at : at + n])
+            context += [known.setdefault(text[a:b], len(known)) for a, b in zip((ends - length[at : at + n]).tolist(), ends.tolist())]
+            at += n
+        context = np.array(context, np.int64)
+        ids = pc.list_flatten(rows.column("doc_id")).combine_chunks()
+        has_id, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        # earliest place of each context, and the number of its document among those of all
+        order = np.lexsort((start, row, part, ids, has_id))
+        changed = [np.diff(x[order], prepend=x[order[0]]) != 0 for x in (row, part, ids, has_id.astype(np.int8))]
+        when = np.empty(len(order), np.int64)
+        when[order] = np.cumsum(np.any(changed, axis=0)) << 32
+        when += start
+        _, first = np.unique(context[order], return_index=True)
+        first = order[first]
+        which, offset, number = window_classes(list(known), window)
+        when = when[first][which] + offset
         earliest = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(earliest, number, when)
         later = when != earliest[number]
@@ -384,26 +428,27 @@ def _range_rows(window: int):
         apart = np.flatnonzero(np.diff(which)) + 1  # runs end with their context
         begins = np.union1d(np.flatnonzero(edge == 1), apart[later[apart]])
         ends = np.union1d(np.flatnonzero(edge == -1), apart[later[apart - 1]])
-        ranges: dict[int, list[tuple[int, int]]] = {}
-        for a, b in zip(begins.tolist(), ends.tolist()):
-            ranges.setdefault(int(which[a]), []).append((int(offset[a]), int(offset[b - 1]) + window))
-        out = []
-        for part, own in zip(parts, held):
-            found = []
-            for c, r, s in own:
-                if first[c][2:] == (part, r, s):
-                    found += [(r, s + x, s + y) for x, y in ranges.get(c, ())]
-                else:  # the same context starts earlier
-                    found.append((r, s, s + len(contexts[c])))
-            if found:
-                out.append((part, *(x.tobytes() for x in np.array(found, np.int32).T.copy())))
-        return table(
-            {"part": ([x[0] for x in out], pa.int32())} | {n: ([x[k] for x in out], pa.binary()) for k, n in enumerate(("row", "start", "stop"), 1)}
-        )
+        held = first[which[begins]]
+        rest = np.ones(len(context), bool)
+        rest[first] = False  # the same context starts earlier
+        return _range_table(
+            np.concatenate([part[held], part[rest]]), np.concatenate([row[held], row[rest]]),
+            np.concatenate([start[held] + offset[begins], start[rest]]),
+            np.concatenate([start[held] + offset[ends - 1] + window, (start + length)[rest]]),
+        )
 
     return sort
 
 
+def _range_table(part: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """A row for each part, with its (row, start, stop)."""
+    groups = list(_groups(part))
+    return table(
+        {"part": ([p for p, _ in groups], pa.int32())}
+        | {n: ([x[own].astype(np.int32).tobytes() for _, own in groups], pa.binary()) for n, x in zip(("row", "start", "stop"), columns)}
+    )
+
+
 def _cut_rows(window: int):
     def cut(docs: pa.Table, ranges: pa.Table) -> pa.Table:
         texts = Part(docs, window)

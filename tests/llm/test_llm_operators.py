@@ -7,6 +7,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -240,6 +241,27 @@ def test_removed_bytes_of_random_texts(spark):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_removed(rows, 100)
 
 
+def sent_of_one_part(texts, hot):
+    """(bytes of text, places) that a part sends to the buckets."""
+    docs = pa.table({"part": pa.array([0] * len(texts), pa.int32()), "doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    replies = suffixes._repeated(hot)(suffixes._anchor_rows(100, 1)(docs))
+    rows = suffixes._context_rows(100, 4)(docs, replies).to_pylist()
+    rows = [r for r in rows if r["bucket"] >= 0]
+    return sum(len(r["text"]) for r in rows), sum(len(r["row"]) // 4 for r in rows)
+
+
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_a_part_sends_a_repeated_passage_once(hot):
+    passage = "".join(np.random.default_rng(8).choice(list("abcdefgh "), 600))
+    assert sent_of_one_part([passage] * 300, hot) == sent_of_one_part([passage] * 2, hot)
+
+
+def test_a_frequent_phrase_in_different_surroundings_is_not_sent():
+    draw = np.random.default_rng(9)
+    texts = ["".join(draw.choice(list("abcdefgh "), 90)) + " on the other hand it is " + "".join(draw.choice(list("abcdefgh "), 90)) for _ in range(200)]
+    assert sent_of_one_part(texts, 10_000) == (0, 0)
+
+
 def test_settled_suffixes_are_not_sorted_again(monkeypatch):
     """One long tie does not bring the suffixes that are already apart into every round."""
     rng = np.random.default_rng(5)
