@@ -283,6 +283,31 @@ def test_draws_of_categories_with_reads_by_design(spark, counts, monkeypatch, bl
         assert ((got[q] - want[q]) / error).abs().max() < 25, q
 
 
+@pytest.mark.parametrize("draws", [True, False])
+@pytest.mark.parametrize("run", [None, "run"])
+def test_sparse_predictions_read_the_rows_of_the_draws(spark, counts, run, draws):
+    """Nothing is dealt again for the predictions, whether the draws wrote the rows before or not."""
+    keys, values = ["sample", "taxon"], ["share", "share_low", "share_high", "clr", "clr_low", "clr_high"]
+    model = BiasModel(spark.createDataFrame(counts), Columns(run=run))
+    if draws:
+        model.draws_seen(n=10)
+    sparse = model.predict(seen_only=True)
+    assert "Exchange" not in sparse._jdf.queryExecution().sparkPlan().toString()
+    assert "hashpartitioning" not in sparse._jdf.queryExecution().executedPlan().toString()
+    sparse = sparse.toPandas().set_index(keys).sort_index()
+    field = counts[counts.sample_num != "Calibration"]
+    assert list(sparse.index) == sorted(set(zip(field.sample_num, field.taxon)))
+    full = model.predict().toPandas().set_index(keys).loc[sparse.index]
+    assert np.allclose(sparse[values], full[values], rtol=1e-9, atol=1e-12)
+
+
+def test_sums_of_a_run_that_is_not_modelled_are_not_written(spark, counts, monkeypatch):
+    written, plain = [], biasmodel.checkpoint
+    monkeypatch.setattr(biasmodel, "checkpoint", lambda df: written.append(df.columns) or plain(df))
+    assert set(BiasModel(spark.createDataFrame(counts)).cells.columns) >= {"rd0", "rw", "xrw", "rrw"}
+    assert not set(written[0]) & {"rd0", "rw", "xrw", "rrw"}
+
+
 def test_overlapping_sets_equal_counts_laid_out_per_group(spark, counts):
     """Sums per set give each group what a copy of its rows would; samples of several sets included."""
     sets = [["all", "a", "b"], ["a"], ["b", "all"], ["all"]]
